@@ -16,6 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilmill.llm.common import cut
+
+#: Tables of large buckets are broadcast up to this many rows, else joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def masks(blocks: int, radius: int) -> list[int]:
     """Bit masks of all choices of (blocks - radius) blocks of a 64-bit code."""
@@ -35,28 +40,33 @@ def block_keys(code: Column, blocks: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(blocks, radius))])
 
 
-def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int) -> DataFrame:
+def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int, expected: int) -> DataFrame:
     """rows with a column `cell`: the key, or for a bucket of over `limit` rows one row for each cell of its chunk.
 
-    Sorted by cell within each task, as `runs` needs it.  Buckets of one row are left out.
+    Dealt to tasks by cell and sorted by it, as `runs` needs it.  Large buckets are found exactly: counts by a
+    coarse hash of the key are combined before their shuffle, and only keys in overfull coarse bins are counted one by one.
+    `expected` (about the number of rows) sets the number of coarse bins.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
-    sized = rows.join(sizes, key)
-    chunks = F.ceil(F.col("bucket_rows") / F.lit(limit))
+    bins = 1 << max(14, (4 * expected // limit).bit_length())
+    coarse = F.pmod(F.xxhash64(key), F.lit(bins)).alias("coarse")
+    full = cut(rows.groupBy(coarse).count().where(F.col("count") > limit).select("coarse"))
+    if full.isEmpty():
+        return rows.withColumn("cell", F.col(key)).repartition("cell").sortWithinPartitions("cell")
+    few = full.count() <= BROADCAST_ROWS
+    suspects = rows.withColumn("coarse", coarse).join(F.broadcast(full) if few else full, "coarse", "left_semi")
+    large = cut(suspects.groupBy(key).agg(F.count("*").alias("bucket_rows")).where(F.col("bucket_rows") > limit))
+    few = large.count() <= BROADCAST_ROWS
+    sized = rows.join(F.broadcast(large) if few else large, key, "left")
+    chunks = F.ceil(F.col("bucket_rows") / F.lit(limit)).cast("bigint")
     mine = F.pmod(row_hash, chunks)
     cells = F.when(
-        F.col("bucket_rows") > limit,
+        F.col("bucket_rows").isNotNull(),
         F.transform(
             F.sequence(F.lit(0).cast("bigint"), chunks - 1),
             lambda j: F.xxhash64(F.col(key), F.least(mine, j), F.greatest(mine, j)),
         ),
     ).otherwise(F.array(F.col(key)))
-    return (
-        sized.withColumn("cell", F.explode(cells))
-        .drop("bucket_rows")
-        .repartition("cell")
-        .sortWithinPartitions("cell")
-    )
+    return sized.withColumn("cell", F.explode(cells)).drop("bucket_rows").repartition("cell").sortWithinPartitions("cell")
 
 
 def runs(frames: Iterator[pd.DataFrame], column: str = "cell") -> Iterator[pd.DataFrame]:

@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import Links, block_keys, dealt, runs
+from vigilmill.llm.blocks import block_keys, dealt, masks, runs
 from vigilmill.llm.common import cut
 from vigilmill.llm.components import components
 
-RADIUS = 3
-BLOCKS = 5
+RADIUS = 4
+BLOCKS = 6
 SIMILARITY = 0.9
 CELL = 2048
 
@@ -74,8 +74,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_UP) < n:
         n = max(n, 1 << 16)
         with np.errstate(over="ignore"):
-            _UP = np.cumprod(np.concatenate(([1], np.full(n - 1, _ODD, np.uint64))).astype(np.uint64), dtype=np.uint64)
-            _DOWN = np.cumprod(np.concatenate(([1], np.full(n - 1, pow(_ODD, -1, 1 << 64), np.uint64))).astype(np.uint64), dtype=np.uint64)
+            up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _UP, _DOWN = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
     return _UP, _DOWN
 
 
@@ -192,35 +193,30 @@ def _neighbours(codes: np.ndarray, radius: int, step: int = 1024) -> np.ndarray:
     return near
 
 
-def flagged_lines(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """(h1, h2) of the distinct normal forms that have another within the radius."""
-    keyed = distinct.select("h1", "h2", "code", F.explode(block_keys(F.col("code"), blocks, radius)).alias("bucket"))
+def flagged_codes(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+    """The codes that have another one within the radius; codes: distinct `code`."""
+    keyed = codes.select("code", F.explode(block_keys(F.col("code"), blocks, radius)).alias("bucket"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _gathered(runs(frames)):
-            yield from part
-
-    def _gathered(found):
-        kept, rows = [], 0
-        for r in found:
-            near = _neighbours(r["code"].to_numpy().view(np.uint64), radius)
+        found: set[int] = set()
+        for r in runs(frames):
+            values = r["code"].to_numpy()
+            near = _neighbours(values.view(np.uint64), radius)
             if near.any():
-                kept.append(r.loc[near, ["h1", "h2"]])
-                rows += len(kept[-1])
-            if rows > 50_000:
-                yield [pd.concat(kept)]
-                kept, rows = [], 0
-        if kept:
-            yield [pd.concat(kept)]
+                found.update(values[near].tolist())
+            if len(found) > 50_000:
+                yield pd.DataFrame({"code": list(found)}, dtype="int64")
+                found = set()
+        if found:
+            yield pd.DataFrame({"code": list(found)}, dtype="int64")
 
-    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell).select("cell", "h1", "h2", "code")
-    return found.mapInPandas(run, "h1 bigint, h2 bigint").distinct()
+    expected = codes.count() * len(masks(blocks, radius))
+    return dealt(keyed, "bucket", F.xxhash64("code"), cell, expected).select("cell", "code").mapInPandas(run, "code bigint").distinct()
 
 
 def bucket_links(codes: np.ndarray, texts: list[str], radius: int, least: float) -> list[tuple[int, int]]:
     """Spanning links (i, smallest of its group) of the lines of one bucket."""
     n = len(texts)
-    links = Links(n)
     group = np.arange(n)
     for i in range(n - 1):
         near = np.flatnonzero((np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= radius) & (group[i + 1 :] != group[i])) + i + 1
@@ -228,7 +224,6 @@ def bucket_links(codes: np.ndarray, texts: list[str], radius: int, least: float)
             if group[j] != group[i] and similar(texts[i], texts[j], least):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group[group == old] = new
-                links.join(i, j)
     return [(i, int(group[i])) for i in range(n) if group[i] != i]
 
 
@@ -244,7 +239,8 @@ def line_links(lines: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, lea
                 i, j = np.array(found).T
                 yield pd.DataFrame({"a1": h1[i], "a2": h2[i], "b1": h1[j], "b2": h2[j]})
 
-    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell).select("cell", "h1", "h2", "code", "line")
+    expected = lines.count() * len(masks(blocks, radius))
+    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell, expected).select("cell", "h1", "h2", "code", "line")
     return found.mapInPandas(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
@@ -275,10 +271,11 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     lines = cut(line_rows(docs))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
     distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first")))
-    flagged = flagged_lines(distinct.select("h1", "h2", "code"), radius, blocks, cell)
-    wanted = cut(distinct.join(flagged, ["h1", "h2"]).select("h1", "h2", "code", "first.doc_id", "first.text_key", "first.line_no"))
+    codes = cut(distinct.groupBy("code").agg(F.count("*").alias("forms")))
+    flagged = flagged_codes(codes.select("code"), radius, blocks, cell).unionByName(codes.where("forms > 1").select("code")).distinct()
+    wanted = cut(distinct.join(flagged, "code").select("h1", "h2", "code", "first.doc_id", "first.text_key", "first.line_no"))
     texts = _texts_of(docs, wanted)
-    edges = line_links(wanted.select("h1", "h2", "code").join(texts, ["h1", "h2"]), radius, blocks, similarity, cell)
+    edges = line_links(cut(wanted.select("h1", "h2", "code").join(texts, ["h1", "h2"])), radius, blocks, similarity, cell)
     roots = components(edges.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "a", "b")
     roots = roots.select("node.h1", "node.h2", "root")
     group = F.coalesce("root", F.struct("h1", "h2"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import Links, block_keys, dealt, runs
+from vigilmill.llm.blocks import Links, block_keys, dealt, masks, runs
 from vigilmill.llm.common import cut
 from vigilmill.llm.components import components
 
@@ -102,7 +102,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def fingerprint_groups(codes: DataFrame, radius: int = 2, blocks: int = 4, shard_limit: int = 4096) -> DataFrame:
     """(fp, root) for the fingerprints that have another one within the radius; codes: distinct `fp`."""
-    keyed = codes.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("shard"))
+    keys = block_keys(F.col("fp"), blocks, radius)
+    keyed = codes.select("fp", F.explode(keys).alias("shard"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
@@ -114,7 +115,8 @@ def fingerprint_groups(codes: DataFrame, radius: int = 2, blocks: int = 4, shard
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    edges = dealt(keyed, "shard", F.xxhash64("fp"), shard_limit).select("cell", "fp").mapInPandas(run, "a bigint, b bigint")
+    expected = codes.count() * len(masks(blocks, radius))
+    edges = dealt(keyed, "shard", F.xxhash64("fp"), shard_limit, expected).select("cell", "fp").mapInPandas(run, "a bigint, b bigint")
     return components(edges, "a", "b").select(F.col("node").alias("fp"), "root")
 
 
