@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver see."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

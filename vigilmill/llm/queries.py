@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmill.llm import line_dedup, mixing, packing, simhash_dedup, tokens
+from vigilmill.llm import language_id, licenses, line_dedup, mixing, order_minhash, packing, simhash_dedup, tiff, tokens, toxicity
 from vigilmill.llm.common import table
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.crc_part(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.CUTOFF).cast("int").alias("predicted"), F.col("_matches").alias("matches"),
+    )
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.crc_part(F.col("doc_id"), 4) == 2
+    net = language_id.fit(docs, F.coalesce(~held_out, F.lit(False)))
+    found = language_id.predict(docs, net)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.dedup_lines(docs)
@@ -19,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,5 +64,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {q.__name__: q for q in (op5_line_dedup, op6_token_counts, op8_packing, op9_simhash, op10_mixing)}
+_ALL = (op1_tiff, op2_toxicity, op3_licenses, op4_language_id, op5_line_dedup, op6_token_counts, op7_order_minhash, op8_packing, op9_simhash, op10_mixing)
+QUERIES = {q.__name__: q for q in _ALL}
 ORACLE_SQL: dict[str, str] = {}
