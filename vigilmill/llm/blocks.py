@@ -43,7 +43,7 @@ def block_keys(code: Column, blocks: int, radius: int) -> Column:
 def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int, expected: int) -> DataFrame:
     """rows with a column `cell`: the key, or for a bucket of over `limit` rows one row for each cell of its chunk.
 
-    Dealt to tasks by cell and sorted by it, as `runs` needs it.  Large buckets are found exactly: counts by a
+    Dealt to tasks by cell and sorted by it, as `whole_runs` needs it.  Large buckets are found exactly: counts by a
     coarse hash of the key are combined before their shuffle, and only keys in overfull coarse bins are counted one by one.
     `expected` (about the number of rows) sets the number of coarse bins.
     """
@@ -69,37 +69,32 @@ def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int, expected: int
     return sized.withColumn("cell", F.explode(cells)).drop("bucket_rows").repartition("cell").sortWithinPartitions("cell")
 
 
-def runs(frames: Iterator[pd.DataFrame], column: str = "cell") -> Iterator[pd.DataFrame]:
-    """The rows of each value of a sorted column, across batches; runs of one row are skipped."""
+def whole_runs(frames: Iterator[pd.DataFrame], column: str = "cell") -> Iterator[pd.DataFrame]:
+    """The rows again, cut so that all rows of a value of the sorted column are in one frame."""
     held: list[pd.DataFrame] = []
-    last = None
     for frame in frames:
         if not len(frame):
             continue
         values = frame[column].to_numpy()
-        ends = np.flatnonzero(values[1:] != values[:-1]) + 1
-        starts = np.concatenate(([0], ends))
-        stops = np.concatenate((ends, [len(values)]))
-        if held and values[0] != last:
-            yield from _joined(held)
-            held = []
-        big = np.flatnonzero(stops - starts > 1)
-        for k in big:
-            if k == 0 and held or k == len(starts) - 1:
-                continue
-            yield frame.iloc[starts[k] : stops[k]]
-        if len(starts) > 1 and held:
-            held.append(frame.iloc[: stops[0]])
-            yield from _joined(held)
-            held = []
-        held.append(frame.iloc[starts[-1] :])
-        last = values[-1]
-    yield from _joined(held)
-
-
-def _joined(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    if sum(map(len, held)) > 1:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        at = int(np.searchsorted(values, values[-1]))  # where the last run starts
+        if at == 0 and (not held or held[-1][column].iat[-1] == values[0]):
+            held.append(frame)
+            continue
+        done = pd.concat([*held, frame.iloc[:at]], ignore_index=True)
+        held = [frame.iloc[at:]]
+        yield done
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def near_pairs(cell: np.ndarray, code: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of the rows of equal cell (sorted) whose codes (uint64) differ in `radius` bits at most."""
+    at, d = np.arange(len(cell)), 1
+    while len(at := at[at + d < len(cell)]) and len(at := at[cell[at] == cell[at + d]]):
+        near = at[np.bitwise_count(code[at] ^ code[at + d]) <= radius]
+        if len(near):
+            yield near, near + d
+        d += 1
 
 
 class Links:

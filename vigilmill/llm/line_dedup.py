@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import block_keys, dealt, masks, runs
+from vigilmill.llm.blocks import block_keys, dealt, masks, near_pairs, whole_runs
 from vigilmill.llm.common import cut
 from vigilmill.llm.components import components
 
-RADIUS = 4
-BLOCKS = 6
+RADIUS = 3
+BLOCKS = 5
 SIMILARITY = 0.9
 CELL = 2048
 
@@ -185,25 +185,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, h1 bigint, h2 bigint, code bigint")
 
 
-def _neighbours(codes: np.ndarray, radius: int, step: int = 1024) -> np.ndarray:
-    """Whether each code has another within the radius."""
-    near = np.zeros(len(codes), bool)
-    for i in range(0, len(codes), step):
-        near[i : i + step] = (np.bitwise_count(codes[i : i + step, None] ^ codes[None, :]) <= radius).sum(axis=1) > 1
-    return near
-
-
 def flagged_codes(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """The codes that have another one within the radius; codes: distinct `code`."""
     keyed = codes.select("code", F.explode(block_keys(F.col("code"), blocks, radius)).alias("bucket"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[int] = set()
-        for r in runs(frames):
-            values = r["code"].to_numpy()
-            near = _neighbours(values.view(np.uint64), radius)
-            if near.any():
-                found.update(values[near].tolist())
+        for f in whole_runs(frames):
+            codes_ = f["code"].to_numpy()
+            for pair in near_pairs(f["cell"].to_numpy(), codes_.view(np.uint64), radius):
+                found.update(codes_[np.concatenate(pair)].tolist())
             if len(found) > 50_000:
                 yield pd.DataFrame({"code": list(found)}, dtype="int64")
                 found = set()
@@ -214,33 +205,50 @@ def flagged_codes(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return dealt(keyed, "bucket", F.xxhash64("code"), cell, expected).select("cell", "code").mapInPandas(run, "code bigint").distinct()
 
 
-def bucket_links(codes: np.ndarray, texts: list[str], radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning links (i, smallest of its group) of the lines of one bucket."""
-    n = len(texts)
-    group = np.arange(n)
-    for i in range(n - 1):
-        near = np.flatnonzero((np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= radius) & (group[i + 1 :] != group[i])) + i + 1
-        for j in near.tolist():
-            if group[j] != group[i] and similar(texts[i], texts[j], least):
-                old, new = max(group[i], group[j]), min(group[i], group[j])
+def verified_links(cell: np.ndarray, codes: np.ndarray, tables: np.ndarray, texts: list[str], radius: int, least: float, masks_: np.ndarray) -> np.ndarray:
+    """Spanning links (i, smallest of its group) of lines sorted by cell: int[n, 2].
+
+    A pair is compared in the first table that brings it together, and only if it is not connected yet; taking
+    each line's partners in order makes a large group a star after about one comparison a line.
+    """
+    group = np.arange(len(texts))
+    found = list(near_pairs(cell, codes, radius))
+    if not found:
+        return np.empty((0, 2), np.int64)
+    i, j = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+    away, first = codes[i] ^ codes[j], np.zeros(len(i), bool)
+    for t in range(len(masks_) - 1, -1, -1):  # the lowest table is set last
+        agree = (away & masks_[t]) == 0
+        first[agree] = tables[i[agree]] == t
+    i, j = i[first], j[first]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
+    for lo, hi in zip(edges, np.concatenate((edges[1:], [len(i)]))):
+        a, partners = int(i[lo]), j[lo:hi]
+        for b in partners[group[partners] != group[a]].tolist():
+            if group[a] != group[b] and similar(texts[a], texts[b], least):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
                 group[group == old] = new
-    return [(i, int(group[i])) for i in range(n) if group[i] != i]
+    moved = np.flatnonzero(group != np.arange(len(group)))
+    return np.stack((moved, group[moved]), axis=1)
 
 
 def line_links(lines: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(a1, a2, b1, b2): links between distinct normal forms; lines: h1, h2, code, line."""
-    keyed = lines.select("h1", "h2", "code", "line", F.explode(block_keys(F.col("code"), blocks, radius)).alias("bucket"))
+    keyed = lines.select("h1", "h2", "code", "line", F.posexplode(block_keys(F.col("code"), blocks, radius)).alias("tab", "bucket"))
+    masks_ = np.array(masks(blocks, radius), np.uint64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r in runs(frames):
-            h1, h2 = r["h1"].to_numpy(), r["h2"].to_numpy()
-            found = bucket_links(r["code"].to_numpy().view(np.uint64), r["line"].tolist(), radius, least)
-            if found:
-                i, j = np.array(found).T
+        for f in whole_runs(frames):
+            h1, h2 = f["h1"].to_numpy(), f["h2"].to_numpy()
+            found = verified_links(f["cell"].to_numpy(), f["code"].to_numpy().view(np.uint64), f["tab"].to_numpy(), f["line"].tolist(), radius, least, masks_)
+            if len(found):
+                i, j = found.T
                 yield pd.DataFrame({"a1": h1[i], "a2": h2[i], "b1": h1[j], "b2": h2[j]})
 
-    expected = lines.count() * len(masks(blocks, radius))
-    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell, expected).select("cell", "h1", "h2", "code", "line")
+    expected = lines.count() * len(masks_)
+    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell, expected).select("cell", "tab", "h1", "h2", "code", "line")
     return found.mapInPandas(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 

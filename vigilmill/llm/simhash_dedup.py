@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import Links, block_keys, dealt, masks, runs
+from vigilmill.llm.blocks import Links, block_keys, dealt, masks, whole_runs
 from vigilmill.llm.common import cut
 from vigilmill.llm.components import components
 
@@ -107,8 +107,12 @@ def fingerprint_groups(codes: DataFrame, radius: int = 2, blocks: int = 4, shard
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
-        for run_ in runs(frames):
-            found.extend(shard_links(run_["fp"].tolist(), radius))
+        for f in whole_runs(frames):
+            cell, fp = f["cell"].to_numpy(), f["fp"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            stops = np.concatenate((starts[1:], [len(cell)]))
+            for k in np.flatnonzero(stops - starts > 1).tolist():
+                found.extend(shard_links(fp[starts[k] : stops[k]].tolist(), radius))
             if len(found) > 50_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
