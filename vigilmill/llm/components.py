@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 from vigilmill.llm.common import cut
 
 
-def _star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
-    return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _pairs(*columns: tuple[str, str]):
+    """Rows (u, v) from pairs of columns, without reading the table once for each pair."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns]))
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_pairs(("u", "v"), ("v", "u")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _star(both, least, F.col("v") > F.col("u"))
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = _star(down, least, F.col("v") != F.col("m"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v")))
+    return down.join(least, "u").select(_pairs(("v", "m"), ("u", "m")))
 
 
 def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
@@ -50,5 +50,4 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
         seen = mark
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
-    roots = current.select(F.col("v").alias("u"), "v").distinct()
-    return current.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return current.select(_pairs(("u", "v"), ("v", "v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -294,20 +294,20 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the repeated lines removed from `text`, and n_lines, n_removed.
+    """docs with the repeated lines removed from `text`, and __n_lines, __n_removed.
 
     Lines without a word (blank, punctuation) are never removed, nor is a document: one whose lines all repeat keeps
     its row with what is left of the text.  A null text stays null, with 0 lines.  Rows repeated with the same doc_id
     and text are one document and keep the same lines.  Other columns pass through.
     """
-    gone = repeated_lines(docs, **options).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_gone")
-    tagged = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    gone = repeated_lines(docs, **options).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
+    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
+    same = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
     lines = F.split("text", "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("_gone"), i), x)), lambda x: x.isNotNull())
+    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull())
     out = tagged.join(gone, same, "left")
-    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    out = out.withColumn("__n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"))
+    out = out.withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"))
+    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
+    return out.select(*docs.columns, "__n_lines", "__n_removed")

@@ -165,9 +165,9 @@ def _last_taken(rows: DataFrame, beside) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row repeated as often as the mix takes it (not at all included)."""
-    found = pareto_mix(docs, **options).groupBy("doc_id", "text_key").agg(F.max("copies").alias("_copies"))
-    found = found.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copies")
-    tagged = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    found = pareto_mix(docs, **options).groupBy("doc_id", "text_key").agg(F.max("copies").alias("__copies"))
+    found = found.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__copies")
+    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
+    same = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
     chosen = tagged.join(found, same)
-    return chosen.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    return chosen.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)

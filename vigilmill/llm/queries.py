@@ -19,8 +19,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score_documents(docs, model)
     return scored.select(
-        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= toxicity.CUTOFF).cast("int").alias("predicted"), F.col("_matches").alias("matches"),
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= toxicity.CUTOFF).cast("int").alias("predicted"), F.col("__matches").alias("matches"),
     )
 
 
@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars_left"), "text")
+    return cleaned.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars_left"), "text")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    best = found.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("_keep_id"), F.col("best.text_key").alias("_keep_key"))
-    tagged = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = (F.col("_text_key") == F.col("_keep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id"))
-    return tagged.join(best, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    best = found.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_key").alias("__keep_key"))
+    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
+    same = (F.col("__text_key") == F.col("__keep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep_id"))
+    return tagged.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)

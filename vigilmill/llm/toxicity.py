@@ -174,11 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
             yes, no = Counter(), Counter()
             for text, label in zip(f["text"], f["toxic"]):
                 (yes if label else no).update(patterns(fold(text)))
-            # Of patterns never seen in a toxic text no odds are needed.
-            keys = list(yes)
-            yield pd.DataFrame({"pattern": keys, "yes": [yes[k] for k in keys], "no": [no.get(k, 0) for k in keys]})
-            rest = [k for k in no if k not in yes]
-            yield pd.DataFrame({"pattern": rest, "yes": [0] * len(rest), "no": [no[k] for k in rest]})
+            keys = list(yes.keys() | no.keys())
+            if keys:
+                yield pd.DataFrame({"pattern": keys, "yes": [yes[k] for k in keys], "no": [no[k] for k in keys]})
 
     found = sample.mapInPandas(counts, "pattern string, yes long, no long").groupBy("pattern").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     odds = ((F.col("yes") + 0.5) / (toxic + 1.0)) / ((F.col("no") + 0.5) / (clean + 1.0))
@@ -214,8 +212,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0]), float(max(w[1], 0.05))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns) with `score` and `matches`; null and empty texts score as a text without a match."""
+def score_documents(docs: DataFrame, model: Model, score_column: str = "__score", matches_column: str = "__matches") -> DataFrame:
+    """docs (any columns) with a score and the number of matched words; null and empty texts score as a text without a match."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +222,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             found = [strength(fold(t), automaton) for t in b.column(names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([_curve(s, model) for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())],
-                [*names, "_score", "_matches"],
+                [*names, score_column, matches_column],
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_matches", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType()), T.StructField(matches_column, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """docs without those that score `cutoff` or more; columns as they were."""
-    return score_documents(docs, model).where(F.col("_score") < cutoff).select(*docs.columns)
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, model, name, name + "n").where(F.col(name) < cutoff).select(*docs.columns)
