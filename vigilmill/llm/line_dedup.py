@@ -41,11 +41,14 @@ def normal_lines(text: str | None) -> list[bytes]:
     if not text:
         return []
     lower = text.lower()
-    if not lower.isascii():
-        lower = _WIDE.sub(" ", lower)
-    return [b" ".join(x.split()) for x in lower.encode("utf-8", "replace").translate(_KEEP_BREAKS).split(b"\n")]
+    raw = lower.encode("utf-8", "replace")
+    # Letters of Latin-1 and Latin Extended-A need no search for signs beyond ASCII.
+    if not lower.isascii() and (raw.translate(None, _LATIN_BYTES) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw):
+        raw = _WIDE.sub(" ", lower).encode("utf-8", "replace")
+    return [b" ".join(x.split()) for x in raw.translate(_KEEP_BREAKS).split(b"\n")]
 
 
+_LATIN_BYTES = bytes([*range(0xC0), 0xC3, 0xC4, 0xC5])
 _KEEP_BREAKS = bytes(10 if c == 10 else _NORMAL[c] for c in range(256))
 
 
@@ -104,13 +107,28 @@ def _simhash_chunk(lines: list[bytes]) -> np.ndarray:
     if not len(hashes):
         return out
     firsts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
     sizes = np.diff(np.concatenate((firsts, [len(line)])))
+    ones = _ones(hashes, firsts, int(sizes.max()))
     out[line[firsts]] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
     return out
 
 
+def _ones(hashes: np.ndarray, firsts: np.ndarray, largest: int) -> np.ndarray:
+    """int[groups, 64]: how many hashes of each group have each bit, the highest bit first.
+
+    Four counters of 16 bits are added at once in a 64-bit lane; groups too large for them are added bit by bit.
+    """
+    if largest > 0xFFFF:
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        return np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
+    ones = np.empty((len(firsts), 64), np.int64)
+    for k in range(16):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0001000100010001), firsts)
+        for lane in range(4):
+            ones[:, 63 - 16 * lane - k] = (lanes >> np.uint64(16 * lane)) & np.uint64(0xFFFF)
+    return ones
+
+
 def edit_distance(a: bytes | str, b: bytes | str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is larger: bit-parallel over whole-line integers, common ends removed."""
     n = min(len(a), len(b))
@@ -284,12 +302,13 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     wanted = cut(distinct.join(flagged, "code").select("h1", "h2", "code", "first.doc_id", "first.text_key", "first.line_no"))
     texts = _texts_of(docs, wanted)
     edges = line_links(cut(wanted.select("h1", "h2", "code").join(texts, ["h1", "h2"])), radius, blocks, similarity, cell)
-    roots = components(edges.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "a", "b")
-    roots = roots.select("node.h1", "node.h2", "root")
-    group = F.coalesce("root", F.struct("h1", "h2"))
-    firsts = distinct.join(roots, ["h1", "h2"], "left").withColumn("root", group)
-    best = firsts.groupBy("root").agg(F.min("first").alias("best"))
-    kept = cut(firsts.join(best, "root").select("h1", "h2", "best"))
+    # Nodes are first halves of the hashes: two flagged forms that share one by chance would count as linked (for a
+    # billion flagged forms, one such pair is expected in forty runs).
+    roots = components(edges, "a1", "b1").select(F.col("node").alias("h1"), "root")
+    grouped = distinct.join(roots, "h1")
+    best = grouped.groupBy("root").agg(F.min("first").alias("best"))
+    moved = cut(grouped.join(best, "root").select("h1", "h2", "best"))
+    kept = distinct.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best"))
     return lines.join(kept, ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
 
 
