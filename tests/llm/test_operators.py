@@ -352,6 +352,17 @@ def test_mixing(spark, sample_docs, corners, which):
     assert sorted(map(str, got)) == sorted(map(str, mixing.pareto_mix(docs.repartition(5)).collect()))
 
 
+def test_mixing_sql(spark):
+    import os
+
+    import duckdb
+
+    con, path = duckdb.connect(), f"{SF}/documents.parquet"
+    con.sql(f"create view documents as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(con.sql(mixing.ORACLE_SQL).df()[names].itertuples(index=False, name=None)) == sorted(queries.op10_mixing(spark, SF).toPandas()[names].itertuples(index=False, name=None))
+
+
 def test_mixing_sizes(spark, corners):
     got = {r["doc_id"]: r["size"] for r in mixing.pareto_mix(corners).collect()}
     assert got[2] == got[3] == got[4] == 0 and got[11] == 1 and got[12] == 8

@@ -171,3 +171,31 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     same = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
     chosen = tagged.join(found, same)
     return chosen.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+
+
+#: The rows of `pareto_mix` (doc_id, size, source_size, target, taken) in DuckDB's SQL, for distinct doc_ids.
+ORACLE_SQL = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s0 as (select source, sum(size)::bigint as source_size, count(*) filter (size > 0) as texts from d group by source),
+s1 as (select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as weight, 2.0::double * source_size as cap from s0),
+s2 as (select *, 1.5::double * sum(source_size) over () as budget,
+  coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0.0) as filled,
+  sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following) as open_weight from s1),
+s3 as (select *, (budget - filled) / open_weight as lv from s2),
+s4 as (select min_by(lv, cap / weight) filter (lv * weight <= cap) as level from s3),
+s5 as (select source, source_size, texts, round(coalesce(least(cap, level * weight), cap), 6) as target from s3 cross join s4),
+p as (select *, case when source_size > 0 then floor(target / source_size + 1e-9)::bigint else 0 end as whole from s5),
+q as (select *, greatest(0.0::double, target - whole * source_size) as left_words from p),
+r as (select d.doc_id, d.source, d.size, q.source_size, q.target, q.whole, q.left_words,
+  (('0x' || substr(md5('7:' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u,
+  least(1.0::double - 1e-9, greatest(1e-9::double, q.left_words / q.source_size * sqrt(d.size / (q.source_size * 1.0::double / q.texts)))) as pi
+  from d join q on d.source is not distinct from q.source),
+o as (select *, case when left_words > 0 and size > 0 then (u / (1.0 - u)) / (pi / (1.0 - pi)) end as odds from r),
+x as (select *, odds / (1.0 + odds) as rank from o),
+c as (select *, sum(case when rank is not null then size end) over (partition by source order by rank nulls last, doc_id rows unbounded preceding) as done from x),
+b as (select *, rank is not null and done <= left_words as base from c),
+m as (select source, coalesce(sum(size) filter (base), 0) as got from b group by source),
+g as (select b.*, left_words - got as missing, abs(size - (left_words - got)) as gap from b join m on b.source is not distinct from m.source),
+k as (select source, min({'gap': gap, 'rank': rank, 'doc_id': doc_id}) as best from g where rank is not null and not base and gap < abs(missing) group by source)
+select g.doc_id, size, source_size, target, ((whole + case when base or coalesce(best.doc_id = g.doc_id, false) then 1 else 0 end) * size)::bigint as taken
+from g left join k on g.source is not distinct from k.source
+"""

@@ -66,4 +66,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_tiff, op2_toxicity, op3_licenses, op4_language_id, op5_line_dedup, op6_token_counts, op7_order_minhash, op8_packing, op9_simhash, op10_mixing)
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL}
