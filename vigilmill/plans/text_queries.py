@@ -201,3 +201,21 @@ def stratified_sample(t):
     """Five documents of each source in the order of a seeded hash."""
     w = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
     return t.documents.withColumn("n", F.row_number().over(w)).where("n <= 5").select("source", "doc_id")
+
+
+@query(r"""with k as (select doc_id, list_filter([case when regexp_matches(text, '(?i)\b(?:password|passwd|secret|token|api_?key) ?[=:] ?"?[0-9a-z]{16,}"?') then 'assignment' end, case when regexp_matches(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b') then 'aws_key' end], lambda x: x is not null) as kinds from documents where text is not null)
+ select doc_id, array_to_string(kinds, ',') as kinds from k where len(kinds) > 0""")
+def credential_kinds(t):
+    """Documents with a credential of a known format."""
+    from vigilmill.functions.credentials import credential_kinds as kinds
+
+    return t.documents.where("text is not null").select("doc_id", F.array_join(kinds(F.col("text")), ",").alias("kinds")).where("kinds <> ''")
+
+
+@query()
+def readable_views(t):
+    """Documents whose readable view differs from the text, with its length."""
+    from vigilmill.functions.normalize import readable_view
+
+    d = t.documents.where("text is not null").select("doc_id", "text", readable_view(F.col("text")).alias("view"))
+    return d.where("view <> text").select("doc_id", F.length("view").alias("n"))
