@@ -308,7 +308,8 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     grouped = distinct.join(roots, "h1")
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     moved = cut(grouped.join(best, "root").select("h1", "h2", "best"))
-    kept = distinct.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best"))
+    # Written, so that the next join deals both sides anew and may split a very common line.
+    kept = cut(distinct.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best")))
     return lines.join(kept, ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
 
 
