@@ -25,8 +25,8 @@ from vigilmill.llm.blocks import block_keys, dealt, masks, near_pairs, whole_run
 from vigilmill.llm.common import cut
 from vigilmill.llm.components import components
 
-RADIUS = 3
-BLOCKS = 5
+RADIUS = 4
+BLOCKS = 6
 SIMILARITY = 0.9
 CELL = 2048
 
@@ -34,6 +34,8 @@ _NORMAL = bytes(
     ord("0") if 48 <= c < 58 else c if c >= 128 or 97 <= c < 123 else 32 for c in range(256)
 )
 _WIDE = re.compile(r"[^\w\s]+")
+#: Letters of scripts without spaces (Thai to Myanmar, Khmer, kana, Han): each counts as a word of the SimHash.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def normal_lines(text: str | None) -> list[bytes]:
@@ -52,6 +54,17 @@ _LATIN_BYTES = bytes([*range(0xC0), 0xC3, 0xC4, 0xC5])
 _KEEP_BREAKS = bytes(10 if c == 10 else _NORMAL[c] for c in range(256))
 
 
+def code_lines(lines: list[bytes]) -> list[bytes]:
+    """The lines as `simhashes` takes them: letters of scripts without spaces stand alone.
+
+    Such letters have lead bytes of E0 or more in UTF-8.
+    """
+    return [_UNSPACED.sub(r" \1 ", x.decode("utf-8", "replace")).encode() if x.translate(None, _LOW_BYTES) else x for x in lines]
+
+
+_LOW_BYTES = bytes(range(0xE0))
+
+
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """64-bit SimHash over the words (with repeats) of each non-empty line; bytes as made by `normal_lines`.
 
@@ -195,7 +208,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").reshape(-1, 2).astype(np.int64)
             where = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(where), b.column("text_key").take(where), pa.array(number, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(simhashes(lines).view(np.int64))],
+                [b.column("doc_id").take(where), b.column("text_key").take(where), pa.array(number, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(simhashes(code_lines(lines)).view(np.int64))],
                 ["doc_id", "text_key", "line_no", "h1", "h2", "code"],
             )
 
