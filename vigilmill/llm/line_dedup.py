@@ -1,8 +1,9 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one line kept of each group.
 
-1. Every text is split at newlines; a line's normal form is its lower-case words without punctuation, digits
-   as 0.  Each line becomes a small row: a 128-bit hash and a 64-bit word SimHash of its normal form.
-2. Distinct normal forms meet in the tables of `blocks`; lines that have another within `radius` bits are flagged.
+1. Every text is split at newlines; a line's plain form is its lower-case words without punctuation, its normal form
+   has digits as 0 besides.  Each line becomes a small row: a 128-bit hash of its plain form and a 64-bit word SimHash
+   of its normal form, so that lines that differ in digits are proposed, but removed only if verified.
+2. Distinct plain forms meet in the tables of `blocks`; lines that have another within `radius` bits are flagged.
 3. Only flagged lines fetch their text.  In each bucket, lines within the radius and of edit similarity
    `similarity` or more are linked; pairs that are already connected are not compared again, so a large group
    costs about one comparison a line.  Components of the links are the groups.
@@ -30,9 +31,7 @@ BLOCKS = 6
 SIMILARITY = 0.9
 CELL = 2048
 
-_NORMAL = bytes(
-    ord("0") if 48 <= c < 58 else c if c >= 128 or 97 <= c < 123 else 32 for c in range(256)
-)
+_ZERO = bytes(ord("0") if 48 <= c < 58 else c for c in range(256))
 _WIDE = re.compile(r"[^\w\s]+")
 #: Letters of scripts without spaces (Thai to Myanmar, Khmer, kana, Han): each counts as a word of the SimHash.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
@@ -40,6 +39,11 @@ _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u
 
 def normal_lines(text: str | None) -> list[bytes]:
     """Normal form of each line of a text; empty if a line has no word."""
+    return [x.translate(_ZERO) for x in plain_lines(text)]
+
+
+def plain_lines(text: str | None) -> list[bytes]:
+    """Plain form of each line of a text, which keeps its digits; empty if a line has no word."""
     if not text:
         return []
     lower = text.lower()
@@ -51,14 +55,15 @@ def normal_lines(text: str | None) -> list[bytes]:
 
 
 _LATIN_BYTES = bytes([*range(0xC0), 0xC3, 0xC4, 0xC5])
-_KEEP_BREAKS = bytes(10 if c == 10 else _NORMAL[c] for c in range(256))
+_KEEP_BREAKS = bytes(c if c == 10 or c >= 128 or 48 <= c < 58 or 97 <= c < 123 else 32 for c in range(256))
 
 
 def code_lines(lines: list[bytes]) -> list[bytes]:
-    """The lines as `simhashes` takes them: letters of scripts without spaces stand alone.
+    """Plain forms as `simhashes` takes them: digits as 0, letters of scripts without spaces alone.
 
     Such letters have lead bytes of E0 or more in UTF-8.
     """
+    lines = [x.translate(_ZERO) for x in lines]
     return [_UNSPACED.sub(r" \1 ", x.decode("utf-8", "replace")).encode() if x.translate(None, _LOW_BYTES) else x for x in lines]
 
 
@@ -194,11 +199,11 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, text_key, line_no (from 0), h1, h2 (128-bit hash of the normal form), code."""
+    """One row per line with a word: doc_id, text_key, line_no (from 0), h1, h2 (128-bit hash of the plain form), code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            per_doc = [normal_lines(t) for t in b.column("text").to_pylist()]
+            per_doc = [plain_lines(t) for t in b.column("text").to_pylist()]
             counts = np.fromiter(map(len, per_doc), np.int64, len(per_doc))
             lines = [x for p in per_doc for x in p]
             full = np.fromiter(map(len, lines), np.int64, len(lines)) > 0
@@ -266,7 +271,7 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, tables: np.ndarray, text
 
 
 def line_links(lines: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """(a1, a2, b1, b2): links between distinct normal forms; lines: h1, h2, code, line."""
+    """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line."""
     keyed = lines.select("h1", "h2", "code", "line", F.posexplode(block_keys(F.col("code"), blocks, radius)).alias("tab", "bucket"))
     masks_ = np.array(masks(blocks, radius), np.uint64)
 
@@ -284,13 +289,13 @@ def line_links(lines: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, lea
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, line of the wanted normal forms, found again in the documents that hold their first occurrence (doc_id, text_key, line_no)."""
+    """h1, h2, line of the wanted plain forms, found again in the documents that hold their first occurrence (doc_id, text_key, line_no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n1, n2, texts = [], [], []
             for text, numbers in zip(b.column("text").to_pylist(), b.column("numbers").to_pylist()):
-                lines = normal_lines(text)
+                lines = plain_lines(text)
                 for k in numbers:
                     raw = xxhash.xxh3_128_digest(lines[k])
                     n1.append(int.from_bytes(raw[:8], "big", signed=True))
@@ -306,7 +311,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in normal form or through links."""
+    """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in plain form or through links."""
     lines = cut(line_rows(docs))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
     distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first")))
