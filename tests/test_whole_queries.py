@@ -10,3 +10,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("whole, capped", [("all_approvals_with_request", "approvals_with_request"), ("all_versions_in_order", "version_order")])
 def test_more_rows(spark, whole, capped):
     assert plans.QUERIES[whole](spark, SF).count() > plans.QUERIES[capped](spark, SF).count()
+
+
+def test_every_injection_vector_is_judged(spark, tmp_path):
+    rows = [(i, [1.0, i / 1000], 0) for i in range(1, 200)] + [(500, [1.0, 0.05], 3), (777, [-1.0, 2.0], 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r[0] for r in plans.QUERIES["kept_injection_vectors"](spark, str(tmp_path)).collect()] == [777]

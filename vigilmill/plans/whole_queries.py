@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vigilmill.plans.catalog_queries import _HOST, _hosts
@@ -37,3 +41,31 @@ def all_traced_urls(t):
     near = h.select("page_id", "host", F.inline(F.concat(above, F.array(key("same", F.col("path")))))).join(keys, ["host", "kind", "key"], "left_semi").select("page_id", F.lit("path").alias("traced")).distinct()
     traced = h.join(known.select("host").distinct(), "host", "left_semi").select("page_id").distinct()
     return traced.join(near, "page_id", "left").select("page_id", F.coalesce("traced", F.lit("host")).alias("traced"))
+
+
+#: Vectors of a block: two blocks and their products fit a task.
+BLOCK = 1024
+
+
+@query("""with v as (select vec_id, embedding::double[] as e, label from embeddings),
+ s as (select q.vec_id, max(round(list_dot_product(q.e, i.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(i.e, i.e))), 6)) as sim from v q join v i on i.label <> 0 where q.label = 0 group by 1)
+ select vec_id from v where label = 0 and vec_id not in (select vec_id from s where sim >= 0.92)""")
+def kept_injection_vectors(t):
+    """Injection vectors (label 0) that are not within cosine 0.92 of a benign one: every pair, block by block."""
+    def blocked(rows, name):
+        n = max(1, -(-rows.count() // BLOCK))
+        return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n))).agg(F.collect_list("vec_id").alias(f"{name}_id"), F.flatten(F.collect_list(F.col("embedding").cast("array<double>"))).alias(name)).select(f"{name}_id", name)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                a, b = r.q.reshape(len(r.q_id), -1), r.i.reshape(len(r.i_id), -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = np.round(a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)), 6)
+                yield pd.DataFrame({"vec_id": np.asarray(r.q_id)[(sim >= 0.92).any(axis=1)]})
+
+    v = t.embeddings.select("vec_id", "embedding", "label")
+    injected = v.where("label = 0")
+    pairs = blocked(injected, "q").crossJoin(blocked(v.where("label <> 0"), "i"))
+    near = pairs.mapInPandas(run, f"vec_id {dict(v.dtypes)['vec_id']}")
+    return injected.select("vec_id").join(near, "vec_id", "left_anti")
