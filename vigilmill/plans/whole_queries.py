@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vigilmill.functions import text as tx
+from vigilmill.operators.memory import SOURCE_CAP
 from vigilmill.plans.catalog_queries import _HOST, _hosts
 from vigilmill.plans.registry import query
+from vigilmill.streaming.session import MOST
 
 
 @query("select o_orderkey, c_name, c_mktsegment from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P'")
@@ -69,3 +73,26 @@ def kept_injection_vectors(t):
     pairs = blocked(injected, "q").crossJoin(blocked(v.where("label <> 0"), "i"))
     near = pairs.mapInPandas(run, f"vec_id {dict(v.dtypes)['vec_id']}")
     return injected.select("vec_id").join(near, "vec_id", "left_anti")
+
+
+@query("""select doc_id, case when length(text) > 20000 then left(text, 10000) || chr(10) || right(text, 10000) else text end as seen from documents where text is not null""")
+def full_head_tail_window(t):
+    """Texts as the threat memory sees them, at the operator's own limit."""
+    return t.documents.where("text is not null").select("doc_id", tx.head_and_tail(F.col("text")).alias("seen"))
+
+
+@query(f"""with d as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as n from documents) select source, doc_id from d where n <= {SOURCE_CAP}""")
+def full_source_quota_keep(t):
+    """The strongest items of each source stay, at the memory's own cap."""
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    return t.documents.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SOURCE_CAP).select("source", "doc_id")
+
+
+@query(f"""with n as (select user_id, event_type, max((ts, event_id)) as m from events group by 1, 2), r as (select user_id, event_type, row_number() over (partition by user_id order by m desc) as k, count(*) over (partition by user_id) as held from n)
+ select user_id, event_type, held > {MOST} as incomplete from r where k <= {MOST}""")
+def full_newest_bounded_set(t):
+    """The values seen last in each session, at the stream's own bound; dropping any marks the session incomplete."""
+    n = t.events.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    w = Window.partitionBy("user_id")
+    r = n.withColumn("k", F.row_number().over(w.orderBy(F.desc("m")))).withColumn("held", F.count("*").over(w))
+    return r.where(F.col("k") <= MOST).select("user_id", "event_type", (F.col("held") > MOST).alias("incomplete"))
