@@ -147,21 +147,23 @@ def test_line_simhash_plain():
     assert [int(line_dedup.simhashes([x])[0]) for x in lines] == whole.tolist()
 
 
-def _lines_brute(rows, radius, least):
-    """Occurrences kept, by all pairs."""
+def _lines_brute(rows, radius=None):
+    """Occurrences removed, by all pairs of edit similarity 0.9; with `radius` only pairs that share a block and lie within it."""
     forms, places = {}, defaultdict(list)
     for doc_id, text in rows:
-        for n, x in enumerate(line_dedup.normal_lines(text)):
+        for n, x in enumerate(line_dedup.plain_lines(text)):
             if x:
-                forms.setdefault(x, int(line_dedup.simhashes([x])[0]))
+                codes, keys = line_dedup.codes_and_blocks(line_dedup.code_lines([x]))
+                forms[x] = int(codes[0]), {int(k) for k in keys[0] if k}
                 places[x].append((doc_id, n))
     names = list(forms)
     links = blocks.Links(len(names))
     for i in range(len(names)):
         for j in range(i):
-            if (forms[names[i]] ^ forms[names[j]]).bit_count() <= radius:
+            (c, p), (d, q) = forms[names[i]], forms[names[j]]
+            if radius is None or (p & q and (c ^ d).bit_count() <= radius):
                 a, b = names[i].decode(), names[j].decode()
-                if _distance(a, b) <= int((1 - least) * max(len(a), len(b)) + 1e-9):
+                if _distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
                     links.join(i, j)
     groups = defaultdict(list)
     for i, x in enumerate(names):
@@ -180,8 +182,43 @@ def test_lines_brute(spark, cell):
             x = r.choice(base)
             picked.append(r.choice([x, x.upper() + "!", x.replace("stone", "stome", 1), x + " 7", "", "---"]))
         rows.append((i, "\n".join(picked)))
-    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), cell=cell).collect()
-    assert {(x["doc_id"], x["line_no"]) for x in got} == _lines_brute(rows, line_dedup.RADIUS, line_dedup.SIMILARITY)
+    got = {(x["doc_id"], x["line_no"]) for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), cell=cell).collect()}
+    assert got == _lines_brute(rows, line_dedup.RADIUS)
+    every = _lines_brute(rows)
+    assert got <= every and len(got) >= 0.9 * len(every)
+
+
+def test_short_line_blocks():
+    """Words counted alike, one changed: a half stays; a longer line: a run of three words stays."""
+    _, keys = line_dedup.codes_and_blocks([b"a river of stone", b"a rover of stone", b"one", b"of the old stone bridge over a wide river", b"of the old stone bridge over the wide river"])
+    shared = lambda i, j: {int(k) for k in keys[i] if k} & {int(k) for k in keys[j] if k}
+    assert shared(0, 1) and shared(3, 4) and not shared(0, 3)
+    assert [int((k != 0).sum()) for k in keys] == [5, 5, 2, 5, 5]
+
+
+def test_removal_is_linear(spark):
+    """A document of 200,000 lines of which every other goes."""
+    import time
+
+    n = 200_000
+    df = spark.createDataFrame([("\n".join(map(str, range(n))), list(range(1, n, 2)))], "text string, gone array<int>")
+    began = time.time()
+    left = df.select(line_dedup.without_lines(F.col("text"), F.col("gone")).alias("t")).first()["t"]
+    assert left == "\n".join(map(str, range(0, n, 2))) and time.time() - began < 20
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators' own helpers pass through."""
+    docs = spark.createDataFrame(
+        [(1, "a line of seven words is here now\nz", "en", "a", 5, 6, 7, 8, 9, 10, 11), (2, "a line of seven words is here now", "en", "a", 5, 6, 7, 8, 9, 10, 11)],
+        "doc_id bigint, text string, lang string, source string, gone int, __gone int, __text_key int, mine int, __n int, __copies int, `key` int",
+    )
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == [*docs.columns, "__n_lines", "__n_removed"]
+    assert [(r["doc_id"], r["text"], r["__n_removed"]) for r in lines.orderBy("doc_id").collect()] == [(1, "a line of seven words is here now\nz", 0), (2, "", 1)]
+    for out in (line_dedup.dedup_lines(lines), simhash_dedup.keep_one(docs), mixing.apply_mix(docs), toxicity.reject_toxic(docs, toxicity.seed_model())):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(tuple(r)[4:11] == tuple(range(5, 12)) for r in out.collect())
 
 
 def test_lines_corner_texts(spark, corners):

@@ -40,32 +40,51 @@ def block_keys(code: Column, blocks: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(blocks, radius))])
 
 
-def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int, expected: int) -> DataFrame:
-    """rows with a column `cell`: the key, or for a bucket of over `limit` rows one row for each cell of its chunk.
+def _overfull(rows: DataFrame, key: str, limit: int, expected: int) -> DataFrame:
+    """(key, bucket_rows) of the keys of over `limit` rows, found exactly.
 
-    Dealt to tasks by cell and sorted by it, as `whole_runs` needs it.  Large buckets are found exactly: counts by a
-    coarse hash of the key are combined before their shuffle, and only keys in overfull coarse bins are counted one by one.
-    `expected` (about the number of rows) sets the number of coarse bins.
+    Counts by a coarse hash of the key are combined before their shuffle, and only keys in overfull coarse bins are counted one by one.
     """
     bins = 1 << max(14, (4 * expected // limit).bit_length())
     coarse = F.pmod(F.xxhash64(key), F.lit(bins)).alias("coarse")
     full = cut(rows.groupBy(coarse).count().where(F.col("count") > limit).select("coarse"))
-    if full.isEmpty():
+    suspects = rows.select(key, coarse).join(beside(full), "coarse", "left_semi")
+    return cut(suspects.groupBy(key).agg(F.count("*").alias("bucket_rows")).where(F.col("bucket_rows") > limit))
+
+
+def beside(table: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast if it has `BROADCAST_ROWS` rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def dealt(rows: DataFrame, key: str, row_hash: Column, limit: int, expected: int, band: Column | None = None) -> DataFrame:
+    """rows with a column `cell`: the key, or for a bucket of over `limit` rows one row for each cell of its chunk.
+
+    Dealt to tasks by cell and sorted by it, as `whole_runs` needs it.  `expected` (about the number of rows) sets how finely
+    large buckets are looked for.  With `band`, an integer by which only rows of equal or neighbouring values can belong
+    together, a large bucket is first parted into one for each two neighbouring bands.
+    """
+    large = _overfull(rows, key, limit, expected)
+    if large.isEmpty():
         return rows.withColumn("cell", F.col(key)).repartition("cell").sortWithinPartitions("cell")
-    few = full.count() <= BROADCAST_ROWS
-    suspects = rows.withColumn("coarse", coarse).join(F.broadcast(full) if few else full, "coarse", "left_semi")
-    large = cut(suspects.groupBy(key).agg(F.count("*").alias("bucket_rows")).where(F.col("bucket_rows") > limit))
-    few = large.count() <= BROADCAST_ROWS
-    sized = rows.join(F.broadcast(large) if few else large, key, "left")
+    sized, by = rows.join(beside(large), key, "left"), key
+    if band is not None:
+        by = "part_key"
+        parts = F.array(*[F.xxhash64(F.col(key), band + i) for i in (0, 1)])
+        # Keys of other buckets stay out of the counts of parts.
+        only = rows.join(beside(large.select(key)), key, "left_semi").select(F.explode(parts).alias(by))
+        large = _overfull(only, by, limit, expected)
+        sized = sized.withColumn(by, F.explode(F.when(F.col("bucket_rows").isNotNull(), parts).otherwise(F.array(F.col(key))))).drop("bucket_rows")
+        sized = sized.join(beside(large), by, "left")
     chunks = F.ceil(F.col("bucket_rows") / F.lit(limit)).cast("bigint")
     mine = F.pmod(row_hash, chunks)
     cells = F.when(
         F.col("bucket_rows").isNotNull(),
         F.transform(
             F.sequence(F.lit(0).cast("bigint"), chunks - 1),
-            lambda j: F.xxhash64(F.col(key), F.least(mine, j), F.greatest(mine, j)),
+            lambda j: F.xxhash64(F.col(by), F.least(mine, j), F.greatest(mine, j)),
         ),
-    ).otherwise(F.array(F.col(key)))
+    ).otherwise(F.array(F.col(by)))
     return sized.withColumn("cell", F.explode(cells)).drop("bucket_rows").repartition("cell").sortWithinPartitions("cell")
 
 

@@ -3,15 +3,22 @@
 1. Every text is split at newlines; a line's plain form is its lower-case words without punctuation, its normal form
    has digits as 0 besides.  Each line becomes a small row: a 128-bit hash of its plain form and a 64-bit word SimHash
    of its normal form, so that lines that differ in digits are proposed, but removed only if verified.
-2. Distinct plain forms meet in the tables of `blocks`; lines that have another within `radius` bits are flagged.
-3. Only flagged lines fetch their text.  In each bucket, lines within the radius and of edit similarity
-   `similarity` or more are linked; pairs that are already connected are not compared again, so a large group
-   costs about one comparison a line.  Components of the links are the groups.
+2. Pigeonhole blocks are cut from the line's words: lines with few changed words agree in a block, whatever their
+   codes do.  (Blocks of the code's bits would need a radius of ten for edit similarity 0.9, and no table of them is
+   selective.)  A block is a run of `BLOCK_WORDS` words, and the `BLOCKS` of least hash are a line's; of a line of under
+   `SHORT` words some are its halves, of which one changed word leaves one whole.
+3. Lines that share a block and whose codes differ in `RADIUS` bits at most are flagged, and only they fetch their text.
+   In each block, such lines are linked if their edit similarity is `similarity` or more; pairs that are connected
+   already are not compared again.  Components of the links are the groups.
 4. Of each group's occurrences the first by (doc_id, line number) stays.
+
+A block of more than `cell` lines is first parted by line length (lines of that similarity differ by a tenth at most), then
+dealt to cells in which any two of its lines meet.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,14 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import block_keys, dealt, masks, near_pairs, whole_runs
-from vigilmill.llm.common import cut
+from vigilmill.llm.blocks import beside, dealt, near_pairs, whole_runs
+from vigilmill.llm.common import cut, free_names
 from vigilmill.llm.components import components
 
-RADIUS = 4
-BLOCKS = 6
+RADIUS = 20
+BLOCKS = 5
+BLOCK_WORDS = 3
+SHORT = 10
 SIMILARITY = 0.9
 CELL = 2048
+#: Forms that a task remembers, so that a very common line gives its blocks about once for each task.
+REMEMBERED = 1 << 18
 
 _ZERO = bytes(ord("0") if 48 <= c < 58 else c for c in range(256))
 _WIDE = re.compile(r"[^\w\s]+")
@@ -71,20 +82,26 @@ _LOW_BYTES = bytes(range(0xE0))
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash over the words (with repeats) of each non-empty line; bytes as made by `normal_lines`.
+    """64-bit SimHash over the words (with repeats) of each non-empty line; bytes as made by `code_lines`."""
+    return codes_and_blocks(lines)[0]
+
 
-    Words are hashed for all lines at once: a polynomial of a word's bytes from prefix sums modulo 2**64, then mixed.
+def codes_and_blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """uint64[lines] SimHashes and uint64[lines, BLOCKS] block keys; a line of fewer blocks has 0 in the rest.
+
+    Words are hashed for all lines at once: a polynomial of a word's bytes from prefix sums modulo 2**64, then mixed;
+    a block's hash is that of its bytes, blanks included.
     """
-    out = np.zeros(len(lines), np.uint64)
+    codes, blocks = np.zeros(len(lines), np.uint64), np.zeros((len(lines), BLOCKS), np.uint64)
     at = 0
     while at < len(lines):
         stop, held = at, 0
         while stop < len(lines) and (held < 1 << 20 or stop == at):
             held += len(lines[stop]) + 1
             stop += 1
-        out[at:stop] = _simhash_chunk(lines[at:stop])
+        codes[at:stop], blocks[at:stop] = _chunk(lines[at:stop])
         at = stop
-    return out
+    return codes, blocks
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -110,25 +127,59 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _simhash_chunk(lines: list[bytes]) -> np.ndarray:
+def _chunk(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     up, down = _powers(len(data))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+
+        def hashed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            return _mixed((total[hi] - total[lo]) * down[lo] ^ (hi - lo).astype(np.uint64))
+
         ends = np.flatnonzero((data == 32) | (data == 10))
         starts = np.concatenate(([0], ends[:-1] + 1))
         line = np.cumsum(data[ends] == 10) - (data[ends] == 10)
         word = ends > starts
         starts, ends, line = starts[word], ends[word], line[word]
-        hashes = _mixed((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
-    out = np.zeros(len(lines), np.uint64)
+        hashes = hashed(starts, ends)
+    codes, blocks = np.zeros(len(lines), np.uint64), np.zeros((len(lines), BLOCKS), np.uint64)
     if not len(hashes):
-        return out
+        return codes, blocks
     firsts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     sizes = np.diff(np.concatenate((firsts, [len(line)])))
     ones = _ones(hashes, firsts, int(sizes.max()))
-    out[line[firsts]] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
-    return out
+    codes[line[firsts]] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+    # Halves of short lines, as beginnings and ends; both roundings where a word more or less can be, which else parts lines.
+    short = np.flatnonzero(sizes < SHORT)
+    head, n = firsts[short], sizes[short]
+    taken = np.zeros(len(sizes), np.int64)  # slots in use
+    with np.errstate(over="ignore"):
+        for rule, half in ((n < SHORT - 2, (n + 1) // 2), (n >= 4, n // 2)):
+            h, k, size = head[rule], half[rule], n[rule]
+            mark = np.where(size < 4, size, 0).astype(np.uint64) * np.uint64(2)
+            slot, row = taken[short[rule]], line[h]
+            blocks[row, slot] = _mixed(hashed(starts[h], ends[h + k - 1]) + mark)
+            blocks[row, slot + 1] = _mixed(hashed(starts[h + size - k], ends[h + size - 1]) + mark + np.uint64(1))
+            taken[short[rule]] += 2
+    # In the slots left, the runs of BLOCK_WORDS words of least hash, equal ones counted once.
+    run = np.flatnonzero(line[BLOCK_WORDS - 1 :] == line[: max(0, len(line) - BLOCK_WORDS + 1)])
+    if len(run):
+        key, owner = hashed(starts[run], ends[run + BLOCK_WORDS - 1]), line[run]
+        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        mine = owner[edge]
+        used = np.zeros(len(lines), np.int64)
+        used[line[firsts]] = taken
+        slot = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(owner)]))))
+        for k in range(BLOCKS):
+            least = np.minimum.reduceat(key, edge)
+            some = (least != _NONE) & (used[mine] + k < BLOCKS)
+            blocks[mine[some], used[mine[some]] + k] = least[some]
+            key[key == least[slot]] = _NONE
+    return codes, blocks
+
+
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _ones(hashes: np.ndarray, firsts: np.ndarray, largest: int) -> np.ndarray:
@@ -221,42 +272,78 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, h1 bigint, h2 bigint, code bigint")
 
 
-def flagged_codes(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """The codes that have another one within the radius; codes: distinct `code`."""
-    keyed = codes.select("code", F.explode(block_keys(F.col("code"), blocks, radius)).alias("bucket"))
+def length_band(size, similarity: float):
+    """The band of a line length; lines of that edit similarity lie in the same band or in neighbours."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(similarity) * 1.000001)).cast("int")
+
+
+def block_rows(docs: DataFrame) -> DataFrame:
+    """(bucket, code, size) of the blocks of every line's normal form; a repeated form gives them at least once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            lines = []
+            for text in b.column("text").to_pylist():
+                for x in plain_lines(text):
+                    if x and (h := xxhash.xxh3_64_intdigest(x)) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(h)
+                        lines.append(x)
+            if not lines:
+                continue
+            codes, blocks = codes_and_blocks(code_lines(lines))
+            sizes = np.fromiter(map(len, lines), np.int32, len(lines))
+            used = blocks != 0
+            each = used.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[used].view(np.int64)), pa.array(np.repeat(codes.view(np.int64), each)), pa.array(np.repeat(sizes, each))], ["bucket", "code", "size"])
+
+    return docs.select("text").mapInArrow(run, "bucket bigint, code bigint, size int")
+
+
+def flagged_codes(docs: DataFrame, expected: int, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """The distinct codes that share a block with a different one within the radius; `expected`: about the number of block rows."""
+    keyed = block_rows(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[int] = set()
         for f in whole_runs(frames):
-            codes_ = f["code"].to_numpy()
-            for pair in near_pairs(f["cell"].to_numpy(), codes_.view(np.uint64), radius):
-                found.update(codes_[np.concatenate(pair)].tolist())
+            cells, codes = f["cell"].to_numpy(), f["code"].to_numpy()
+            order = np.lexsort((codes, cells))  # a code once in a cell
+            cells, codes = cells[order], codes[order]
+            new = np.concatenate(([True], (cells[1:] != cells[:-1]) | (codes[1:] != codes[:-1])))
+            cells, codes = cells[new], codes[new]
+            for pair in near_pairs(cells, codes.view(np.uint64), radius):
+                found.update(codes[np.concatenate(pair)].tolist())
             if len(found) > 50_000:
                 yield pd.DataFrame({"code": list(found)}, dtype="int64")
                 found = set()
         if found:
             yield pd.DataFrame({"code": list(found)}, dtype="int64")
 
-    expected = codes.count() * len(masks(blocks, radius))
-    return dealt(keyed, "bucket", F.xxhash64("code"), cell, expected).select("cell", "code").mapInPandas(run, "code bigint").distinct()
+    band = length_band(F.col("size"), similarity)
+    return dealt(keyed, "bucket", F.xxhash64("code"), cell, expected, band).select("cell", "code").mapInPandas(run, "code bigint").distinct()
 
 
-def verified_links(cell: np.ndarray, codes: np.ndarray, tables: np.ndarray, texts: list[str], radius: int, least: float, masks_: np.ndarray) -> np.ndarray:
-    """Spanning links (i, smallest of its group) of lines sorted by cell: int[n, 2].
+def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, blocks: np.ndarray, texts: list[str], radius: int, least: float) -> np.ndarray:
+    """Spanning links (i, smallest of its group) of lines sorted by cell: int[n, 2]; blocks: uint64[n, BLOCKS], 0 for none.
 
-    A pair is compared in the first table that brings it together, and only if it is not connected yet; taking
-    each line's partners in order makes a large group a star after about one comparison a line.
+    A pair is compared in the least of the blocks that it shares, and only if it is not connected yet; taking each line's
+    partners in order makes a large group a star after about one comparison a line.
     """
     group = np.arange(len(texts))
-    found = list(near_pairs(cell, codes, radius))
-    if not found:
-        return np.empty((0, 2), np.int64)
-    i, j = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
-    away, first = codes[i] ^ codes[j], np.zeros(len(i), bool)
-    for t in range(len(masks_) - 1, -1, -1):  # the lowest table is set last
-        agree = (away & masks_[t]) == 0
-        first[agree] = tables[i[agree]] == t
-    i, j = i[first], j[first]
+    first_i, first_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in near_pairs(cell, codes, radius):
+        least_shared = np.full(len(i), _NONE)
+        for k in range(blocks.shape[1]):
+            mine = blocks[i, k]
+            shared = (mine != 0) & (mine[:, None] == blocks[j]).any(axis=1)
+            least_shared = np.where(shared, np.minimum(least_shared, mine), least_shared)
+        here = least_shared == bucket[i]
+        first_i.append(i[here])
+        first_j.append(j[here])
+    i, j = np.concatenate(first_i), np.concatenate(first_j)
     order = np.lexsort((j, i))
     i, j = i[order], j[order]
     edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
@@ -270,82 +357,99 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, tables: np.ndarray, text
     return np.stack((moved, group[moved]), axis=1)
 
 
-def line_links(lines: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line."""
-    keyed = lines.select("h1", "h2", "code", "line", F.posexplode(block_keys(F.col("code"), blocks, radius)).alias("tab", "bucket"))
-    masks_ = np.array(masks(blocks, radius), np.uint64)
+def line_links(lines: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line, blocks."""
+    keyed = lines.select("h1", "h2", "code", "line", "blocks", F.explode("blocks").alias("bucket"), F.octet_length("line").alias("size"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_runs(frames):
             h1, h2 = f["h1"].to_numpy(), f["h2"].to_numpy()
-            found = verified_links(f["cell"].to_numpy(), f["code"].to_numpy().view(np.uint64), f["tab"].to_numpy(), f["line"].tolist(), radius, least, masks_)
+            blocks = np.zeros((len(f), BLOCKS), np.uint64)
+            for k, x in enumerate(f["blocks"]):
+                blocks[k, : len(x)] = np.asarray(x, np.int64).view(np.uint64)
+            found = verified_links(f["cell"].to_numpy(), f["code"].to_numpy().view(np.uint64), f["bucket"].to_numpy().view(np.uint64), blocks, f["line"].tolist(), radius, least)
             if len(found):
                 i, j = found.T
                 yield pd.DataFrame({"a1": h1[i], "a2": h2[i], "b1": h1[j], "b2": h2[j]})
 
-    expected = lines.count() * len(masks_)
-    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell, expected).select("cell", "tab", "h1", "h2", "code", "line")
+    expected = lines.count() * BLOCKS
+    found = dealt(keyed, "bucket", F.xxhash64("h1", "h2"), cell, expected, length_band(F.col("size"), least)).select("cell", "bucket", "h1", "h2", "code", "line", "blocks")
     return found.mapInPandas(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, line of the wanted plain forms, found again in the documents that hold their first occurrence (doc_id, text_key, line_no)."""
+    """h1, h2, code, line, blocks of the wanted plain forms, found again in the documents that hold their first occurrence (doc_id, text_key, line_no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n1, n2, texts = [], [], []
+            texts = []
             for text, numbers in zip(b.column("text").to_pylist(), b.column("numbers").to_pylist()):
                 lines = plain_lines(text)
-                for k in numbers:
-                    raw = xxhash.xxh3_128_digest(lines[k])
-                    n1.append(int.from_bytes(raw[:8], "big", signed=True))
-                    n2.append(int.from_bytes(raw[8:], "big", signed=True))
-                    texts.append(lines[k].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(n1, pa.int64()), pa.array(n2, pa.int64()), pa.array(texts, pa.string())], ["h1", "h2", "line"])
+                texts.extend(lines[k] for k in numbers)
+            wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), ">i8").reshape(-1, 2).astype(np.int64)
+            codes, blocks = codes_and_blocks(code_lines(texts))
+            used = blocks != 0
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used.sum(axis=1)))), pa.int32()), pa.array(blocks[used].view(np.int64)))
+            lines = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes.view(np.int64)), lines, keys], ["h1", "h2", "code", "line", "blocks"])
 
     per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("numbers"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "numbers")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     held = rows.join(per_doc, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return held.select("text", "numbers").mapInArrow(run, "h1 bigint, h2 bigint, line string").dropDuplicates(["h1", "h2"])
+    return held.select("text", "numbers").mapInArrow(run, "h1 bigint, h2 bigint, code bigint, line string, blocks array<bigint>").dropDuplicates(["h1", "h2"])
 
 
-def repeated_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in plain form or through links."""
     lines = cut(line_rows(docs))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
     distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first")))
-    codes = cut(distinct.groupBy("code").agg(F.count("*").alias("forms")))
-    flagged = flagged_codes(codes.select("code"), radius, blocks, cell).unionByName(codes.where("forms > 1").select("code")).distinct()
-    wanted = cut(distinct.join(flagged, "code").select("h1", "h2", "code", "first.doc_id", "first.text_key", "first.line_no"))
-    texts = _texts_of(docs, wanted)
-    edges = line_links(cut(wanted.select("h1", "h2", "code").join(texts, ["h1", "h2"])), radius, blocks, similarity, cell)
+    # Forms of one code (they differ in digits at most, or in the order of words) are proposed without a block.
+    same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1").select("code")
+    flagged = flagged_codes(docs, distinct.count() * BLOCKS, radius, similarity, cell).unionByName(same).distinct()
+    wanted = distinct.join(flagged, "code").select("first.doc_id", "first.text_key", "first.line_no")
+    edges = line_links(cut(_texts_of(docs, wanted)), radius, similarity, cell)
     # Nodes are first halves of the hashes: two flagged forms that share one by chance would count as linked (for a
     # billion flagged forms, one such pair is expected in forty runs).
     roots = components(edges, "a1", "b1").select(F.col("node").alias("h1"), "root")
-    grouped = distinct.join(roots, "h1")
-    best = grouped.groupBy("root").agg(F.min("first").alias("best"))
-    moved = cut(grouped.join(best, "root").select("h1", "h2", "best"))
-    # Written, so that the next join deals both sides anew and may split a very common line.
+    grouped = cut(distinct.join(roots, "h1"))
+    # Written, so that the next joins deal both sides anew and may split a large group or a very common line.
+    best = cut(grouped.groupBy("root").agg(F.min("first").alias("best")))
+    moved = cut(grouped.join(beside(best), "root").select("h1", "h2", "best"))
     kept = cut(distinct.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best")))
     return lines.join(kept, ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the repeated lines removed from `text`, and __n_lines, __n_removed.
+def without_lines(text, gone):
+    """text without the lines whose numbers (from 0) the ascending array `gone` names; the work grows with the text, not with lines times gone."""
+    held = F.array(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone")))
+
+    def between(s, i):
+        """The lines after the i-th gone one (before the first, for i = 0) and before the next."""
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(s["gone"], i - 1) + 1)
+        stop = F.coalesce(F.get(s["gone"], i), F.size(s["lines"]))
+        return F.slice(s["lines"], start + 1, stop - start)
+
+    kept = F.transform(held, lambda s: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["gone"])), lambda i: between(s, i))), "\n"))
+    return F.element_at(kept, 1)
+
+
+def dedup_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "__n_removed", **options) -> DataFrame:
+    """docs with the repeated lines removed from `text`, and two more columns, n_lines and n_removed (underscores go before a name that docs has).
 
     Lines without a word (blank, punctuation) are never removed, nor is a document: one whose lines all repeat keeps
     its row with what is left of the text.  A null text stays null, with 0 lines.  Rows repeated with the same doc_id
-    and text are one document and keep the same lines.  Other columns pass through.
+    and text are one document and keep the same lines.  Other columns pass through, whatever their names.
     """
-    gone = repeated_lines(docs, **options).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
-    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
-    same = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
-    lines = F.split("text", "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull())
+    n_lines, n_removed, gone_, id_, key_, mine_ = free_names(docs.columns, n_lines, n_removed, "gone", "id", "key", "mine")
+    gone = repeated_lines(docs, **options).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias(gone_))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), gone_)
+    tagged = docs.withColumn(mine_, F.xxhash64("text"))
+    same = (F.col(mine_) == F.col(key_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
     out = tagged.join(gone, same, "left")
-    out = out.withColumn("__n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"))
-    out = out.withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"))
-    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    out = out.withColumn(n_lines, F.coalesce(breaks + 1, F.lit(0)).cast("bigint"))
+    out = out.withColumn(n_removed, F.coalesce(F.size(gone_), F.lit(0)).cast("bigint"))
+    out = out.withColumn("text", F.when(F.col(gone_).isNotNull(), without_lines(F.col("text"), F.col(gone_))).otherwise(F.col("text")))
+    return out.select(*docs.columns, n_lines, n_removed)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilmill.llm.common import cut
+from vigilmill.llm.common import cut, free_names
 
 BINS = 4096
 CERTAIN_BELOW = 1e-9
@@ -164,13 +164,14 @@ def _last_taken(rows: DataFrame, beside) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it (not at all included)."""
-    found = pareto_mix(docs, **options).groupBy("doc_id", "text_key").agg(F.max("copies").alias("__copies"))
-    found = found.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__copies")
-    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
-    same = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    """docs with every row repeated as often as the mix takes it (not at all included); columns are those of docs, whatever their names."""
+    copies_, id_, key_, mine_, nth_ = free_names(docs.columns, "copies", "id", "key", "mine", "nth")
+    found = pareto_mix(docs, **options).groupBy("doc_id", "text_key").agg(F.max("copies").alias(copies_))
+    found = found.where(F.col(copies_) > 0).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), copies_)
+    tagged = docs.withColumn(mine_, F.xxhash64("text"))
+    same = (F.col(mine_) == F.col(key_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
     chosen = tagged.join(found, same)
-    return chosen.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    return chosen.withColumn(nth_, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies_)))).select(*docs.columns)
 
 
 #: The rows of `pareto_mix` (doc_id, size, source_size, target, taken) in DuckDB's SQL, for distinct doc_ids.

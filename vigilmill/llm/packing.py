@@ -1,10 +1,14 @@
 """Hierarchical packing of tokenised documents into several context sizes.
 
 Every document is cut into whole windows of the longest context and a rest, and the rest is routed to the smallest tier that
-holds it.  From the longest tier down, a rest opens a window of its tier, and the gap is filled from shorter
-rests: the longest that fits whole, again and again, then a piece cut from a shorter one.  Windows that end
-up without filling go on to the next buffer and, at the end of the task, are cut at powers of two, so that no
-window is padded.  Windows of one tier are dealt to step groups of equal token counts.
+holds it.  Each tier is packed from its own rests, the longest tier first: a rest opens a window, and its gap is filled from
+shorter tiers, by the longest rest that fits whole.  A tier lends at most `LENT` of its tokens to longer ones, so that it
+keeps documents to pack itself; a gap that nothing lent fits is closed by cutting a piece from the tier's own next rest, which
+then goes to the tier of what is left of it.  Windows that cannot be filled go on to the next buffer and, at the end
+of the task, are cut at powers of two, so that no window is padded.
+
+Windows of one tier form step groups of equal token counts.  What the tiers have left over at the end of a task is dealt to
+mixed groups, the longest window first, each to the group of fewest tokens, so that these are balanced too.
 
 All happens in one pass over each partition with a buffer of bounded size: nothing is shuffled and no task
 sees more than its own partition.
@@ -29,6 +33,8 @@ from vigilmill.llm.tokens import SPECIAL, beyond_latin, ranks, tokenizer_path
 TIERS = (128, 256, 512, 1024)
 #: Tokens held by a task before it packs what it holds.
 BUFFER_TOKENS = 1 << 20
+#: Share of a tier's tokens in a buffer that may fill gaps of longer tiers.
+LENT = 0.5
 #: Tokens of a step group: 16 windows of 1024, 128 of 128.
 STEP_TOKENS = 16 * 1024
 
@@ -75,11 +81,15 @@ def encoder(json_file: str, rank_file: str) -> Encoder:
 class Packer:
     """Pieces are (document, start, length); a document is any key; finished windows are (tier, pieces)."""
 
-    def __init__(self, tiers=TIERS):
+    def __init__(self, tiers=TIERS, lent: float = LENT):
         if list(tiers) != sorted(set(tiers)) or any(t & (t - 1) for t in tiers):
             raise ValueError("tiers: ascending powers of two")
-        self.tiers = tuple(tiers)
-        self.rests: list[tuple[int, int, object]] = []  # (length, start, document), ascending
+        self.tiers, self.lent = tuple(tiers), lent
+        #: By tier: (length, start, document), ascending.
+        self.rests: dict[int, list[tuple[int, int, object]]] = {t: [] for t in self.tiers}
+
+    def held(self) -> int:
+        return sum(r[0] for rests in self.rests.values() for r in rests)
 
     def add(self, document, tokens: int) -> Iterator[tuple[int, list]]:
         most = self.tiers[-1]
@@ -89,45 +99,88 @@ class Packer:
             self._put(document, tokens - tokens % most, tokens % most)
 
     def _put(self, document, start: int, length: int) -> None:
-        insort(self.rests, (length, start, document), key=lambda r: r[0])
+        insort(self.rests[next(t for t in self.tiers if t >= length)], (length, start, document), key=_length)
 
-    def _take(self, at: int, room: int) -> tuple[object, int, int]:
+    def _take(self, tier: int, at: int, room: int) -> tuple[object, int, int]:
         """The rest at a place, or its first `room` tokens; what is left of it goes back."""
-        length, start, document = self.rests.pop(at)
+        length, start, document = self.rests[tier].pop(at)
         if length > room:
             self._put(document, start + room, length - room)
             length = room
         return document, start, length
 
+    def _filling(self, tier: int, room: int, lendable: dict[int, float]) -> tuple[int, int] | None:
+        """(tier, place) of what goes into a gap next: the longest that fits whole, else one to cut; shorter tiers within what they lend."""
+        own = self.rests[tier]
+        at = bisect_right(own, room, key=_length) - 1
+        if at >= 0:
+            return tier, at
+        for t in reversed(self.tiers[: self.tiers.index(tier)]):
+            at = bisect_right(self.rests[t], min(room, lendable[t]), key=_length) - 1
+            if at >= 0:
+                lendable[t] -= self.rests[t][at][0]
+                return t, at
+        if own:
+            return tier, 0
+        for t in self.tiers[: self.tiers.index(tier)]:
+            if self.rests[t] and lendable[t] >= room:
+                lendable[t] -= room
+                return t, 0
+        return None
+
     def pack(self) -> Iterator[tuple[int, list]]:
-        """Windows of the rests held; a window that cannot be filled stays held as rests."""
-        size = lambda r: r[0]
-        while self.rests:
-            first = self.rests.pop()  # the longest
-            tier = next(t for t in self.tiers if t >= first[0])
-            pieces, room = [(first[2], first[1], first[0])], tier - first[0]
-            while room and self.rests:
-                at = bisect_right(self.rests, room, key=size) - 1  # the longest that fits
-                # One that fits in whole, else the shortest is cut.
-                pieces.append(self._take(at if at >= 0 else 0, room))
-                room -= pieces[-1][2]
-            if room:
-                for document, start, length in pieces:
-                    self._put(document, start, length)
-                return
-            yield tier, pieces
+        """Windows of the rests held; what fills no window stays held."""
+        lendable = {t: self.lent * sum(map(_length, rests)) for t, rests in self.rests.items()}
+        for tier in reversed(self.tiers):
+            own = self.rests[tier]
+            while own:
+                pieces, room = [], tier
+                length, start, document = own.pop()  # the longest opens the window
+                pieces.append((document, start, length))
+                room -= length
+                while room and (found := self._filling(tier, room, lendable)):
+                    pieces.append(self._take(*found, room))
+                    room -= pieces[-1][2]
+                if room:
+                    for document, start, length in pieces:
+                        self._put(document, start, length)
+                    break
+                yield tier, pieces
 
     def finish(self) -> Iterator[tuple[int, list]]:
+        """All windows; the last of them at powers of two."""
         yield from self.pack()
-        while total := sum(r[0] for r in self.rests):
-            room = tier = 1 << (total.bit_length() - 1)
+        rests = sorted((r for found in self.rests.values() for r in found), key=_length)
+        for t in self.tiers:
+            self.rests[t] = []
+        while total := sum(map(_length, rests)):
+            room = tier = min(self.tiers[-1], 1 << (total.bit_length() - 1))
             pieces = []
             while room:
-                pieces.append(self._take(len(self.rests) - 1, room))
-                room -= pieces[-1][2]
+                length, start, document = rests.pop()
+                taken = min(length, room)
+                if length > taken:
+                    rests.append((length - taken, start + taken, document))
+                pieces.append((document, start, taken))
+                room -= taken
             yield tier, pieces
 
 
+def _length(rest: tuple) -> int:
+    return rest[0]
+
+
+def balanced(sizes: list[int], most: int) -> list[int]:
+    """The group of each of some windows: as few groups of `most` tokens as hold them, each window (longest first) in the group of fewest tokens."""
+    groups = [0] * max(1, -(-sum(sizes) // most))
+    found = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        g = groups.index(min(groups))
+        groups[g] += sizes[i]
+        found[i] = g
+    return found
+
+
 def pack_documents(
     docs: DataFrame,
     tiers=TIERS,
@@ -140,33 +193,44 @@ def pack_documents(
     """One row per piece (see SCHEMA); a null or empty text is the closing id alone.
 
     sequence_id has the task's partition in its upper bits, so it is unique without any exchange and the same
-    when a lost task is run again over the same partition.  Repeated rows are packed as rows of their own.
+    when a lost task is run again over the same partition.  Repeated rows are packed as rows of their own; other columns
+    are not read.  step_group is unique likewise; the groups of one tier have `step_tokens` tokens each.
     """
     files = [f if "/" in f else None for f in (json_file, rank_file)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(files[0] or tokenizer_path(json_file), files[1] or tokenizer_path(rank_file))
         base = TaskContext.get().partitionId() << 40
-        packer, ids, out, held = Packer(tiers), {}, [[] for _ in range(9)], 0
-        names: dict[int, tuple] = {}
-        counts, used, number, serial = {}, {}, 0, 0
+        packer, ids, names, used = Packer(tiers), {}, {}, {}
+        out: list[list] = [[] for _ in range(9)]
+        number = step = serial = 0
+        waiting: dict[int, list[list[tuple]]] = {}  # by tier: rows of the windows of its open step group
 
         def emit(windows) -> None:
             nonlocal number
             for tier, pieces in windows:
-                sequence, offset = base | number, 0
+                sequence, at, rows = base | number, 0, []
                 number += 1
-                nth = counts[tier] = counts.get(tier, -1) + 1
-                step = base | tier.bit_length() << 32 | nth // max(1, step_tokens // tier)
                 for key, start, length in pieces:
                     raw, (doc_id, tokens) = ids[key], names[key]
-                    row = (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), tokens, sequence, offset, tier, step)
-                    for column, value in zip(out, row):
-                        column.append(value)
-                    offset += length
+                    rows.append((doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), tokens, sequence, at, tier))
+                    at += length
                     used[key] = used.get(key, 0) + length
                     if used[key] == tokens:
                         del ids[key], names[key], used[key]
+                group = waiting.setdefault(tier, [])
+                group.append(rows)
+                if len(group) * tier >= step_tokens:
+                    close([waiting.pop(tier)])
+
+        def close(groups: list[list[list[tuple]]]) -> None:
+            nonlocal step
+            for group in groups:
+                for rows in group:
+                    for row in rows:
+                        for column, value in zip(out, (*row, base | step)):
+                            column.append(value)
+                step += 1
 
         def flush() -> pa.RecordBatch:
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
@@ -175,6 +239,7 @@ def pack_documents(
                 column.clear()
             return batch
 
+        held = 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 raw = memoryview(encode(text, closing))
@@ -185,10 +250,16 @@ def pack_documents(
                 serial += 1
                 if held >= buffer_tokens:
                     emit(packer.pack())
-                    held = sum(r[0] for r in packer.rests)
+                    held = packer.held()
                     if out[0]:
                         yield flush()
         emit(packer.finish())
+        left = [rows for tier in sorted(waiting) for rows in waiting[tier]]
+        sizes = [sum(r[2] for r in rows) for rows in left]
+        groups: dict[int, list] = {}
+        for rows, g in zip(left, balanced(sizes, step_tokens)):
+            groups.setdefault(g, []).append(rows)
+        close(list(groups.values()))
         if out[0]:
             yield flush()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilmill.llm.blocks import Links, block_keys, dealt, masks, whole_runs
-from vigilmill.llm.common import cut
+from vigilmill.llm.common import cut, free_names
 from vigilmill.llm.components import components
 
 
@@ -144,9 +144,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows repeated with the same doc_id and text count as one document.  Columns and their order are those of docs.
     """
+    id_, key_, mine_ = free_names(docs.columns, "keep_id", "keep_key", "mine")
     found = near_duplicates(docs, **options)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    best = found.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_key").alias("__keep_key"))
-    tagged = docs.withColumn("__text_key", F.xxhash64("text"))
-    same = (F.col("__text_key") == F.col("__keep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep_id"))
-    return tagged.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    best = found.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias(id_), F.col("best.text_key").alias(key_))
+    tagged = docs.withColumn(mine_, F.xxhash64("text"))
+    same = (F.col(mine_) == F.col(key_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
+    return tagged.join(best, same, "left_semi").dropDuplicates(["doc_id", mine_]).select(*docs.columns)
