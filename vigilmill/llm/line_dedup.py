@@ -33,13 +33,13 @@ from vigilmill.llm.blocks import beside, dealt, near_pairs, whole_runs
 from vigilmill.llm.common import cut, free_names
 from vigilmill.llm.components import components
 
-RADIUS = 20
+RADIUS = 12
 BLOCKS = 5
 BLOCK_WORDS = 3
 SHORT = 10
 SIMILARITY = 0.9
 CELL = 2048
-#: Forms that a task remembers, so that a very common line gives its blocks about once for each task.
+#: Forms that a task remembers, so that a very common line gives its blocks about once in a task.
 REMEMBERED = 1 << 18
 
 _ZERO = bytes(ord("0") if 48 <= c < 58 else c for c in range(256))
@@ -250,26 +250,42 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, text_key, line_no (from 0), h1, h2 (128-bit hash of the plain form), code."""
+    """One row per line with a word: doc_id, text_key, line_no (from 0), h1, h2 (128-bit hash of the plain form), code, size (bytes), blocks.
+
+    blocks is empty where the task has given the blocks of the same form before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             per_doc = [plain_lines(t) for t in b.column("text").to_pylist()]
             counts = np.fromiter(map(len, per_doc), np.int64, len(per_doc))
             lines = [x for p in per_doc for x in p]
-            full = np.fromiter(map(len, lines), np.int64, len(lines)) > 0
+            size = np.fromiter(map(len, lines), np.int32, len(lines))
+            full = size > 0
             doc = np.repeat(np.arange(len(per_doc)), counts)[full]
             number = (np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts))[full]
             lines = [x for x in lines if x]
-            wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").reshape(-1, 2).astype(np.int64)
+            digests = list(map(xxhash.xxh3_128_digest, lines))
+            new = np.zeros(len(lines), bool)
+            for i, h in enumerate(digests):
+                if h not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(h)
+                    new[i] = True
+            wide = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            codes, blocks = codes_and_blocks(code_lines(lines))
+            used = (blocks != 0) & new[:, None]
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used.sum(axis=1)))), pa.int32()), pa.array(blocks[used].view(np.int64)))
             where = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(where), b.column("text_key").take(where), pa.array(number, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(simhashes(code_lines(lines)).view(np.int64))],
-                ["doc_id", "text_key", "line_no", "h1", "h2", "code"],
+                [b.column("doc_id").take(where), b.column("text_key").take(where), pa.array(number, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes.view(np.int64)), pa.array(size[full]), keys],
+                ["doc_id", "text_key", "line_no", "h1", "h2", "code", "size", "blocks"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, h1 bigint, h2 bigint, code bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, h1 bigint, h2 bigint, code bigint, size int, blocks array<bigint>")
 
 
 def length_band(size, similarity: float):
@@ -277,53 +293,29 @@ def length_band(size, similarity: float):
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(similarity) * 1.000001)).cast("int")
 
 
-def block_rows(docs: DataFrame) -> DataFrame:
-    """(bucket, code, size) of the blocks of every line's normal form; a repeated form gives them at least once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            lines = []
-            for text in b.column("text").to_pylist():
-                for x in plain_lines(text):
-                    if x and (h := xxhash.xxh3_64_intdigest(x)) not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(h)
-                        lines.append(x)
-            if not lines:
-                continue
-            codes, blocks = codes_and_blocks(code_lines(lines))
-            sizes = np.fromiter(map(len, lines), np.int32, len(lines))
-            used = blocks != 0
-            each = used.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[used].view(np.int64)), pa.array(np.repeat(codes.view(np.int64), each)), pa.array(np.repeat(sizes, each))], ["bucket", "code", "size"])
-
-    return docs.select("text").mapInArrow(run, "bucket bigint, code bigint, size int")
-
+def flagged_codes(lines: DataFrame, expected: int, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(code, active): the codes that share a block with a different one within the radius, and those blocks (at most `BLOCKS` a form).
 
-def flagged_codes(docs: DataFrame, expected: int, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """The distinct codes that share a block with a different one within the radius; `expected`: about the number of block rows."""
-    keyed = block_rows(docs)
+    lines: code, size, blocks; `expected`: about the number of blocks.
+    """
+    keyed = lines.select(F.explode("blocks").alias("bucket"), "code", "size")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set[int] = set()
         for f in whole_runs(frames):
-            cells, codes = f["cell"].to_numpy(), f["code"].to_numpy()
+            cells, codes, buckets = f["cell"].to_numpy(), f["code"].to_numpy(), f["bucket"].to_numpy()
             order = np.lexsort((codes, cells))  # a code once in a cell
-            cells, codes = cells[order], codes[order]
+            cells, codes, buckets = cells[order], codes[order], buckets[order]
             new = np.concatenate(([True], (cells[1:] != cells[:-1]) | (codes[1:] != codes[:-1])))
-            cells, codes = cells[new], codes[new]
-            for pair in near_pairs(cells, codes.view(np.uint64), radius):
-                found.update(codes[np.concatenate(pair)].tolist())
-            if len(found) > 50_000:
-                yield pd.DataFrame({"code": list(found)}, dtype="int64")
-                found = set()
-        if found:
-            yield pd.DataFrame({"code": list(found)}, dtype="int64")
+            cells, codes, buckets = cells[new], codes[new], buckets[new]
+            near = np.zeros(len(codes), bool)
+            for i, j in near_pairs(cells, codes.view(np.uint64), radius):
+                near[i] = near[j] = True
+            if near.any():
+                yield pd.DataFrame({"code": codes[near], "bucket": buckets[near]})
 
     band = length_band(F.col("size"), similarity)
-    return dealt(keyed, "bucket", F.xxhash64("code"), cell, expected, band).select("cell", "code").mapInPandas(run, "code bigint").distinct()
+    found = dealt(keyed, "bucket", F.xxhash64("code"), cell, expected, band).select("cell", "bucket", "code").mapInPandas(run, "code bigint, bucket bigint")
+    return found.groupBy("code").agg(F.collect_set("bucket").alias("active"))
 
 
 def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, blocks: np.ndarray, texts: list[str], radius: int, least: float) -> np.ndarray:
@@ -358,7 +350,7 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
 
 
 def line_links(lines: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line, blocks."""
+    """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line, blocks (those in which the line has a neighbour)."""
     keyed = lines.select("h1", "h2", "code", "line", "blocks", F.explode("blocks").alias("bucket"), F.octet_length("line").alias("size"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,47 +370,57 @@ def line_links(lines: DataFrame, radius: int = RADIUS, least: float = SIMILARITY
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, code, line, blocks of the wanted plain forms, found again in the documents that hold their first occurrence (doc_id, text_key, line_no)."""
+    """h1, h2, code, line, blocks of the wanted plain forms, found again in the documents that hold their first occurrence.
+
+    wanted: doc_id, text_key, line_no, active; of a line's blocks only the active ones are kept, or all where active is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for text, numbers in zip(b.column("text").to_pylist(), b.column("numbers").to_pylist()):
+            texts, active = [], []
+            for text, held in zip(b.column("text").to_pylist(), b.column("held").to_pylist()):
                 lines = plain_lines(text)
-                texts.extend(lines[k] for k in numbers)
+                for x in held:
+                    texts.append(lines[x["line_no"]])
+                    active.append(x["active"])
             wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), ">i8").reshape(-1, 2).astype(np.int64)
             codes, blocks = codes_and_blocks(code_lines(texts))
-            used = blocks != 0
-            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used.sum(axis=1)))), pa.int32()), pa.array(blocks[used].view(np.int64)))
+            keys = []
+            for mine, some in zip(blocks.view(np.int64).tolist(), active):
+                keys.append([k for k in mine if k and (some is None or k in some)])
             lines = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes.view(np.int64)), lines, keys], ["h1", "h2", "code", "line", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes.view(np.int64)), lines, pa.array(keys, pa.list_(pa.int64()))], ["h1", "h2", "code", "line", "blocks"])
 
-    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("numbers"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "numbers")
+    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "active")).alias("held"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "held")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     held = rows.join(per_doc, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return held.select("text", "numbers").mapInArrow(run, "h1 bigint, h2 bigint, code bigint, line string, blocks array<bigint>").dropDuplicates(["h1", "h2"])
+    return held.select("text", "held").mapInArrow(run, "h1 bigint, h2 bigint, code bigint, line string, blocks array<bigint>").dropDuplicates(["h1", "h2"])
 
 
 def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in plain form or through links."""
     lines = cut(line_rows(docs))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
-    distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first")))
-    # Forms of one code (they differ in digits at most, or in the order of words) are proposed without a block.
-    same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1").select("code")
-    flagged = flagged_codes(docs, distinct.count() * BLOCKS, radius, similarity, cell).unionByName(same).distinct()
-    wanted = distinct.join(flagged, "code").select("first.doc_id", "first.text_key", "first.line_no")
+    distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first"), F.count("*").alias("times")))
+    # Forms of one code (they differ in digits at most, or in the order of words) are proposed in all of their blocks.
+    same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1").select("code", F.lit(None).cast("array<bigint>").alias("active"))
+    found = flagged_codes(lines.select("code", "size", "blocks"), distinct.count() * BLOCKS, radius, similarity, cell).unionByName(same)
+    flagged = found.groupBy("code").agg(F.bool_or(F.col("active").isNull()).alias("every"), F.max("active").alias("some"))
+    flagged = flagged.select("code", F.when(~F.col("every"), F.col("some")).alias("active"))
+    wanted = distinct.join(flagged, "code").select("first.doc_id", "first.text_key", "first.line_no", "active")
     edges = line_links(cut(_texts_of(docs, wanted)), radius, similarity, cell)
     # Nodes are first halves of the hashes: two flagged forms that share one by chance would count as linked (for a
     # billion flagged forms, one such pair is expected in forty runs).
-    roots = components(edges, "a1", "b1").select(F.col("node").alias("h1"), "root")
-    grouped = cut(distinct.join(roots, "h1"))
+    roots = cut(components(edges, "a1", "b1").select(F.col("node").alias("h1"), "root"))
     # Written, so that the next joins deal both sides anew and may split a large group or a very common line.
+    grouped = cut(distinct.join(beside(roots), "h1").select("h1", "h2", "root", "first"))
     best = cut(grouped.groupBy("root").agg(F.min("first").alias("best")))
     moved = cut(grouped.join(beside(best), "root").select("h1", "h2", "best"))
-    kept = cut(distinct.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best")))
-    return lines.join(kept, ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
+    # Only forms that occur again or have moved can lose an occurrence.
+    kept = distinct.select("h1", "h2", "first", "times").join(beside(moved), ["h1", "h2"], "left").where("times > 1 or best is not null")
+    kept = cut(kept.select("h1", "h2", F.coalesce("best", "first").alias("best")))
+    return lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(beside(kept), ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
 
 
 def without_lines(text, gone):
