@@ -1,50 +1,60 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions only.
 
-Templates (short licence texts with mandatory key phrases) and phrases are cut into words; their words form the licence
-vocabulary, whose inverse document frequency is counted over the whole corpus.  The index maps each template's rarest
-words to postings (template, position).  A file looks up the places of its own indexed words, a place minus a
-posting's position proposes a start, and the start is verified: phrases word for word, templates by the
-share of rarity found at the right relative positions together with their key phrases.  All of it is
-array work inside a row, so files are never exploded or shuffled; only the vocabulary's counts are.
+Licence texts are cut into clauses of up to `CLAUSE` words, so that a word more or less breaks one clause and not the text.  The
+words of all clauses and phrases form the licence vocabulary, whose inverse document frequency is counted over the whole
+corpus.  The index maps each clause's rarest words to postings (clause, position).  A file looks up the places of its own
+indexed words; a place minus a posting's position proposes a start, and the postings of a clause are intersected by that
+relative position: a start stands if enough of the clause's indexed words propose it.  There the clause is verified word for word,
+and a licence counts if the clauses found hold enough of its rarity and all of its mandatory key phrases stand in the file.
+
+All of it is array work inside a row, linear in the file's words but for one sort of the proposals, so files are never
+exploded or shuffled; only the vocabulary's counts are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rarest words of each template that are indexed.
+from vigilmill.llm.license_texts import PHRASES, TEMPLATES
+
+#: Words of a clause at most, and its rarest words that are indexed.
+CLAUSE = 24
 KEYS = 6
-#: Share of a template's rarity that must stand in place.
+#: Indexed words of a clause that have to agree on its start (all, if it has fewer).
+AGREE = 3
+#: Share of a clause's rarity that must stand in place, and of a licence's rarity that its clauses must hold.
+IN_PLACE = 0.8
 LEAST = 0.6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Base phrases and their labels.
-PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-
-# Fixed values: (label, licence text, mandatory key phrases).
-TEMPLATES = (
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("proprietary", "copyright all rights reserved", ("all rights reserved",)),
-)
+#: Proposals are integers: item, then place less position, kept positive.
+_BITS, _SHIFT = 34, 1 << 20
+_ITEM = 1 << _BITS
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text)
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def clauses(text: str, most: int = CLAUSE) -> list[list[str]]:
+    """The words of a licence text in even runs of `most` at most, cut at sentences where these are longer than three words."""
+    parts: list[list[str]] = []
+    for sentence in re.split(r"[.;:](?=\s|$)", text):
+        words = _words(sentence)
+        if parts and len(words) < 4:
+            parts[-1] += words
+        elif words:
+            parts.append(words)
+    found = []
+    for words in parts:
+        n = -(-len(words) // most)
+        found += [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+    return found
 
 
 def words_of(text: Column) -> Column:
@@ -65,80 +75,115 @@ def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
 
 
-def _index(items: list[list[str]], idf: dict[str, float], keys: int) -> dict[str, list[tuple[int, int]]]:
-    """word -> (item, position) for each item's `keys` rarest words (the earlier of equals), at all of their positions."""
-    index: dict[str, list[tuple[int, int]]] = {}
-    for i, words in enumerate(items):
-        rare = sorted(set(words), key=lambda w: (-idf[w], words.index(w)))[:keys]
-        for at, w in enumerate(words):
-            if w in rare:
-                index.setdefault(w, []).append((i, at))
-    return index
+def rarest(words: list[str], idf: dict[str, float], keys: int) -> list[str]:
+    """The `keys` rarest words, the earlier of equals."""
+    return sorted(set(words), key=lambda w: (-idf[w], words.index(w)))[:keys]
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once for a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _literal(value) -> str:
+    """SQL of a word, a number or a list of such; words are letters and digits alone."""
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(_literal, value))})"
+    return f"'{value}'" if isinstance(value, str) else f"{value!r}D" if isinstance(value, float) else f"{value}L" if value > 1 << 30 else str(value)
+
+
+def literal(values: list, kind: str) -> Column:
+    return F.expr(f"cast({_literal(values)} as array<{kind}>)")
+
 
+def _proposals(words: Column, index: dict[str, list[int]]) -> Column:
+    """array<bigint>, ascending: what the places of indexed words propose.  Words are looked up in a table of hash slots, so a word costs the same however large the index is."""
+    slots = 1 << max(4, (2 * len(index)).bit_length())
+    table: list[list[str]] = [[] for _ in range(slots)]
+    for w in sorted(index):
+        table[crc32(w.encode()) % slots].append(f"named_struct('w', '{w}', 'posts', cast({_literal(index[w])} as array<bigint>))")
+    looked_up = F.expr(f"cast(array({', '.join(f'array({", ".join(slot)})' for slot in table)}) as array<array<struct<w:string,posts:array<bigint>>>>)")
 
-def _starts(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
-    """array<struct<item, start>>: distinct starts that the places of indexed words propose."""
-    keys = F.array(*[F.lit(w) for w in index])
-    posting = F.create_map(*[x for w, ps in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("item"), F.lit(p).alias("at")) for i, p in ps]))])
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.filter(placed, lambda h: F.array_contains(keys, h["w"]))
-    proposed = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(posting, h["w"]), lambda p: F.struct(p["item"].alias("item"), (h["i"] - p["at"]).alias("start")))))
-    return F.array_distinct(F.filter(proposed, lambda s: s["start"] >= 0))
+    def posts(w: Column, i: Column) -> Column:
+        slot = F.get(looked_up, F.pmod(F.crc32(w.cast("binary")), F.lit(slots)).cast("int"))
+        return F.flatten(F.transform(F.filter(slot, lambda e: e["w"] == w), lambda e: F.transform(e["posts"], lambda p: p + i)))
 
+    return F.sort_array(F.flatten(F.transform(words, posts)))
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, keys: int = KEYS, least: float = LEAST) -> DataFrame:
+
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, keys: int = KEYS, agree: int = AGREE, in_place: float = IN_PLACE, least: float = LEAST) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts every place of every phrase; first_word and last_word are the least and greatest start, null without any.
-    score is the greatest share of a template's rarity in place, 1 where a phrase stands; templates with a
-    key phrase missing count nothing.  Null and empty texts have 0 words, no labels and score 0.
+    score is the greatest share of a licence's rarity in verified clauses, 1 where a phrase stands; licences with a
+    key phrase missing count nothing.  Null and empty texts have 0 words, no labels and score 0; repeated rows have equal
+    results; other columns are not read.
     """
-    cut_phrases, cut_templates = [_words(p) for p, _ in phrases], [_words(t) for _, t, _ in templates]
-    vocabulary = sorted({w for ws in cut_phrases + cut_templates for w in ws})
+    parts = [clauses(t) for _, t, _ in templates]
+    key_phrases = sorted({k for _, _, ks in templates for k in ks})
+    items = [c for found in parts for c in found] + [_words(p) for p, _ in phrases] + [_words(k) for k in key_phrases]
+    n_clauses = sum(map(len, parts))
+    n_phrases = n_clauses + len(phrases)
+    vocabulary = sorted({w for ws in items for w in ws})
     idf = rarity(docs, vocabulary)
 
+    # A phrase is looked up by its rarest word, at every place that this has in it, and must stand in full.
+    index: dict[str, list[int]] = {}
+    needed = []
+    for i, ws in enumerate(items):
+        rare = rarest(ws, idf, keys if i < n_clauses else 1)
+        needed.append(min(agree, len(rare)) if i < n_clauses else 1)
+        for at, w in enumerate(ws):
+            if w in rare:
+                index.setdefault(w, []).append(i * _ITEM + _SHIFT - at)
+
     words = F.col("words")
+    item_words, item_weights = literal(items, "array<string>"), literal([[idf[w] for w in ws] for ws in items], "array<double>")
+    demands = literal([in_place * sum(idf[w] for w in ws) if i < n_clauses else sum(idf[w] for w in ws) - 1e-9 for i, ws in enumerate(items)], "double")
+
+    def stands(p: Column) -> Column:
+        """Whether an item has enough of its rarity in place at a proposed start."""
+        item, start = F.shiftright(p, _BITS).cast("int"), (p.bitwiseAND(F.lit(_ITEM - 1)) - _SHIFT).cast("int")
+        mine, there = F.get(item_words, item), F.slice(words, start + 1, F.size(F.get(item_words, item)))
+        # Beyond the end of the file zip_with pads with null, which equals nothing.
+        hits = F.zip_with(F.zip_with(mine, there, lambda a, b: F.coalesce(a == b, F.lit(False))), F.get(item_weights, item), lambda ok, w: F.when(ok, w).otherwise(F.lit(0.0)))
+        return (start >= 0) & (F.aggregate(F.when(start >= 0, hits), F.lit(0.0), lambda a, x: a + x) >= F.get(demands, item))
+
+    def met(sorted_: Column) -> Column:
+        """Each proposal once, if as many indexed words as its item needs agree on it."""
+        last = lambda p, i: i + F.get(literal(needed, "int"), F.shiftright(p, _BITS).cast("int")) - 1
+        return F.filter(sorted_, lambda p, i: ((i == 0) | (F.get(sorted_, i - 1) != p)) & F.coalesce(F.get(sorted_, last(p, i)) == p, F.lit(False)))
+
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words"))
     # A file without any indexed word has nothing to look up.
-    phrase_index, template_index = _index(cut_phrases, idf, 1), _index(cut_templates, idf, keys)
-    rows = rows.withColumn("licence", F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted({*phrase_index, *template_index})])))
-
-    phrase_words = F.array(*[F.array(*map(F.lit, ws)) for ws in cut_phrases])
-    places = F.filter(
-        _starts(words, phrase_index),
-        lambda s: F.slice(words, s["start"] + 1, F.size(F.element_at(phrase_words, s["item"] + 1))) == F.element_at(phrase_words, s["item"] + 1),
-    )
-    template_words = F.array(*[F.array(*map(F.lit, ws)) for ws in cut_templates])
-    weights = F.array(*[F.array(*[F.lit(idf[w]) for w in ws]) for ws in cut_templates])
-    totals = F.array(*[F.lit(sum(idf[w] for w in ws)) for ws in cut_templates])
-    phrase_of = F.array(*[F.array(*[F.struct(F.lit(_at(_words(t), _words(k))).alias("at"), F.array(*map(F.lit, _words(k))).alias("k")) for k in ks]) for _, t, ks in templates])
-
-    def share(s: Column) -> Column:
-        mine, weight = F.element_at(template_words, s["item"] + 1), F.element_at(weights, s["item"] + 1)
-        there = F.slice(words, s["start"] + 1, F.size(mine))
-        # Beyond the end of the file zip_with pads with null, which equals nothing.
-        in_place = F.zip_with(F.zip_with(mine, there, lambda a, b: F.coalesce(a == b, F.lit(False))), weight, lambda ok, w: F.when(ok, w).otherwise(F.lit(0.0)))
-        verified = F.forall(F.element_at(phrase_of, s["item"] + 1), lambda k: F.slice(words, s["start"] + k["at"] + 1, F.size(k["k"])) == k["k"])
-        return F.when(verified, F.aggregate(in_place, F.lit(0.0), lambda a, x: a + x) / F.element_at(totals, s["item"] + 1)).otherwise(F.lit(0.0))
-
-    scored = F.transform(_starts(words, template_index), lambda s: F.struct(s["item"].alias("item"), share(s).alias("share")))
-    nothing_p, nothing_t = F.array().cast("array<struct<item:int,start:int>>"), F.array().cast("array<struct<item:int,share:double>>")
-    rows = rows.withColumn("places", F.when(F.col("licence"), places).otherwise(nothing_p))
-    rows = rows.withColumn("scored", F.when(F.col("licence"), F.filter(scored, lambda x: x["share"] >= least)).otherwise(nothing_t))
-    rows = rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "places", "scored")
-
-    names_p, names_t = F.array(*[F.lit(n) for _, n in phrases]), F.array(*[F.lit(t[0]) for t in templates])
-    base = F.array_distinct(F.transform("places", lambda p: F.element_at(names_p, p["item"] + 1)))
-    added = F.array_distinct(F.transform("scored", lambda s: F.element_at(names_t, s["item"] + 1)))
-    starts = F.transform("places", lambda p: p["start"])
-    best = F.coalesce(F.array_max(F.transform("scored", lambda s: s["share"])), F.lit(0.0))
+    some = F.arrays_overlap(words, literal(sorted(index), "string"))
+    found = F.when(some, F.filter(_let(_proposals(words, index), met), stands)).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), found.alias("found"))
+    rows = rows.withColumn("items", F.array_distinct(F.transform("found", lambda p: F.shiftright(p, _BITS).cast("int"))))
+    base = F.filter("found", lambda p: (p >= F.lit(n_clauses * _ITEM)) & (p < F.lit(n_phrases * _ITEM)))
+    rows = rows.withColumn("base", F.transform(base, lambda p: F.struct(F.shiftright(p, _BITS).cast("int").alias("item"), (p.bitwiseAND(F.lit(_ITEM - 1)) - _SHIFT).alias("start"))))
+
+    described, at = [], 0
+    for (label, _, ks), cs in zip(templates, parts):
+        weights = [sum(idf[w] for w in c) for c in cs]
+        held = ", ".join(f"named_struct('item', {at + j}, 'share', {_literal(w / sum(weights))})" for j, w in enumerate(weights))
+        described.append(f"named_struct('label', '{label}', 'clauses', array({held}), 'keys', {_literal([n_phrases + key_phrases.index(k) for k in ks])})")
+        at += len(cs)
+
+    def share(t: Column) -> Column:
+        total = F.aggregate(F.filter(t["clauses"], lambda c: F.array_contains("items", c["item"])), F.lit(0.0), lambda a, c: a + c["share"])
+        return F.when(F.size(F.array_except(t["keys"], F.col("items"))) == 0, total).otherwise(F.lit(0.0))
+
+    shares = F.transform(F.expr(f"array({', '.join(described)})"), lambda t: F.struct(t["label"].alias("label"), share(t).alias("share")))
+    nothing = F.array().cast("array<struct<label:string,share:double>>")
+    rows = rows.withColumn("licences", F.when(F.size("items") > 0, F.filter(shares, lambda t: t["share"] >= least)).otherwise(nothing))
+    names = literal([n for _, n in phrases], "string")
+    base_labels = F.array_distinct(F.transform("base", lambda p: F.get(names, p["item"] - n_clauses)))
+    starts = F.transform("base", lambda p: p["start"])
+    best = F.coalesce(F.array_max(F.transform("licences", lambda t: t["share"])), F.lit(0.0))
     return rows.select(
-        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
-        F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, added)), ",").alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), best)).alias("score"),
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
+        F.array_join(F.array_sort(base_labels), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base_labels, F.transform("licences", lambda t: t["label"]))), ",").alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), best)).alias("score"),
     )
-
-
-def _at(text: list[str], phrase: list[str]) -> int:
-    """Where a key phrase stands in its template."""
-    return next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
