@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,11 @@ def free_names(taken: Iterable[str], *names: str) -> list[str]:
     return found
 
 
+def sampled(hash_: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash falls into the share that gives about `rows` of `total` rows; by 63 bits, so that no total rounds it to nothing."""
+    return F.shiftrightunsigned(hash_, 1) < F.lit(max(1, min((1 << 63) - 1, (rows << 63) // total)))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -53,3 +58,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

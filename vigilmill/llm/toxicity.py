@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded (lower case, homoglyphs, digit substitutions, one class for i, l, 1 and |) and cut into words.  The
+Texts are folded (compatibility forms and accents resolved, lower case, homoglyphs, digit substitutions, one class for i, l, 1
+and |; every sign that is no letter parts words, but words spelled out letter by letter are closed up) and cut into words.  The
 lexicon's entries are whole words and word beginnings with a weight; matches inside an exception phrase do not
 count.  The sum of weights, divided by a slowly growing function of the text's length, passes through
 a logistic curve.  Weights and curve are fitted on a bounded sample of labelled rows; without labels the
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilmill.llm.common import cut
+from vigilmill.llm.common import cut, free_names, sampled
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of the id).
 SAMPLE_ROWS = 12_000
-#: Entries of a learned lexicon at most.
-ENTRIES = 4_096
+#: Entries of a learned lexicon at most: those of greatest weight times documents.  A sample of `SAMPLE_ROWS` rows gives some thousands.
+ENTRIES = 65_536
 LEAST_TOXIC = 4
 LEAST_ODDS = 20.0
 CUTOFF = 0.7
@@ -38,44 +40,46 @@ CUTOFF = 0.7
 SEED = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "imbecile", "retard")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown nose", "sore loser", "loser bracket", "disgusting smell", "pathetic fallacy")
 
-# Look-alikes of Latin letters (Cyrillic, Greek, full width handled by rule) and digits and signs used for letters.
+# Look-alikes of Latin letters (Cyrillic, Greek, others without a decomposition) and digits and signs used for letters.
 _LOOKALIKES = {
-    "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g",
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
+    "ℓ": "l", "ɑ": "a", "ɩ": "i", "ɪ": "i", "ᴏ": "o", "ᴛ": "t",
 }
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i", "l": "i"}
 
-_INNER = re.compile(r"(?<=[^\W_])[!*.\-_](?=[^\W_]\b|[^\W_]{2,})")
 _BANG = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
-_HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
+#: Letters (or digits for letters) one by one with the same sign or blank between them: three or more with a sign, four or more with a blank.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([.\-_*·])[^\W_](?:\1[^\W_])+|(?: [^\W_]){3,})(?![^\W_])")
+_TWO_SINGLE = re.compile(r"[ .\-_*·]\w[ .\-_*·]\w[ .\-_*·]|^\w[ .\-_*·]\w[ .\-_*·]")
+_BETWEEN = re.compile(r"[ .\-_*·]")
 
 
-def _table() -> dict[int, str]:
-    table = {}
-    for code in range(0x20, 0x250):
-        c = chr(code).lower()
-        c = _SIGNS.get(c, _LOOKALIKES.get(c, c))
-        table[code] = c if c.isalpha() else " "
-    for code in range(0x370, 0x530):
+class _Fold(dict):
+    """str.translate table over compatibility-decomposed text, filled on demand: letters to their class, marks and invisible signs away, all else to blanks."""
+
+    def __missing__(self, code: int) -> str:
         c = chr(code).lower()
-        table[code] = _SIGNS.get(f := _LOOKALIKES.get(c, c), f) if c.isalpha() else " "
-    for code in range(0xFF01, 0xFF5F):  # full width
-        table[code] = table.get(code - 0xFEE0, " ")
-    table.update({9: " ", 10: " ", 11: " ", 12: " ", 13: " "})
-    return table
+        c = _LOOKALIKES.get(c, c)
+        c = _SIGNS.get(c, c)
+        kind = unicodedata.category(c[0])
+        self[code] = "" if kind in ("Mn", "Me", "Cf") else c if c[0].isalpha() else " "
+        return self[code]
 
 
-_FOLD = _table()
+_FOLD = _Fold()
 
 
 def fold(text: str | None) -> str:
     """' word word ' of a text's folded words; ' ' for none."""
     if not text:
         return " "
-    if not text.isascii() and _HIDDEN.search(text):
-        text = _HIDDEN.sub("", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     if "!" in text:
         text = _BANG.sub("i", text)
+    if _TWO_SINGLE.search(text):  # two of three single letters have a separator behind them
+        text = _SPELLED.sub(lambda m: _BETWEEN.sub("", m[0]), text)
     return f" {' '.join(text.translate(_FOLD).split())} "
 
 
@@ -161,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     total = named.count()
     if not total:
         return seed_model()
-    part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total))
+    part = sampled(F.xxhash64("doc_id", F.lit("toxicity")), sample_rows, total)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(part)
     sample = cut(texts.join(named.where(part), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
@@ -181,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     found = sample.mapInPandas(counts, "pattern string, yes long, no long").groupBy("pattern").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     odds = ((F.col("yes") + 0.5) / (toxic + 1.0)) / ((F.col("no") + 0.5) / (clean + 1.0))
     listed = found.where(F.col("yes") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = listed.orderBy(F.desc("yes"), "pattern").limit(entries).collect()  # at most `entries` rows
+    top = listed.orderBy(F.desc(F.col("yes") * F.log("odds")), "pattern").limit(entries).collect()  # at most `entries` rows
     chosen = {r["pattern"]: math.log(r["odds"]) for r in top}
     for w in SEED:
         chosen.setdefault(fold(w), 3.0)
@@ -230,8 +234,6 @@ def score_documents(docs: DataFrame, model: Model, score_column: str = "__score"
 
 
 def reject_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """docs without those that score `cutoff` or more; columns as they were."""
-    name = "__score"
-    while name in docs.columns:
-        name += "_"
-    return score_documents(docs, model, name, name + "n").where(F.col(name) < cutoff).select(*docs.columns)
+    """docs without those that score `cutoff` or more; columns as they were, whatever their names."""
+    score_, matches_ = free_names(docs.columns, "score", "matches")
+    return score_documents(docs, model, score_, matches_).where(F.col(score_) < cutoff).select(*docs.columns)
