@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilmill.llm.common import sampled
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled rows that a model is fitted on at most (about), and windows of each row that training reads.
-SAMPLE_ROWS = 4_000
-WINDOWS_PER_ROW = 2
-EPOCHS = 14
+#: Labelled rows of each language that a model is fitted on at most (about); all windows of a row are read.
+SAMPLE_ROWS = 800
+EPOCHS = 7
 #: Windows that are convolved at once.
 BATCH = 64
 
@@ -114,26 +115,24 @@ def crc_part(doc_id: Column, parts: int) -> Column:
 def fit(docs: DataFrame, allowed: Column, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network from text and lang of the allowed rows with both; None if there is none.
 
-    The sample is by a hash of doc_id and text, at the rate that gives about `sample_rows` rows, and brings the first
-    and the middle window of each row to the driver; predictions read whole texts.
+    Of each language about `sample_rows` rows are taken by a hash of doc_id (all, if it has no more), so that a language of
+    few rows is learned at every size.  The whole texts of the sampled rows come to the driver, and nothing else but the
+    counts of languages.
     """
-    labelled = docs.where(allowed).where("lang is not null and text is not null")
-    total = labelled.count()
-    if not total:
-        return None
-    part = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total))
-    data = F.col("text").cast("binary")
-    middle = F.substring(data, (F.octet_length("text") / 2).cast("int") + 1, F.lit(WINDOW))
-    sample = labelled.where(part).select("lang", F.substring(data, F.lit(1), F.lit(WINDOW)).alias("a"), middle.alias("b")).toPandas()
-    if not len(sample):
+    labelled = docs.where(allowed).where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for a language
+    if not totals:
         return None
-    languages = tuple(sorted(set(sample["lang"])))
-    rows = [(bytes(x).ljust(WINDOW, b"\0"), lang) for c in ("a", "b")[:WINDOWS_PER_ROW] for x, lang in zip(sample[c], sample["lang"]) if len(x)]
-    rows.sort()
+    share = F.coalesce(*[F.when(F.col("lang") == lang, sampled(F.xxhash64("doc_id", F.lit("language")), sample_rows, n)) for lang, n in totals.items()])
+    sample = labelled.where(share).select("lang", "text").toPandas()
+    rows = [(bytes(w), lang) for lang, text in zip(sample["lang"], sample["text"]) if has_letter(text) for w in cut_windows(text)[0]]
     if not rows:
         return None
+    rows.sort()  # whatever the order in which they came
+    languages = tuple(sorted(set(lang for _, lang in rows)))
     windows = np.frombuffer(b"".join(x for x, _ in rows), np.uint8).reshape(-1, WINDOW)
-    return train(windows, np.array([languages.index(lang) for _, lang in rows]), languages)
+    number = {lang: i for i, lang in enumerate(languages)}
+    return train(windows, np.array([number[lang] for _, lang in rows]), languages)
 
 
 def has_letter(text: str | None) -> bool:
