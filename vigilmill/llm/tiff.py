@@ -1,7 +1,8 @@
 """TIFF media columns: a reader that walks image directories to one row per page, and the writer of its test forms.
 
-Read: both byte orders, chains of directories, strips and tiles, no compression, PackBits, LZW (both libraries'
-early change, most significant bit first) and deflate, horizontal differencing, 8-bit chunky samples.
+Read: both byte orders, chains of directories, strips and tiles, no compression, PackBits, LZW (early change, most
+significant bit first) and deflate, horizontal differencing, 8-bit chunky samples.  Whatever is wrong with a file ends as its
+error text: declared sizes are held against a limit before anything is unpacked, and nothing is unpacked beyond them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilmill.llm.common import free_names
+
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Fixed values of the format: tag numbers, and bytes of a value by type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_COUNTS, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
@@ -26,15 +29,17 @@ ROW = 576
 PAGE_ROWS = 64
 STRIP = 16
 TILE = (64, 16)
+#: Samples of all pages of a file at most.
+MOST_SAMPLES = 1 << 30
 
 
 class TiffError(ValueError):
     pass
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MOST_SAMPLES) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         c = data[i]
         if c < 128:
             out += data[i + 1 : i + 2 + c]
@@ -75,9 +80,10 @@ _SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
 _CODE = {bytes((i,)): i for i in range(256)}
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, widened one code early as the format has it."""
+def unpack_lzw(data: bytes, most: int = MOST_SAMPLES) -> bytes:
+    """Codes of 9 to 12 bits, widened one code early as the format has it; ends once `most` bytes are there."""
     out: list[bytes] = []
+    left = most
     table = list(_SINGLE)
     acc = held = at = 0
     width, last, n = 9, b"", len(data)
@@ -102,7 +108,10 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(entry)
-        if last:
+        left -= len(entry)
+        if left <= 0:
+            return b"".join(out)
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
@@ -150,15 +159,16 @@ def _split(data: bytes) -> list[bytes]:
     return [_SINGLE[b] for b in data]
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, most: int) -> bytes:
+    """A strip or tile; at most about `most` bytes of it."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if compression == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise TiffError(f"compression {compression}")
 
 
@@ -198,8 +208,8 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def read_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
-    """uint8[height, width, samples] of a directory."""
+def read_page(data: bytes, tags: dict[int, tuple], most: int = MOST_SAMPLES) -> np.ndarray:
+    """uint8[height, width, samples] of a directory, of `most` samples at most."""
 
     def one(tag: int, default=None) -> int:
         value = tags.get(tag, (default,))
@@ -213,6 +223,10 @@ def read_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(height, one(STRIP_ROWS, height)))
     offsets, counts = (tags[t] if t in tags else () for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
+    if min(width, height, samples, w, h) < 1:
+        raise TiffError("a size is zero")
+    if width * height * samples > most or w * h * samples > most:
+        raise TiffError("page too large")
     across, down = -(-width // w), -(-height // h)
     if len(offsets) != across * down or len(counts) != len(offsets):
         raise TiffError("strips or tiles do not cover the page")
@@ -220,7 +234,7 @@ def read_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     for k, (at, size) in enumerate(zip(offsets, counts)):
         y, x = k // across * h, k % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _unpacked(data[at : at + size], one(COMPRESSION, 1))
+        raw = _unpacked(data[at : at + size], one(COMPRESSION, 1), rows * w * samples)
         if len(raw) < rows * w * samples:
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw, np.uint8, rows * w * samples).reshape(rows, w, samples)
@@ -288,7 +302,7 @@ def store(data: bytes) -> bytes:
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes as a TIFF file."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes (null: none) as a TIFF file; one row for a row, other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,19 +318,22 @@ PAGE = "struct<page:int,width:int,height:int,samples_per_pixel:int,compression:i
 def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """media with `pages` (array of PAGE, in file order) and `error`; a null, empty or damaged file has no pages and says why.
 
-    Other columns pass through.  The bytes are read where they lie: nothing is shuffled.
+    Other columns pass through; where one of them is named so, underscores go before the new name.  The bytes are read where
+    they lie: nothing is shuffled.
     """
     names = media.columns
+    pages_, error_ = free_names(names, "pages", "error")
     kind = pa.list_(pa.struct([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()),
                                ("mean", pa.float64()), ("deviation", pa.float64()), ("low", pa.int32()), ("high", pa.int32()), ("samples", pa.binary())]))
 
     def read(data: bytes | None) -> tuple[list, str | None]:
         if not data:
             return [], "empty"
-        pages = []
+        pages, left = [], MOST_SAMPLES
         try:
             for n, tags in enumerate(directories(data)):
-                p = read_page(data, tags)
+                p = read_page(data, tags, left)
+                left -= p.size
                 # A mean and deviation from whole sums, so that equal pages give equal numbers everywhere.
                 hist = np.bincount(p.reshape(-1), minlength=256)
                 total, level = int(hist.sum()), np.arange(256)
@@ -327,7 +344,7 @@ def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
                 used = np.flatnonzero(hist)
                 pages.append({"page": n, "width": p.shape[1], "height": p.shape[0], "samples_per_pixel": p.shape[2], "compression": tags.get(COMPRESSION, (1,))[0], "predictor": tags.get(PREDICTOR, (1,))[0],
                               "tiled": TILE_OFFSETS in tags, "mean": mean, "deviation": deviation, "low": int(used[0]), "high": int(used[-1]), "samples": p.tobytes()})
-        except (TiffError, struct.error, zlib.error) as e:
+        except Exception as e:  # a file may be wrong in any way
             return [], str(e) or type(e).__name__
         return pages, None
 
@@ -336,24 +353,29 @@ def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
             for lo in range(0, b.num_rows, 512):  # decoded samples of few files at a time
                 part = b.slice(lo, 512)
                 found = [read(x) for x in part.column(names.index(column)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], [*names, "pages", "error"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], [*names, pages_, error_])
 
     from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-    schema = StructType([*media.schema.fields, StructField("pages", _parse_datatype_string(f"array<{PAGE}>")), StructField("error", StringType())])
+    schema = StructType([*media.schema.fields, StructField(pages_, _parse_datatype_string(f"array<{PAGE}>")), StructField(error_, StringType())])
     return media.mapInArrow(run, schema)
 
 
 def page_rows(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row per page of each file: media's other columns, then the fields of PAGE."""
+    """One row per page of each file: media's other columns, then the fields of PAGE (underscores go before a name that is taken)."""
     others = [c for c in media.columns if c != column]
-    return decode_pages(media, column).select(*others, F.inline("pages"))
+    read = decode_pages(media, column)
+    fields = free_names(others, *[f.split(":")[0] for f in PAGE[7:-1].split(",")])
+    return read.select(*others, F.inline(F.col(read.columns[-2])).alias(*fields))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text stored as TIFF and read back: the digests come from the decoded samples of its pages, in order."""
+    """Every text stored as TIFF and read back: the digests come from the decoded samples of its pages, in order.
+
+    One row for a row of docs; null and empty texts have a payload of fill bytes alone; equal texts have equal values.
+    """
     read = decode_pages(encode_texts(docs))
-    whole = F.aggregate("pages", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["samples"]))
+    whole = F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["samples"])), ""))  # linear in the pages
     read = read.withColumn("payload", F.when(F.size("pages") == 1, F.col("pages")[0]["samples"]).otherwise(whole))
     feature = F.concat_ws(
         ";", F.concat(F.lit("pages="), F.size("pages")), F.concat(F.lit("compression="), F.col("pages")[0]["compression"]), F.concat(F.lit("predictor="), F.col("pages")[0]["predictor"]),
