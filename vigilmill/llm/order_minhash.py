@@ -11,17 +11,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilmill.llm.common import sampled
+
 K = 8
 ROWS = 48
 TUPLE = 2
 #: Columns of the hash matrix that are worked on at once.
 STRIDE = 1 << 14
-#: Ranges of doc_id at most; their bounds and least ids are all that reaches the driver.
-MAX_PARTS = 10_000
+#: Ranges of (doc_id, text hash) at most, and rows sampled for each; the sample and the least row of each range are all that reaches the driver (some 100 MB).
+MAX_PARTS = 200_000
+SAMPLED = 16
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _R33 = np.uint64(33)
@@ -95,43 +99,54 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
-def with_next(docs: DataFrame, per_task: int = 4_000) -> DataFrame:
-    """Rows (part, lead, doc_id, text) dealt by ranges of doc_id and sorted within each; a part ends with a copy (lead) of the row that follows it.
+_NULL_ID = -(1 << 63)
 
-    Bounds are quantiles of doc_id, at most one for each `per_task` rows.  Order: doc_id (null first), then text.
-    After the last row comes the first.  One shuffle moves each text once.
-    """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    total = ids.count()
-    parts = min(MAX_PARTS, max(1, total // per_task))
-    bounds = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.coalesce(_rank(bounds), F.lit(0))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("part", part.cast("int"))
-    # The least row of every part, one row for a part.
-    least = F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", F.xxhash64("text").alias("key"))
-    heads = [(r["part"], r["h"]["doc_id"], r["h"]["key"]) for r in keyed.groupBy("part").agg(F.min(least).alias("h")).orderBy("part").collect()]
-    if not heads:
-        return keyed.withColumn("lead", F.lit(0))
-    copies = keyed.sparkSession.createDataFrame(
-        [(heads[i][0], heads[i][1], heads[i][2], heads[i - 1][0]) for i in range(len(heads))], "p int, id bigint, k bigint, before int"
-    )
-    tagged = keyed.withColumn("key", F.xxhash64("text"))
-    led = tagged.join(F.broadcast(copies), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
-    led = led.dropDuplicates(["p"]).select("doc_id", "text", F.col("before").alias("part"), "key", F.lit(1).alias("lead"))
-    every = tagged.withColumn("lead", F.lit(0)).unionByName(led)
-    return every.repartition(parts, "part").sortWithinPartitions("part", "lead", F.col("doc_id").asc_nulls_first(), "key")
 
+def rank_among(ids: np.ndarray, keys: np.ndarray, bound_ids: np.ndarray, bound_keys: np.ndarray) -> np.ndarray:
+    """How many of the bounds (ascending pairs) are at or below each pair (id, key)."""
+    lo, hi = np.searchsorted(bound_ids, ids, "left"), np.searchsorted(bound_ids, ids, "right")
+    out = lo.astype(np.int64)
+    tied = np.flatnonzero(hi > lo)
+    for i in np.unique(ids[tied]):
+        rows = tied[ids[tied] == i]
+        a, b = lo[rows[0]], hi[rows[0]]
+        out[rows] = a + np.searchsorted(bound_keys[a:b], keys[rows], "right")
+    return out
 
-def _rank(bounds: list):
-    """The number of bounds below doc_id, as nested comparisons of logarithmic depth."""
 
-    def half(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(int(bounds[mid])), half(mid + 1, hi)).otherwise(half(lo, mid))
+def with_next(docs: DataFrame, per_task: int = 4_000) -> DataFrame:
+    """Rows (part, lead, doc_id, text, key) in ranges of (doc_id, text hash), one a task, sorted within each; a part ends with a copy (lead) of the row that follows it.
 
-    return F.when(F.col("doc_id").isNotNull(), half(0, len(bounds)))
+    Bounds come from a hash sample of about `SAMPLED` rows for each `per_task` rows, so neither null nor repeated doc_ids fill a
+    part; only rows equal in doc_id and text stay together.  Order: doc_id (null first), then the text's hash.  After the last row
+    comes the first.  One shuffle moves each text once, and the least row of each part twice.
+    """
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    place = [F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "key"]
+    total = docs.count()
+    parts = min(MAX_PARTS, max(1, total // per_task))
+    if parts > 1:
+        some = keyed.where(sampled(F.xxhash64("doc_id", "key", F.lit("parts")), SAMPLED * parts, total)).select(*place).toPandas().sort_values(["id", "key"])
+        some = some.iloc[SAMPLED::SAMPLED].drop_duplicates()
+    else:
+        some = pd.DataFrame({"id": [], "key": []}, dtype="int64")
+    bound_ids, bound_keys = some["id"].to_numpy(), some["key"].to_numpy()
+    parts = len(some) + 1
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(rank_among(ids.to_numpy(), keys.to_numpy(), bound_ids, bound_keys))
+
+    tagged = keyed.withColumn("part", part_of(*place) if parts > 1 else F.lit(0))
+    # The least row of every part, one row for a part.
+    least = F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", "key")
+    heads = [(r["part"], r["h"]["doc_id"], r["h"]["key"]) for r in tagged.groupBy("part").agg(F.min(least).alias("h")).orderBy("part").collect()]
+    copies = keyed.sparkSession.createDataFrame([(*heads[i], heads[i - 1][0]) for i in range(len(heads))], "p int, id bigint, k bigint, before int")
+    same = (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
+    own = F.struct("part", F.lit(0).alias("lead"))
+    both = F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("lead")))
+    every = tagged.join(F.broadcast(copies), same, "left").select(F.inline(F.when(F.col("p").isNull(), F.array(own)).otherwise(both)), "doc_id", "text", "key")
+    return every.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "lead", F.col("doc_id").asc_nulls_first(), "key")
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -162,6 +177,7 @@ def fingerprint_documents(docs: DataFrame, rows: int = ROWS, tuple_size: int = T
                     other = held[2] if changed == held[1] else signature(changed, rows, tuple_size, k)
                     out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), held[2].astype(">u2").tobytes().hex(),
                                 other.astype(">u2").tobytes().hex(), likeness(held[2], other), likeness(held[2], mine)))
+                # Rows equal to the least one of the next part lead too; the first of them is enough.
                 held, at = (None, None) if lead else ((doc_id, text, mine), part)
             if out:
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
