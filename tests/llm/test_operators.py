@@ -56,6 +56,129 @@ def test_tiff_damaged(spark):
     assert tiff.page_rows(df).count() == 1
 
 
+def _foreign_tiff(pages, order):
+    """A file as another writer may make it: its own order of parts, SHORT values, RGB, several strips, LZW by a plain code table."""
+    import struct
+
+    def lzw(data):
+        bits, table, word, width = [], {bytes((i,)): i for i in range(256)}, b"", 9
+        put = lambda v: bits.append(format(v, f"0{width}b"))
+        put(256)
+        n = 258
+        for i in range(len(data)):
+            longer = word + data[i : i + 1]
+            if longer in table:
+                word = longer
+                continue
+            put(table[word])
+            table[longer] = n
+            n += 1
+            width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+            word = data[i : i + 1]
+            assert n < 4000, "short pages alone"
+        put(table[word])
+        n += 1
+        width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+        put(257)
+        text = "".join(bits)
+        text += "0" * (-len(text) % 8)
+        return int(text, 2).to_bytes(len(text) // 8, "big")
+
+    p = {"<": b"II", ">": b"MM"}[order]
+    out = bytearray(p + struct.pack(order + "HI", 42, 0))
+    link = 4
+    for a in pages:
+        h, w, n = a.shape
+        rows = max(1, h // 2)
+        blocks = [lzw(a[y : y + rows].tobytes()) for y in range(0, h, rows)]
+        struct.pack_into(order + "I", out, link, len(out))
+        at = len(out) + 2 + 12 * 9 + 4
+        tags = [(256, 3, w), (257, 3, h), (258, 3, [8] * n), (259, 3, 5), (262, 3, 2 if n == 3 else 1), (273, 4, None), (277, 3, n), (278, 3, rows), (279, 4, None)]
+        extra, offsets, data = b"", [], b""
+        bits_at = at
+        if n > 2:
+            extra += struct.pack(f"{order}{n}H", *[8] * n)
+        table_at = at + len(extra)
+        k = len(blocks)
+        data_at = table_at + (8 * k if k > 1 else 0)
+        for b in blocks:
+            offsets.append(data_at + len(data))
+            data += b
+        sizes = [len(b) for b in blocks]
+        out += struct.pack(order + "H", len(tags))
+        for tag, kind, value in tags:
+            if tag == 258 and n > 2:
+                out += struct.pack(order + "HHII", tag, kind, n, bits_at)
+            elif tag in (273, 279):
+                values = offsets if tag == 273 else sizes
+                out += struct.pack(order + "HHI", tag, 4, k) + struct.pack(order + "I", values[0] if k == 1 else table_at + (4 * k if tag == 279 else 0))
+            else:
+                out += struct.pack(order + "HHI", tag, kind, 1) + struct.pack(order + "HH", value if not isinstance(value, list) else 8, 0)
+        link = len(out)
+        out += struct.pack(order + "I", 0) + extra
+        if k > 1:
+            out += struct.pack(f"{order}{k}I", *offsets) + struct.pack(f"{order}{k}I", *sizes)
+        out += data
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_of_another_writer(order):
+    r = random.Random(9)
+    pages = [np.frombuffer(r.randbytes(12 * 10 * 3), np.uint8).reshape(12, 10, 3), np.full((5, 40, 1), 7, np.uint8), np.frombuffer(bytes(range(250)) * 2, np.uint8).reshape(10, 50, 1)]
+    data = _foreign_tiff(pages, order)
+    found = [tiff.read_page(data, t) for t in tiff.directories(data)]
+    assert len(found) == 3 and all(a.shape == b.shape and (a == b).all() for a, b in zip(found, pages))
+
+
+def test_tiff_lzw_known_codes():
+    """The format's own example: bytes 7 7 7 8 8 7 7 6 6 are codes 256 7 258 8 8 258 6 6 257 of nine bits."""
+    bits = "".join(format(c, "09b") for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    bits += "0" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert tiff.unpack_lzw(data) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6)) and tiff.pack_lzw(bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))) == data
+    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+
+def test_tiff_fuzz(spark):
+    """Files with any bytes changed, sizes of zero and sizes beyond reason: pages or an error, never a crash; clashing names pass."""
+    import struct
+
+    r = random.Random(10)
+    good = [tiff.store(r.randbytes(576 * 5)), tiff.store(b"abc" * 192 * 40)]
+    files = []
+    for _ in range(300):
+        f = bytearray(r.choice(good))
+        for _ in range(r.randint(1, 6)):
+            f[r.randrange(len(f))] = r.choice([0, 255, r.randrange(256)])
+        files.append(f)
+    for f in good:
+        at = struct.unpack_from("<I", f, 4)[0]
+        n = struct.unpack_from("<H", f, at)[0]
+        for k in range(n):
+            for v in (0, 1, 0x7FFFFFFF, 0xFFFFFFFF):
+                g = bytearray(f)
+                struct.pack_into("<I", g, at + 2 + 12 * k + 8, v)
+                files.append(g)
+    df = spark.createDataFrame([(i, bytes(f), "p", 7, 8) for i, f in enumerate(files)], "id int, media binary, pages string, error int, width int")
+    read = tiff.decode_pages(df)
+    assert read.columns == ["id", "media", "pages", "error", "width", "_pages", "_error"]
+    assert all((r["_error"] is None) == (len(r["_pages"]) > 0) and r["pages"] == "p" and r["error"] == 7 for r in read.collect())
+    rows = tiff.page_rows(df)
+    assert rows.columns[:4] == ["id", "pages", "error", "width"] and rows.columns[5] == "_width" and {r["width"] for r in rows.collect()} == {8}
+
+
+def test_tiff_long_text(spark):
+    """20 MB in one text, within a minute."""
+    import time
+
+    text = "".join(random.Random(11).choices("abcdefgh \n", k=20_000)) * 1000
+    began = time.time()
+    r = tiff.text_media(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    data = text.encode() + b"\xff" * (-len(text) % 576)
+    assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and time.time() - began < 90
+
+
 def test_tiff_query_brute(spark, sample_docs):
     got = {r["doc_id"]: r for r in queries.op1_tiff(spark, SF).collect()}
     for r in sample_docs.collect():
@@ -75,6 +198,56 @@ def test_toxicity_folding_and_exceptions():
     assert min(hot) > max(cold) and all(0 <= s <= 1 for s in hot + cold)
 
 
+def test_toxicity_spellings():
+    m = toxicity.seed_model()
+    clean = toxicity.score("a calm day", m)
+    for t in ("“idiot”", "„idiot“", "you—idiot—go", "idiot…", "stüpid", "stu\u0308pid", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "i.d.i.o.t", "such an i d i o t", "i-d-i-o-t", "ıdıot", "(idiot)", "ｌｏｓｅｒ"):
+        assert toxicity.score(t, m) > clean + 0.1, t
+    for t in ("U.S.A. is", "v1.2.3.4", "a b c d", "“calm”", "idi ot"):
+        assert toxicity.score(t, m) <= clean + 1e-9, t
+
+
+def _strength_brute(text, model):
+    """Entries sought one by one at every place of the folded text."""
+    folded, best, spared = toxicity.fold(text), {}, set()
+    for p, w in model.entries:
+        for at in range(len(folded)):
+            if folded.startswith(p, at):
+                best[at] = max(w, best.get(at, 0))
+    for p in model.exceptions:
+        for at in range(len(folded)):
+            if folded.startswith(p, at):
+                spared.update(range(at, at + len(p) - 1))
+    kept = {a: w for a, w in best.items() if a not in spared}
+    words = max(0, len(folded.split(" ")) - 2)
+    return sum(kept.values()) / (1 + np.log1p(words / 200)) if kept else 0.0, len(kept)
+
+
+def test_toxicity_brute(spark):
+    r = random.Random(12)
+    model = toxicity.Model((*toxicity.seed_model().entries, (" stu", 1.5), (" tra", 0.5), (" stupid ", 4.0)))
+    pool = "idiot 1d1ot stupid stupidly trash trash can tra loser sore loser bracket river stone stüpid “scum” clown".split()
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for x in toxicity.score_documents(docs, model).collect():
+        s, n = _strength_brute(x["text"], model)
+        assert x["__matches"] == n and abs(x["__score"] - toxicity._curve(s, model)) < 1e-12
+
+
+def test_sample_never_rounds_to_nothing(spark):
+    """At 1e11 and 1e15 rows the rate is still what it should be."""
+    from vigilmill.llm.common import sampled
+
+    h = F.xxhash64("id")
+    df = spark.range(200_000)
+    n = df.where(sampled(h, 10**6 // 2, 10**7)).count()
+    assert abs(n - 10_000) < 600
+    for total in (10**11, 10**15):
+        below = 2**63 * 4000 // total
+        assert below > 0 and spark.sql(f"select {below - 1}L as x").where(F.col("x") < F.lit(2**63 * 4000 // total)).count() == 1
+        assert df.where(sampled(F.lit(0).cast("bigint"), 4000, total)).count() == 200_000
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op2_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
@@ -171,6 +344,35 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
 
 
+def test_language_scores_brute(spark):
+    """Filters applied byte by byte, over windows cut one by one."""
+    r = np.random.default_rng(3)
+    net = language_id.Network(("aa", "bb"), tuple(r.standard_normal((w, 256, 4)).astype(np.float32) for w in (2, 3)), r.standard_normal(8).astype(np.float32), r.standard_normal((8, 2)).astype(np.float32), np.zeros(2, np.float32))
+    texts = ["one window", "x" * 256, "ab " * 300, "é" * 200, "", None, "12 34"]
+    got = {x["doc_id"]: x for x in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        raw, total = t.encode(), np.zeros(2)
+        for lo in range(0, len(raw), 256):
+            w = raw[lo : lo + 256]
+            padded = w + bytes(256 - len(w))
+            x = [max(sum(float(table[k][padded[p + k]][f]) for k in range(len(table))) for p in range(256 - len(table) + 1)) for table in net.tables for f in range(4)]
+            z = np.maximum(np.array(x) + net.bias, 0) @ net.out
+            total += (z - np.log(np.exp(z - z.max()).sum()) - z.max()) * len(w)
+        p = np.exp(total / len(raw))
+        p /= p.sum()
+        assert got[i]["lang_pred"] == net.languages[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-3
+
+
+def test_rare_language_is_learned(spark, sample_docs):
+    """A language of three rows among many is a class of the model."""
+    rare = spark.createDataFrame([(10_000 + i, f"zzq wqx vvk {i}", "xx") for i in range(3)], "doc_id bigint, text string, lang string")
+    net = language_id.fit(sample_docs.select("doc_id", "text", "lang").unionByName(rare), F.lit(True), sample_rows=40)
+    assert "xx" in net.languages and len(net.languages) > 3
+
+
 def test_language_undecided(spark, corner_dir):
     got = {r["doc_id"]: r["lang_pred"] for r in queries.op4_language_id(spark, corner_dir).collect()}
     assert {i for i, p in got.items() if p == "und"} == {2, 3, 4, 10}
@@ -307,11 +509,61 @@ def test_order_minhash_brute(spark, sample_docs):
         assert (g["near_edited"], g["near_next"]) == (order_minhash.likeness(a, b), order_minhash.likeness(a, c))
 
 
+def _order_signature_brute(text, rows=48, size=2, k=8):
+    """Every pair of k-mer and occurrence hashed by itself, sorted, the least put back into text order."""
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & m
+        h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & m
+        return h ^ (h >> 33)
+
+    if not text:
+        return [0] * rows
+    seeds = [mixed((i + 1) * 0xD1342543DE82EF95 & m) for i in range(rows)]
+    k = min(k, len(text))
+    seen, grams = Counter(), []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & m
+        h = mixed(h)
+        grams.append((h, mixed((h + seen[h] * 0x9E3779B97F4A7C15) & m)))
+        seen[h] += 1
+    out = []
+    for s in seeds:
+        a, b = (s & 0xFFFFFFFF) | 1, s >> 32
+        order = sorted(range(len(grams)), key=lambda i: ((((grams[i][1] & 0xFFFFFFFF) ^ b) * a + (grams[i][1] >> 32)) & 0xFFFFFFFF, i))
+        n = min(size, len(grams))
+        h = n
+        for i in sorted(order[:n]):
+            h = mixed((h * 0x9E3779B97F4A7C15 + grams[i][0] + s) & m)
+        out.append(h >> 48)
+    return out
+
+
+def test_order_signature_brute():
+    r = random.Random(13)
+    for t in ["", "a", "abc", "aaaaaaaaaaaaaaaaaaaa", "\U0001f600é中" * 7, *("".join(r.choices("ab cdé", k=r.randint(1, 90))) for _ in range(30))]:
+        assert order_minhash.signature(t).tolist() == _order_signature_brute(t)
+
+
 def test_order_minhash_ranges(spark, sample_docs):
-    small = order_minhash.with_next(sample_docs, per_task=7)
-    rows = [tuple(r) for r in small.select("part", "lead", "doc_id").collect()]
-    assert sorted(i for _, lead, i in rows if not lead) == sorted(r["doc_id"] for r in sample_docs.collect())
-    assert Counter(p for p, lead, _ in rows if lead) == Counter({p for p, lead, _ in rows if not lead})
+    """One part a task; a part with the rows of one doc_id is cut by their texts; each part ends with the next one's first row."""
+    same = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(300)], "doc_id bigint, text string")
+    for docs in (sample_docs.select("doc_id", "text"), same):
+        small = order_minhash.with_next(docs, per_task=7).withColumn("task", F.spark_partition_id())
+        rows = [tuple(r) for r in small.select("part", "lead", "doc_id", "key", "task").collect()]
+        order = lambda r: (r[2] is not None, r[2] or 0, r[3])
+        own = sorted((r for r in rows if not r[1]), key=order)
+        assert sorted(map(str, (r[2] for r in own))) == sorted(str(r["doc_id"]) for r in docs.collect())
+        assert [r[0] for r in own] == sorted(r[0] for r in own)  # ranges
+        sizes = Counter(r[0] for r in own)
+        assert len(sizes) > 10 and max(sizes.values()) < 40 and len({r[4] for r in own}) == len(sizes)
+        firsts = {p: next(r for r in own if r[0] == p) for p in sizes}
+        parts = sorted(sizes)
+        for p, after in zip(parts, parts[1:] + parts[:1]):
+            assert {r[2:4] for r in rows if r[1] and r[0] == p} == {firsts[after][2:4]}
 
 
 def test_order_matters():
@@ -346,6 +598,32 @@ def test_packing_covers(spark, sample_docs):
     assert all(v[0][2] in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024) for v in by_sequence.values())
 
 
+def test_packing_tiers_and_steps(spark, sample_docs):
+    """On several partitions: every tier has windows of documents routed to it, padding is nil, step groups are equal or balanced."""
+    pieces = packing.pack_documents(sample_docs.repartition(4, "doc_id"), buffer_tokens=40_000, step_tokens=8 * 1024).collect()
+    windows, steps, made = {}, defaultdict(int), Counter()
+    for p in pieces:
+        windows.setdefault(p["sequence_id"], [p["tier"], 0, p["step_group"], 0])
+        windows[p["sequence_id"]][1] += p["length"]
+        windows[p["sequence_id"]][3] = max(windows[p["sequence_id"]][3], p["length"])
+    for tier, tokens, step, longest in windows.values():
+        assert tokens == tier and tier & (tier - 1) == 0
+        steps[step] += tokens
+        made[tier] += tokens
+    total = sum(made.values())
+    assert all(made[t] > 0.01 * total for t in (256, 512, 1024)) and made[128] > 0
+    # A window of a tier of documents is opened by a rest that only this tier or a longer one holds.
+    opened = [longest > tier // 2 for tier, _, _, longest in windows.values() if tier in (256, 512)]
+    assert sum(opened) > 0.9 * len(opened)
+    by_task = defaultdict(list)
+    for step, tokens in steps.items():
+        assert tokens <= 8 * 1024 + 1024
+        by_task[step >> 40].append(tokens)
+    for tokens in by_task.values():
+        short = [t for t in tokens if t != 8 * 1024]
+        assert not short or max(short) - min(short) <= 1024
+
+
 # 9
 def _fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
