@@ -39,3 +39,18 @@ def test_script_without_spaces():
         a, b = line_dedup.simhashes(line_dedup.code_lines(["".join(x).encode() for x in (line, copy)]))
         near += int(np.bitwise_count(a ^ b)) <= line_dedup.RADIUS
     assert near >= 60
+
+
+def test_bounds_of_the_edit_distance():
+    """The bounds that decide most pairs never contradict the distance itself."""
+    r = random.Random(14)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    texts += [t[:k] + "x" + t[k + r.randint(0, 2) :] for t in texts[:40] for k in [r.randrange(len(t))]]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(texts)) for b in range(a)]))
+    low = line_dedup._least_distance(texts, i, j)
+    for a, b, least in zip(i.tolist(), j.tolist(), low.tolist()):
+        d = line_dedup.edit_distance(texts[a], texts[b], 1000)
+        assert least <= d <= line_dedup.word_bound(texts[a].split(), texts[b].split(), 1000)
+        grams = [{t[k : k + 4] for k in range(len(t) - 3)} for t in (texts[a], texts[b])]
+        assert len(grams[0] - grams[1]) <= 4 * d
+

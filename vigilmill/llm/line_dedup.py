@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.blocks import beside, dealt, near_pairs, whole_runs
+from vigilmill.llm.blocks import Links, beside, dealt, near_pairs, whole_runs
 from vigilmill.llm.common import cut, free_names
 from vigilmill.llm.components import components
 
@@ -318,15 +319,50 @@ def flagged_codes(lines: DataFrame, expected: int, radius: int = RADIUS, similar
     return found.groupBy("code").agg(F.collect_set("bucket").alias("active"))
 
 
+def _least_distance(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of each pair's edit distance: letters, in 32 classes, that one line has more of than the other."""
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
+    counts = np.bincount(row * 32 + (np.concatenate(points) & 31 if len(row) else row), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
+    out = np.empty(len(i), np.int32)
+    for lo in range(0, len(i), 1 << 16):
+        more = counts[i[lo : lo + (1 << 16)]] - counts[j[lo : lo + (1 << 16)]]
+        out[lo : lo + (1 << 16)] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    return out
+
+
+def word_bound(a: list[str], b: list[str], most: int) -> int:
+    """An upper bound of the edit distance of two lines, from their words: changed, left out or put in one at a time; over `most`, it stops."""
+    cost = i = j = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        if i + 1 < n and a[i + 1] == b[j]:
+            cost, i = cost + len(a[i]) + 1, i + 1
+        elif j + 1 < m and a[i] == b[j + 1]:
+            cost, j = cost + len(b[j]) + 1, j + 1
+        else:
+            cost, i, j = cost + max(len(a[i]), len(b[j])), i + 1, j + 1
+        if cost > most:
+            return cost
+    return cost + sum(len(w) + 1 for w in a[i:]) + sum(len(w) + 1 for w in b[j:])
+
+
 def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, blocks: np.ndarray, texts: list[str], radius: int, least: float) -> np.ndarray:
     """Spanning links (i, smallest of its group) of lines sorted by cell: int[n, 2]; blocks: uint64[n, BLOCKS], 0 for none.
 
     A pair is compared in the least of the blocks that it shares, and only if it is not connected yet; taking each line's
-    partners in order makes a large group a star after about one comparison a line.
+    partners in order makes a large group a star after about one comparison a line.  Bounds of the edit distance decide most
+    pairs: letter counts and runs of letters from below, words from above.
     """
-    group = np.arange(len(texts))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     first_i, first_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in near_pairs(cell, codes, radius):
+        longer = np.maximum(sizes[i], sizes[j])
+        fits = np.minimum(sizes[i], sizes[j]) >= longer - ((1 - least) * longer + 1e-9).astype(np.int64)
+        i, j = i[fits], j[fits]
         least_shared = np.full(len(i), _NONE)
         for k in range(blocks.shape[1]):
             mine = blocks[i, k]
@@ -336,17 +372,29 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
         first_i.append(i[here])
         first_j.append(j[here])
     i, j = np.concatenate(first_i), np.concatenate(first_j)
+    if not len(i):
+        return np.empty((0, 2), np.int64)
+    mosts = ((1 - least) * np.maximum(sizes[i], sizes[j]) + 1e-9).astype(np.int64)
+    some = _least_distance(texts, i, j) <= mosts
+    i, j, mosts = i[some], j[some], mosts[some]
     order = np.lexsort((j, i))
-    i, j = i[order], j[order]
-    edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
-    for lo, hi in zip(edges, np.concatenate((edges[1:], [len(i)]))):
-        a, partners = int(i[lo]), j[lo:hi]
-        for b in partners[group[partners] != group[a]].tolist():
-            if group[a] != group[b] and similar(texts[a], texts[b], least):
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group[group == old] = new
-    moved = np.flatnonzero(group != np.arange(len(group)))
-    return np.stack((moved, group[moved]), axis=1)
+    links = Links(len(texts))
+    words, grams = lru_cache(4096)(lambda k: texts[k].split()), lru_cache(4096)(lambda k: {texts[k][at : at + 4] for at in range(len(texts[k]) - 3)})
+
+    def near(a: int, b: int, most: int) -> bool:
+        if word_bound(words(a), words(b), most) <= most:
+            return True
+        # An edit changes four runs of four letters at most.
+        if len(grams(a) - grams(b)) > 4 * most or len(grams(b) - grams(a)) > 4 * most:
+            return False
+        return edit_distance(texts[a], texts[b], most) <= most
+
+    for a, b, most in zip(i[order].tolist(), j[order].tolist(), mosts[order].tolist()):
+        if links.root(a) != links.root(b) and near(a, b, most):
+            links.join(a, b)
+    roots = np.fromiter(map(links.root, range(len(texts))), np.int64, len(texts))
+    moved = np.flatnonzero(roots != np.arange(len(roots)))
+    return np.stack((moved, roots[moved]), axis=1)
 
 
 def line_links(lines: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
