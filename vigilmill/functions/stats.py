@@ -22,11 +22,18 @@ def wilson(k: Column, n: Column, z: float = Z95, empty: tuple[float, float] = (0
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Exact two-sided binomial tail at one half; 1 without pairs.  Terms by recurrence, so it fits any count below about 1000."""
+    """Exact two-sided binomial tail at one half; 1 without pairs.
+
+    Terms are summed from the largest down, each relative to it by recurrence, and the largest comes from logarithms of
+    factorials, so no count underflows.
+    """
     n, low = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda acc, i: F.struct((acc["term"] * (n - i) / (i + 1)).alias("term"), (acc["total"] + acc["term"]).alias("total"))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(0), low), start, step)["total"] * 2))
+    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    top = log_factorial(n) - log_factorial(low) - log_factorial(n - low) - n * F.log(F.lit(2.0))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda acc, i: F.struct((acc["term"] * i / (n - i + 1)).alias("term"), (acc["total"] + acc["term"]).alias("total"))
+    down = F.sequence(low, F.lit(0), F.lit(-1))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * F.aggregate(down, start, step)["total"] * 2))
 
 
 def nearest_rank(values: str, group: list[str], share: float = 0.95):
