@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959964
@@ -45,3 +45,20 @@ def nearest_rank(values: str, group: list[str], share: float = 0.95):
         return ranked.where(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.lit(share) * F.col("_n"))))
 
     return step
+
+
+def cluster_bootstrap_gap(per: DataFrame, cluster: str, first: str, second: str, n: str, draws: int = 2_000, level: float = 0.95) -> DataFrame:
+    """(low, high, share): percentile interval of (sum first - sum second) / sum n over draws of clusters with replacement, and the share of draws not below zero.
+
+    per: one row a cluster.  Draw r takes cluster hash(r, j) modulo the number of clusters for each j, the same for both arms, so reruns agree.
+    Clusters are numbered in order of their names; the table of draws is draws times clusters rows, spread over tasks.
+    """
+    c = per.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    size = c.agg(F.count("*").alias("c"))
+    d = per.sparkSession.range(draws).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("c")
+    b = d.withColumn("i", draw).join(c, "i").groupBy("r").agg(((F.sum(first) - F.sum(second)) / F.sum(n)).alias("gap"))
+    o = b.withColumn("pos", F.row_number().over(Window.orderBy("gap")) - 1)
+    low, high = round(draws * (1 - level) / 2), draws - 1 - round(draws * (1 - level) / 2)
+    at = lambda k: F.round(F.min(F.when(F.col("pos") == k, F.col("gap"))), 6)
+    return o.agg(at(low).alias("low"), at(high).alias("high"), F.round(F.count_if(F.col("gap") >= 0) / F.count("*"), 6).alias("share"))
