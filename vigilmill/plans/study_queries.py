@@ -9,7 +9,7 @@ from vigilmill.functions import stats
 from vigilmill.operators import decisions as dec
 from vigilmill.plans.registry import query
 
-_RUN = """r as (select l_orderkey as id, l_suppkey % 9 as build, l_partkey % 8 as cell, l_linenumber as rep, l_linestatus as arm, l_shipdate as at,
+_RUN = """r as (select l_orderkey as id, l_suppkey % 9 as build, l_partkey % 8 as cell, l_linenumber as rep, l_linestatus as arm, l_shipdate as tm,
  case when l_quantity > 45 then 'INVALID' when l_returnflag = 'R' then 'BLOCKED' when l_returnflag = 'A' then 'PROMPTED' else 'RAN' end as outcome from lineitem)"""
 
 
@@ -50,7 +50,7 @@ def headline_survival(t):
     return m.agg(F.count_if("f").alias("pairs"), F.count_if(F.col("f") & F.col("h")).alias("survived"))
 
 
-@query(f"""with {_RUN}, l as (select build from r group by 1 having not bool_or(outcome = 'INVALID' and cell = 0 and rep = 7 and arm = 'F' and day(at) = 1)) select build, cell, count(*) as n from r where build in (select build from l) group by 1, 2""")
+@query(f"""with {_RUN}, l as (select build from r group by 1 having not bool_or(outcome = 'INVALID' and cell = 0 and rep = 7 and arm = 'F' and day(tm) = 1)) select build, cell, count(*) as n from r where build in (select build from l) group by 1, 2""")
 def live_builds(t):
     """Runs of the builds whose every control run reached the hook."""
     r = _runs(t)
@@ -59,7 +59,7 @@ def live_builds(t):
     return r.join(live, "build", "left_semi").groupBy("build", "cell").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {_RUN}, c as (select build, cell, case when count(*) filter (outcome <> 'INVALID') = 0 then 'none' when count(distinct outcome) filter (outcome <> 'INVALID') = 1 then min(outcome) filter (outcome <> 'INVALID') else 'mixed' end as o from r where rep = 7 and day(at) = 1 group by 1, 2),
+@query(f"""with {_RUN}, c as (select build, cell, case when count(*) filter (outcome <> 'INVALID') = 0 then 'none' when count(distinct outcome) filter (outcome <> 'INVALID') = 1 then min(outcome) filter (outcome <> 'INVALID') else 'mixed' end as o from r where rep = 7 and day(tm) = 1 group by 1, 2),
  j as (select build, max(o) filter (cell = 0) as r0, max(o) filter (cell = 1) as r1 from c group by 1) select build, case when r0 is null or r1 is null or r0 in ('mixed', 'none') or r1 in ('mixed', 'none') then 'unclear' when r0 = r1 then 'same' else 'DIFFER' end as controls from j""")
 def control_comparison(t):
     """The two controls of a build: same, DIFFER, or unclear where one is mixed or missing."""
@@ -92,7 +92,7 @@ def cell_status(t):
     return total.join(m, ["build", "cell"], "left").select("build", "cell", "modal", status.alias("status"))
 
 
-@query(f"""with {_RUN}, h as (select build, cell, count(*) filter (arm = 'F') as yes, count(*) filter (arm = 'O') as no from r where rep = 7 and day(at) = 1 group by 1, 2)
+@query(f"""with {_RUN}, h as (select build, cell, count(*) filter (arm = 'F') as yes, count(*) filter (arm = 'O') as no from r where rep = 7 and day(tm) = 1 group by 1, 2)
  select build, cell, case when yes + no = 0 then null when no = 0 then 'true' when yes = 0 then 'false' else 'partial' end as invoked from h""")
 def hook_invoked(t):
     """Whether the hook ran in all, none or some of a cell's repetitions."""
