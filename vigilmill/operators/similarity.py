@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,37 @@ def contained(prints: DataFrame, texts: DataFrame, least: float = 0.6, n: int =
     return hits.join(size, "print_id").withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least).select("print_id", "text_id", "score")
 
 
+def anchored(prints: DataFrame, texts: DataFrame, least: float = 0.6, anchor_least: float = 0.5, n: int = 3) -> DataFrame:
+    """`contained`, of prints whose anchor (words of the sentence that was matched) the text holds to `anchor_least` as well.
+
+    prints: print_id, words, anchor; an empty anchor asks nothing.
+    """
+    hits = contained(prints, texts, least, n)
+    held = contained(prints.where(F.size("anchor") > 0).select("print_id", F.col("anchor").alias("words")), texts, anchor_least, n).select("print_id", "text_id")
+    free = prints.where(F.size("anchor") == 0).select("print_id")
+    return hits.join(held, ["print_id", "text_id"], "left_semi").unionByName(hits.join(free, "print_id", "left_semi"))
+
+
+def both_ways(prints: DataFrame, others: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
+    """(print_id, text_id, score): the greater of the shares that each of two texts holds of the other; others: text_id, words."""
+    forth = contained(prints, others, least, n)
+    back = contained(others.select(F.col("text_id").alias("print_id"), "words"), prints.select(F.col("print_id").alias("text_id"), "words"), least, n)
+    every = forth.unionByName(back.select(F.col("text_id").alias("print_id"), F.col("print_id").alias("text_id"), "score"))
+    return every.groupBy("print_id", "text_id").agg(F.max("score").alias("score"))
+
+
+def nearest_to_match(sentences: DataFrame, hits: DataFrame, reach: int, most: int) -> DataFrame:
+    """(doc_id, value, d): values of sentences within `reach` of a hit with their least distance, the `most` nearest of a text (ties: by value).
+
+    sentences: doc_id, i, values (array); hits: doc_id, hit.  Each hit is put on the sentences around it, so this is an equi join.
+    """
+    around = hits.select("doc_id", "hit", F.explode(F.sequence(F.col("hit") - reach, F.col("hit") + reach)).alias("i"))
+    near = around.groupBy("doc_id", "i").agg(F.min(F.abs(F.col("i") - F.col("hit"))).alias("d"))
+    v = sentences.join(near, ["doc_id", "i"]).select("doc_id", "d", F.explode("values").alias("value")).groupBy("doc_id", "value").agg(F.min("d").alias("d"))
+    w = Window.partitionBy("doc_id").orderBy("d", "value")
+    return v.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("doc_id", "value", "d")
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -29,13 +64,47 @@ def cosine(a, b):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for lo in range(0, len(f), 4096):
+            part = f.iloc[lo : lo + 4096]
+            yield pd.DataFrame({"ids": [part["iid"].tolist()], "vectors": [[np.asarray(v, float).tolist() for v in part["iv"]]], "labels": [part["label"].tolist()]})
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.array([np.asarray(r, float) for r in rows])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _scores(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best of every chunk of the index for each query of a block."""
+    for f in frames:
+        for ids, vectors, labels, qids, qvs in zip(f["ids"], f["vectors"], f["labels"], f["qids"], f["qvs"]):
+            ids, labels, qids = np.asarray(ids), np.asarray(labels), np.asarray(qids)
+            sim = np.round(_unit(qvs) @ _unit(vectors).T, 6)
+            sim[qids[:, None] == ids[None, :]] = -np.inf
+            best = [b[np.isfinite(row[b])] for row in sim for b in [np.lexsort((ids, -row))[:k]]]
+            n, at = [len(b) for b in best], np.concatenate(best).astype(np.int64)
+            yield pd.DataFrame({"qid": np.repeat(qids, n), "iid": ids[at], "label": labels[at], "sim": sim[np.repeat(np.arange(len(qids)), n), at]})
+
+
+#: Queries of a block: a block's vectors are what a task holds beside a batch of the index.
+BLOCK = 1024
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of index for each query by cosine (ties: smaller id).
+    """The k nearest rows of index for each query by cosine, rounded to six places (ties: smaller id); a row is never its own neighbour.
 
-    queries: a stated set (qid, qv); index: (iid, iv, label).  The index is scanned once against the broadcast queries; every
-    task keeps k rows a query before the shuffle (group limit).
+    queries: a stated set (qid, qv); index: (iid, iv, label).  Queries are held in blocks of `BLOCK` rows against the whole index: a task
+    normalises its batch of the index once and takes one matrix product for the block, and keeps k rows a query of each batch, so
+    what is shuffled is k rows for each query and batch.
     """
-    scored = index.join(F.broadcast(queries), F.col("qid") != F.col("iid")).withColumn("sim", F.round(cosine(F.col("qv"), F.col("iv")), 6))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    q = queries.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    packed = q.groupBy("block").agg(F.collect_list("qid").alias("qids"), F.collect_list("qv").alias("qvs"))  # a block has about BLOCK rows
+    # Blocks by chunks of the index: a stated query set against all rows, a matrix product a pair of them.
+    pairs = index.select("iid", "iv", "label").mapInPandas(_chunks, "ids array<bigint>, vectors array<array<double>>, labels array<int>")
+    scored = pairs.crossJoin(packed).mapInPandas(lambda frames: _scores(frames, k), "qid bigint, iid bigint, label int, sim double")
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "iid")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "iid", "label", "sim", "rank")
 

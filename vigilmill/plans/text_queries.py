@@ -9,6 +9,12 @@ from vigilmill.functions import text as tx
 from vigilmill.operators import similarity as sim
 from vigilmill.plans.registry import query
 
+_STOPS = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+_MASKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\x00-\x20\x22<>]+', ' xurl ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', ' xemail ', 'g'), '(?:~|\.{1,2})?(?:/[\w.-]+){2,}/?', ' xpath ', 'g'), '\b(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[A-Za-z]{1,8}-[0-9]{4,}|[0-9]{9,})\b', ' xid ', 'g')"
+#: The content words of `text` in DuckDB's SQL.
+TOKENS = f"""list_transform(list_filter(regexp_extract_all(lower({_MASKED}), '[a-z]+'), lambda w: len(w) >= 2 and not list_contains({_STOPS}, w)),
+ lambda w: case when len(w) > 5 and w like '%ing' then left(w, len(w) - 3) when len(w) > 3 and w like '%s' and w not like '%ss' then left(w, len(w) - 1) else w end)"""
+
 _GRAMS = """
     w as (select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[a-z]+') as ws from documents where text is not null
           union all select 'b', item_id, regexp_extract_all(lower(text), '[a-z]+') from benchmark where text is not null),
@@ -47,7 +53,7 @@ def gate_kept(t):
     return t.benchmark.where(long).join(_found(t), F.col("item_id") == F.col("print_id"), "left_anti").select("item_id", "text")
 
 
-@query("select doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(w) >= 2 and not list_contains(['the','and','for','that','this','with','was','are','from','not','but','you','all','any','can','had','has','have','its','our','out','who','will','your'], w)))::bigint as tokens from documents where text is not null")
+@query(f"select doc_id, len({TOKENS})::bigint as tokens from documents where text is not null")
 def content_token_counts(t):
     return t.documents.where("text is not null").select("doc_id", F.size(tx.content_tokens(F.col("text"))).cast("bigint").alias("tokens"))
 
