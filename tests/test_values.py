@@ -1,6 +1,5 @@
 """Values, their keys and their provenance on hand-written cases."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from vigilmill.functions import values as v
@@ -43,63 +42,63 @@ def test_parsed_and_suffixes(spark):
     assert got[keys[0]]["s"] == ["a.b.example", "b.example"] and got[keys[6]]["s"] == ["203.0.113.7"] and got[keys[1]]["d"] is None and got[keys[2]]["d"] == "x.example"
 
 
-def _rows(spark, *rows):
-    return spark.createDataFrame([("s", at, k) for at, k in rows] or [("none", 0, "")], "scope string, at int, key string")
-
-
-@pytest.mark.parametrize(
-    "call, source, user, sourced",
-    [
-        ("bob@x.example", ["bob@x.example"], [], True),
-        ("bob@x.example", ["bob@x.example"], ["bob@x.example"], False),
-        ("bob@x.example", ["x.example"], [], True),  # its domain named bare
-        ("bob@sub.x.example", ["any@x.example"], [], True),  # under a mail domain
-        ("https://x.example/a/b", ["https://x.example/a"], [], True),  # inside
-        ("https://x.example/a", ["https://x.example/a/b"], [], True),  # around
-        ("https://x.example/c", ["https://x.example/a"], [], False),  # another path
-        ("https://x.example/c", ["https://x.example"], [], True),  # a site without a path
-        ("https://github.com/c", ["https://github.com"], [], False),  # a shared site
-        ("x.example", ["https://x.example/a"], [], True),  # the host of a URL
-        ("a.co.uk", ["co.uk"], [], False),  # a registry's label
-        ("~/p/q/f.txt", ["~/p/q"], [], False),  # a path only as itself
-        ("~/p/q/f.txt", ["~/p/q/f.txt"], ["~/p/q"], False),  # in a folder the user named
-        ("~/p/q/.env", ["~/p/q/.env"], ["~/p/q"], True),  # but a dot file
-        ("~/p/f.txt", ["~/p/f.txt"], ["~"], True),  # one segment is no folder of the user's
-    ],
-)
-def test_sourced_from(spark, call, source, user, sourced):
-    got = pv.sourced_from(_rows(spark, (5, call)), _rows(spark, *((1, k) for k in source)), _rows(spark, *((0, k) for k in user)))
-    assert [r["key"] for r in got.collect()] == ([call] if sourced else [])
-    late = pv.sourced_from(_rows(spark, (5, call)), _rows(spark, *((5, k) for k in source)), _rows(spark))
-    assert late.collect() == []
-
-
-@pytest.mark.parametrize(
-    "call, tainted, user, traced",
-    [
-        ("https://x.example/u/notes", ["https://x.example/u"], [], "path"),
-        ("https://x.example/u?d=notes", ["https://x.example/u"], [], "path"),
-        ("https://x.example/v", ["https://x.example/u"], [], None),
-        ("https://x.example/v", ["https://x.example"], [], "host"),
-        ("https://sub.x.example/v", ["x.example"], [], "host"),
-        ("https://github.com/v", ["github.com"], [], None),
-        ("https://x.example/v", ["x.example"], ["https://x.example/home"], None),
-        ("https://x.example/u/notes", ["https://x.example/u", "x.example"], [], "path"),
-        ("https://x.example/a/b/c", ["https://x.example/a/b"], ["https://x.example/a/b"], None),
-    ],
-)
-def test_traced_urls(spark, call, tainted, user, traced):
-    got = pv.traced_urls(_rows(spark, (5, call)), _rows(spark, *((1, k) for k in tainted)), _rows(spark, *((0, k) for k in user)))
-    assert [r["traced"] for r in got.collect()] == ([traced] if traced else [])
-
-
-@pytest.mark.parametrize(
-    "call, tainted, user, hit",
-    [("https://x.example/z", "https://x.example/a", [], True), ("a.x.example", "x.example", [], True), ("x.example", "https://a.x.example/q", [], True), ("https://github.com/z", "https://github.com/a", [], False), ("x.example", "a.x.example", ["x.example"], False), ("y.example", "x.example", [], False)],
-)
-def test_tainted_hosts(spark, call, tainted, user, hit):
-    got = pv.on_tainted_hosts(_rows(spark, (5, call)), _rows(spark, (1, tainted)), _rows(spark, *((0, k) for k in user)))
-    assert got.count() == int(hit)
+SOURCED = [
+    ("bob@x.example", ["bob@x.example"], [], True),
+    ("bob@x.example", ["bob@x.example"], ["bob@x.example"], False),
+    ("bob@x.example", ["x.example"], [], True),  # its domain named bare
+    ("bob@sub.x.example", ["any@x.example"], [], True),  # under a mail domain
+    ("https://x.example/a/b", ["https://x.example/a"], [], True),  # inside
+    ("https://x.example/a", ["https://x.example/a/b"], [], True),  # around
+    ("https://x.example/c", ["https://x.example/a"], [], False),  # another path
+    ("https://x.example/c", ["https://x.example"], [], True),  # a site without a path
+    ("https://github.com/c", ["https://github.com"], [], False),  # a shared site
+    ("x.example", ["https://x.example/a"], [], True),  # the host of a URL
+    ("a.co.uk", ["co.uk"], [], False),  # a registry's label
+    ("~/p/q/f.txt", ["~/p/q"], [], False),  # a path only as itself
+    ("~/p/q/f.txt", ["~/p/q/f.txt"], ["~/p/q"], False),  # in a folder the user named
+    ("~/p/q/.env", ["~/p/q/.env"], ["~/p/q"], True),  # but a dot file
+    ("~/p/f.txt", ["~/p/f.txt"], ["~"], True),  # one segment is no folder of the user's
+]
+TRACED = [
+    ("https://x.example/u/notes", ["https://x.example/u"], [], "path"),
+    ("https://x.example/u?d=notes", ["https://x.example/u"], [], "path"),
+    ("https://x.example/v", ["https://x.example/u"], [], None),
+    ("https://x.example/v", ["https://x.example"], [], "host"),
+    ("https://sub.x.example/v", ["x.example"], [], "host"),
+    ("https://github.com/v", ["github.com"], [], None),
+    ("https://x.example/v", ["x.example"], ["https://x.example/home"], None),
+    ("https://x.example/u/notes", ["https://x.example/u", "x.example"], [], "path"),
+    ("https://x.example/a/b/c", ["https://x.example/a/b"], ["https://x.example/a/b"], None),
+]
+TAINTED = [
+    ("https://x.example/z", ["https://x.example/a"], [], True), ("a.x.example", ["x.example"], [], True), ("x.example", ["https://a.x.example/q"], [], True),
+    ("https://github.com/z", ["https://github.com/a"], [], False), ("x.example", ["a.x.example"], ["x.example"], False), ("y.example", ["x.example"], [], False),
+]
+
+
+def _tables(spark, cases, at=1):
+    """Each case in a scope of its own: calls at 5, sources at `at`, the user's values."""
+    kind = "scope string, at int, key string"
+    calls = [(str(i), 5, c) for i, (c, _, _, _) in enumerate(cases)]
+    source = [(str(i), at, k) for i, (_, ks, _, _) in enumerate(cases) for k in ks]
+    user = [(str(i), 0, k) for i, (_, _, ks, _) in enumerate(cases) for k in ks]
+    return [spark.createDataFrame(x, kind) for x in (calls, source, user)]
+
+
+def test_sourced_from(spark):
+    got = {r["scope"]: r["key"] for r in pv.sourced_from(*_tables(spark, SOURCED)).collect()}
+    assert got == {str(i): c for i, (c, _, _, yes) in enumerate(SOURCED) if yes}
+    assert pv.sourced_from(*_tables(spark, SOURCED, at=5)).collect() == []
+
+
+def test_traced_urls(spark):
+    got = {r["scope"]: r["traced"] for r in pv.traced_urls(*_tables(spark, TRACED)).collect()}
+    assert got == {str(i): how for i, (_, _, _, how) in enumerate(TRACED) if how}
+
+
+def test_tainted_hosts(spark):
+    got = {r["scope"] for r in pv.on_tainted_hosts(*_tables(spark, TAINTED)).collect()}
+    assert got == {str(i) for i, (_, _, _, yes) in enumerate(TAINTED) if yes}
 
 
 def test_indicator_matches(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,28 @@ def cluster_bootstrap_gap(per: DataFrame, cluster: str, first: str, second: str,
     low, high = round(draws * (1 - level) / 2), draws - 1 - round(draws * (1 - level) / 2)
     at = lambda k: F.round(F.min(F.when(F.col("pos") == k, F.col("gap"))), 6)
     return o.agg(at(low).alias("low"), at(high).alias("high"), F.round(F.count_if(F.col("gap") >= 0) / F.count("*"), 6).alias("share"))
+
+
+def order_statistics(rows: DataFrame, value: str, group: list[str], positions: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """(group, n, one column for each name in positions): the value at each position (from 0, ascending) of a group's values.
+
+    positions are columns over `n`, the group's number of values; null values are left out.  No group is sorted: a histogram of its
+    range finds the bin of each position, and only the distinct values of that bin are put in order, so neither a large group
+    nor a value that fills half of it comes together in one task.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
+    stats = some.groupBy(*group).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    side = stats.select(*[F.col(c).alias(f"_{c}") for c in group], "n", "lo", "hi")
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], F.lit(True))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(F.lit(0)).cast("int")
+    binned = some.join(side, on).select(*group, "v", at.alias("bin"))
+    counts = binned.groupBy(*group, "bin").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*group).orderBy("bin")) - F.col("c"))
+    wanted = side.select(*[F.col(f"_{c}") for c in group], F.explode(F.array(*[F.struct(F.lit(k).alias("name"), p.cast("bigint").alias("pos")) for k, p in positions.items()])).alias("w"))
+    wanted = wanted.select(*[F.col(f"_{c}") for c in group], "w.name", "w.pos")
+    hit = upto.join(wanted, on).where((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("c"))).select(*[F.col(f"_{c}") for c in group], F.col("bin").alias("_bin"), "name", "pos", "before")
+    values = binned.join(hit.select(*[F.col(f"_{c}") for c in group], "_bin").distinct(), on & (F.col("bin") == F.col("_bin")), "left_semi").groupBy(*group, "bin", "v").agg(F.count("*").alias("c"))
+    inside = values.withColumn("less", F.sum("c").over(Window.partitionBy(*group, "bin").orderBy("v")) - F.col("c"))
+    found = inside.join(hit, on & (F.col("bin") == F.col("_bin"))).where((F.col("before") + F.col("less") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("less") + F.col("c")))
+    told = found.groupBy(*group).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in positions])
+    return told.join(side.select(*[F.col(f"_{c}") for c in group], "n"), on).select(*group, "n", *positions)

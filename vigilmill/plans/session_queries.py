@@ -182,9 +182,9 @@ def cluster_bootstrap_ci(t):
  select event_type, round(max(value) filter (i = least(n - 1, floor(0.95 * n)::bigint)), 6) as p95, round(median(value), 6) as p50, count(*) as n from x group by 1""")
 def latency_nearest_rank(t):
     """Median and nearest-rank 95th percentile of each kind."""
-    e = t.events.where("value is not null")
-    p95 = stats.nearest_rank("value", ["event_type"])(e.select("event_type", "value")).select("event_type", F.round("value", 6).alias("p95"))
-    return p95.join(e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.count("*").alias("n")), "event_type")
+    n = F.col("n")
+    p = stats.order_statistics(t.events, "value", ["event_type"], {"p95": F.least(n - 1, F.floor(F.lit(0.95) * n)), "a": F.floor((n - 1) / 2), "b": F.ceil((n - 1) / 2)})
+    return p.select("event_type", F.round("p95", 6).alias("p95"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("p50"), "n")
 
 
 @query("""with d as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as n from documents) select source, doc_id from d where n <= 20""")
@@ -314,6 +314,7 @@ def threshold_at_fpr(t):
 
     first = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
     b = t.embeddings.where("label <> 0").join(F.broadcast(first)).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("s"))
-    n = b.count()
-    top = b.orderBy(F.desc("s"), "vec_id").limit(int(0.05 * n) + 1)
-    return top.orderBy("s", F.desc("vec_id")).limit(1).select(F.col("s").alias("threshold"))
+    n = F.col("n")
+    # The value at place floor(0.05 n) of the descending order.
+    found = stats.order_statistics(b.withColumn("one", F.lit(1)), "s", ["one"], {"threshold": n - 1 - F.floor(F.lit(0.05) * n)})
+    return found.select("threshold")
