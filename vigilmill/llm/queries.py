@@ -10,10 +10,12 @@ from vigilmill.llm.common import table
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a TIFF file and read back: one row a document; null and empty texts are fill bytes alone, equal texts have equal values, repeated rows stay, other columns are not read."""
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every text, learned from labels of rows that are not held out: one row a document; null and empty texts score as a text without a match, equal texts alike, a null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = toxicity.crc_part(F.col("doc_id"), 3) == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -25,10 +27,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence words, places and labels of every text: one row a document; null and empty texts have none and score 0, repeated rows have equal results."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from rows that are not held out: one row a document; null texts and such without a letter are `und`, a null doc_id or lang is not learned from, equal odds go to the first language in order."""
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.crc_part(F.col("doc_id"), 4) == 2
     net = language_id.fit(docs, F.coalesce(~held_out, F.lit(False)))
@@ -37,29 +41,35 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without lines that repeat an earlier one: one row a document; a null text has 0 lines, lines without a word stay, of equal lines the first by (doc_id, line) stays, repeated rows of one doc_id and text are one document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.dedup_lines(docs)
     return cleaned.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars_left"), "text")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text: one row a document; null and empty texts have 0 tokens, repeated rows stay."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text: one row a document; null texts are empty, two empty texts have likeness 1, documents of one doc_id follow each other by text, the last is followed by the first."""
     return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences: each id of each document in one piece; null and empty texts are the closing id alone, repeated rows are documents of their own."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text: one row a document; null, empty and blank texts have fingerprint 0 and belong together, ties in doc_id do not matter, component_id is null only where every doc_id of a group is."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document: one row a document; null texts have size 0 and are taken in whole copies alone, a null source is a source, rows of one doc_id and text share their draw."""
     mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
