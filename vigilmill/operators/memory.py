@@ -122,7 +122,7 @@ def approvals(made: DataFrame, log: DataFrame) -> DataFrame:
     before expiry stands; the first use after it, before expiry and with the same fingerprint consumes an approval.
     """
     rows = log.join(made, "k").where(F.col("at") <= F.col("until"))
-    first = rows.where(F.col("act") != "consume").groupBy("k").agg(F.min_by(F.struct("at", "act"), F.struct("at", "n")).alias("d"))
+    first = rows.where(F.col("act") != "consume").groupBy("k").agg(F.min_by(F.struct("at", "act"), F.struct("at", "n", "act")).alias("d"))
     used = rows.where((F.col("act") == "consume") & F.col("same_call")).join(first, "k").where((F.col("d.act") == "approve") & (F.col("at") > F.col("d.at"))).groupBy("k").agg(F.min("at").alias("used"))
     state = F.when(F.col("used").isNotNull(), "CONSUMED").when(F.col("d.act") == "approve", "APPROVED").when(F.col("d.act") == "reject", "REJECTED").otherwise("PENDING")
     return made.join(first, "k", "left").join(used, "k", "left").select("k", state.alias("state"), "used")

@@ -31,7 +31,7 @@ def session_lives(t):
 
 
 @query("""with a as (select l_orderkey as k, l_shipdate as tm, l_linenumber as n, l_returnflag as act, l_partkey % 2 = 0 as same, o_orderdate + interval 60 days as until from lineitem join orders on l_orderkey = o_orderkey),
- d as (select k, min_by({'tm': tm, 'act': act}, (tm, n)) as d from a where act in ('A', 'R') and tm <= until group by 1),
+ d as (select k, min_by({'tm': tm, 'act': act}, (tm, n, act)) as d from a where act in ('A', 'R') and tm <= until group by 1),
  c as (select a.k, min(a.tm) as used from a join d on a.k = d.k where a.act = 'N' and a.same and d.d.act = 'A' and a.tm > d.d.tm and a.tm <= a.until group by 1)
  select o_orderkey as k, case when c.used is not null then 'CONSUMED' when d.d.act = 'A' then 'APPROVED' when d.d.act = 'R' then 'REJECTED' else 'PENDING' end as state, c.used from orders left join d on d.k = o_orderkey left join c on c.k = o_orderkey""")
 def approval_states(t):
