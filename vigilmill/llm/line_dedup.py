@@ -355,7 +355,7 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
 
     A pair is compared in the least of the blocks that it shares, and only if it is not connected yet; taking each line's
     partners in order makes a large group a star after about one comparison a line.  Bounds of the edit distance decide most
-    pairs: letter counts and runs of letters from below, words from above.
+    pairs: letter counts from below, words from above.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     first_i, first_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -379,15 +379,10 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
     i, j, mosts = i[some], j[some], mosts[some]
     order = np.lexsort((j, i))
     links = Links(len(texts))
-    words, grams = lru_cache(4096)(lambda k: texts[k].split()), lru_cache(4096)(lambda k: {texts[k][at : at + 4] for at in range(len(texts[k]) - 3)})
+    words = lru_cache(4096)(lambda k: texts[k].split())
 
     def near(a: int, b: int, most: int) -> bool:
-        if word_bound(words(a), words(b), most) <= most:
-            return True
-        # An edit changes four runs of four letters at most.
-        if len(grams(a) - grams(b)) > 4 * most or len(grams(b) - grams(a)) > 4 * most:
-            return False
-        return edit_distance(texts[a], texts[b], most) <= most
+        return word_bound(words(a), words(b), most) <= most or edit_distance(texts[a], texts[b], most) <= most
 
     for a, b, most in zip(i[order].tolist(), j[order].tolist(), mosts[order].tolist()):
         if links.root(a) != links.root(b) and near(a, b, most):
