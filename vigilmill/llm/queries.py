@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmill.llm import language_id, licenses, line_dedup, mixing, order_minhash, packing, simhash_dedup, tiff, tokens, toxicity
+from vigilmill.llm import conversation_repair, divergence, language_id, licenses, line_dedup, mixing, order_minhash, packing, simhash_dedup, tiff, tokens, toxicity, uniform_shards
 from vigilmill.llm.common import table
 
 
@@ -74,6 +74,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-_ALL = (op1_tiff, op2_toxicity, op3_licenses, op4_language_id, op5_line_dedup, op6_token_counts, op7_order_minhash, op8_packing, op9_simhash, op10_mixing)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults, cheapest repair and its hash: one row for every conv_id of the table, a null one too; a conversation all of whose rows are dropped has zeros, an empty audit and the hash of nothing; rows of equal turn go by role and text hash."""
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    found = conversation_repair.repair_report(damaged)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256", "repaired_rows")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ: every pair, and the ten terms of each source above the language's share; nulls are empty strings and groups of their own, a row is a document, ties go by item."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards whose counts are at most one apart: one row a document; a null text has size 1 and the CRC of nothing, equal texts and repeated rows are dealt each for itself."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = uniform_shards.uniform_shards(docs, shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_ALL = (op1_tiff, op2_toxicity, op3_licenses, op4_language_id, op5_line_dedup, op6_token_counts, op7_order_minhash, op8_packing, op9_simhash, op10_mixing, op11_conversation_repair, op12_source_divergence, op13_uniform_shards)
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL, "op11_conversation_repair": conversation_repair.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
