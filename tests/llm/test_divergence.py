@@ -83,7 +83,7 @@ def test_scan_emits_before_it_holds_too_much(spark, rows, monkeypatch):
 
     monkeypatch.setattr(divergence, "BUFFER_ENTRIES", 7)
     read = [pa.record_batch({"lang": [x[1] or "" for x in rows], "source": [x[2] or "" for x in rows], "text": [(x[0] or "").encode() for x in rows]})]
-    runs = pa.Table.from_batches(list(divergence._read(iter(read)))).sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")])
+    runs = pa.Table.from_batches(list(divergence._read(iter(read)))).sort_by([("term", "ascending"), ("lang", "ascending"), ("source", "ascending")])
     merged = pa.Table.from_batches(list(divergence._merge(1)(iter(runs.to_batches(max_chunksize=5))))).to_pylist()
     n, d = Counter(), Counter()
     for text, lang, source in rows:

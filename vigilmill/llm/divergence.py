@@ -18,11 +18,13 @@ met pair by pair; the rest is a join on histograms of counts.  All of it is exac
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ LEAST_DOCUMENTS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Entries of a task's buffer before they are sorted and scanned.
-BUFFER_ENTRIES = 1 << 20
+BUFFER_ENTRIES = 1 << 21
 #: Sources of a language that meet in one task of the join of sources.
 SOURCES_A_TASK = 4096
 
@@ -52,19 +54,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to runs (lang, term, source): documents that have the term, and its occurrences."""
     groups: dict = {}  # (lang, source) and terms of the buffer, numbered as they come
     terms: dict = {}
-    held: list = []  # of each document: its group, its terms, their counts
-    entries = 0
+    of, counts, lengths, owners = array("q"), array("q"), array("q"), array("q")  # entries; entries and group of each document
 
     def scan() -> pa.RecordBatch:
         # Documents stand in the order they were read, and the sort is stable: a run is sorted by document.
-        key = np.array([t * len(groups) + group for group, of, _ in held for t in of], dtype=np.int64)
-        n = np.array([c for _, _, counts in held for c in counts], dtype=np.int64)
+        key = np.frombuffer(of, np.int64) * len(groups) + np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(lengths, np.int64))
+        n = np.frombuffer(counts, np.int64)
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        of, group = np.divmod(key[starts], len(groups))
+        term, group = np.divmod(key[starts], len(groups))
         langs, sources = (pa.array(side, pa.string()).take(pa.array(group)) for side in zip(*groups))
-        spelled = pa.array(list(terms), pa.binary()).take(pa.array(of)).cast(pa.string())
+        spelled = pa.array(list(terms), pa.binary()).take(pa.array(term)).cast(pa.string())
         documents = pa.array(np.diff(np.r_[starts, len(key)]))
         return pa.record_batch([langs, spelled, sources, documents, pa.array(np.add.reduceat(n, starts))], schema=RUNS)
 
@@ -73,39 +74,57 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Counter(text.translate(TERM_BYTES).split())
             if not found:
                 continue
-            group = groups.setdefault((lang, source), len(groups))
-            held.append((group, [terms.setdefault(t, len(terms)) for t in found], list(found.values())))
-            entries += len(found)
-            if entries >= BUFFER_ENTRIES:
+            owners.append(groups.setdefault((lang, source), len(groups)))
+            lengths.append(len(found))
+            of.extend([terms.setdefault(t, len(terms)) for t in found])
+            counts.extend(found.values())
+            if len(of) >= BUFFER_ENTRIES:
                 yield scan()
-                groups, terms, held, entries = {}, {}, [], 0
-    if held:
+                groups, terms = {}, {}
+                of, counts, lengths, owners = array("q"), array("q"), array("q"), array("q")
+    if of:
         yield scan()
 
 
+def _changes(table: pa.Table, *columns: str) -> np.ndarray:
+    """Whether a row differs from the one before it in one of the columns; the first does."""
+    found = np.zeros(len(table), dtype=bool)
+    found[:1] = True
+    for name in columns:
+        values = table.column(name).combine_chunks()
+        found[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return found
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Rows of a run of (term, lang, source) as one."""
+    starts = np.flatnonzero(_changes(table, "term", "lang", "source"))
+    sums = {c: pa.array(np.add.reduceat(table.column(c).to_numpy(), starts)) for c in ("documents", "n")}
+    rows = table.select(["lang", "term", "source"]).take(pa.array(starts))
+    return pa.table([*rows.columns, sums["documents"], sums["n"]], schema=RUNS)
+
+
 def _merge(least: int):
-    """Sorted partial runs to the terms that enough documents of the language have: one row a source, with the language's count."""
+    """Sorted partial runs to the terms that enough documents of the language have: one row a source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sources, done = None, {}, []
+        held = RUNS.empty_table()  # the run of (term, lang) that the next batch may go on with
 
-        def close() -> None:
-            if current and sum(d for d, _ in sources.values()) >= least:
-                done.extend((*current, source, d, n) for source, (d, n) in sources.items())
+        def kept(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(_changes(table, "term", "lang"))
+            documents = np.add.reduceat(table.column("documents").to_numpy(), starts)
+            enough = np.repeat(documents >= least, np.diff(np.r_[starts, len(table)]))
+            yield from table.filter(pa.array(enough)).to_batches()
 
         for batch in batches:
-            for lang, term, source, documents, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != current:
-                    close()
-                    current, sources = (lang, term), {}
-                d, m = sources.get(source, (0, 0))
-                sources[source] = d + documents, m + n
-            if done:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done), RUNS)], schema=RUNS)
-                done = []
-        close()
-        if done:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done), RUNS)], schema=RUNS)
+            if batch.num_rows:
+                table = _merged(pa.concat_tables([held, pa.Table.from_batches([batch], RUNS)]))
+                last = int(np.flatnonzero(_changes(table, "term", "lang"))[-1])
+                if last:
+                    yield from kept(table.slice(0, last))
+                held = table.slice(last)
+        if len(held):
+            yield from kept(held)
 
     return run
 
@@ -114,7 +133,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, source, documents, n) of the terms that at least `least` documents of the language have; n occurrences."""
     read = docs.select(_empty("lang"), _empty("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     runs = read.mapInArrow(_read, "lang string, term string, source string, documents bigint, n bigint")
-    dealt = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    # Runs are the same with the term first, which tells rows apart sooner.
+    dealt = runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     return dealt.mapInArrow(_merge(least), "lang string, term string, source string, documents bigint, n bigint")
 
 
@@ -255,7 +275,7 @@ def divergences(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -
     shares = kept.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
     whole = groups.select("lang", "lang_total", "terms").distinct()
     shares = shares.join(near(whole), "lang").select("lang", "term", _p(F.col("all_n"), F.col("lang_total"), F.col("terms")).alias("q"))
-    runs = rated.select("lang", "term", "source", "p", "p0").join(shares, ["lang", "term"]).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    runs = rated.select("lang", "term", "source", "p", "p0").join(shares, ["lang", "term"]).repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     parts = cut(runs.mapInArrow(_scan(top), "lang string, source string, part string, item string, value bigint"))
 
     best = parts.where(F.col("part") == "term")
