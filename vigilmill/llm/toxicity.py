@@ -122,9 +122,16 @@ def strength(folded: str, automaton) -> tuple[float, int]:
                 best[at] = w
         else:
             spared.append((at, end))
-    for lo, hi in spared:
-        for at in [x for x in best if lo <= x < hi]:
-            del best[at]
+    if spared:  # both in order of place: how far the phrases reach that begin up to a match
+        spared.sort()
+        left, i, reach = {}, 0, -1
+        for at in sorted(best):
+            while i < len(spared) and spared[i][0] <= at:
+                reach = max(reach, spared[i][1])
+                i += 1
+            if at >= reach:
+                left[at] = best[at]
+        best = left
     if not best:
         return 0.0, 0
     words = folded.count(" ") - 1
@@ -217,7 +224,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def score_documents(docs: DataFrame, model: Model, score_column: str = "__score", matches_column: str = "__matches") -> DataFrame:
-    """docs (any columns) with a score and the number of matched words; null and empty texts score as a text without a match."""
+    """docs (any columns; of the two names' own they are replaced) with a score and the number of matched words; null and empty texts score as a text without a match."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in (score_column.lower(), matches_column.lower())])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
