@@ -1,12 +1,14 @@
 """Rules over readable text as a table of named patterns, applied natively.
 
-A rule's pattern is sought clause by clause; a clause that the user typed whole is left out, and for rules that a negation turns
-around a clause with a negator before the match does not count.  Patterns hold no look-around, so other engines read them alike.
+A rule's pattern is sought clause by clause; a clause that the user typed whole is left out.  For rules about what an agent is to do, a match
+that its clause forbids does not count: a negation governs a match if only words that carry a verb along stand between them.  The search goes
+on behind a forbidden match, and behind a comma or colon inside it.  Patterns hold no look-around, so other engines read them alike.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """target: description, output or both; negatable: a negator before the match in its clause turns it off."""
+    """target: description, output or both; negatable: a match that a negation governs does not count."""
 
     name: str
     target: str
@@ -22,31 +24,31 @@ class Rule:
     negatable: bool = False
 
 
-_PREVIOUS = r"(?:all |any |the |your |these )*(?:previous|prior|earlier|above|preceding|former|existing) "
+_PREVIOUS = r"(?:all |any |of |the |your |these )*(?:previous|prior|earlier|above|preceding|former|existing) "
 RULES = (
-    Rule("instruction_override", "both", rf"\b(?:ignore|disregard|forget|override|bypass|drop)\b (?:\w+ )?{_PREVIOUS}(?:instructions?|directions?|rules?|prompts?|messages?|guidelines?)", True),
+    Rule("instruction_override", "both", rf"\b(?:ignore|disregard|forget|override|bypass|drop)\b (?:\w+ )?{_PREVIOUS}(?:instructions?|directions?|rules?|prompts?|messages?|guidelines?)"),
     Rule("hidden_directive", "both", r"<(?:important|system|secret|hidden|instructions?)>|\[(?:system|admin|important)\]"),
-    Rule("tool_call_directive", "both", r"\b(?:you must|always|first|immediately) (?:call|use|invoke|run) (?:the )?[a-z_]+ (?:tool|function)", True),
+    Rule("tool_call_directive", "both", r"\b(?:you must|always|first|immediately) (?:call|use|invoke|run) (?:the )?[a-z_]+ (?:tool|function)"),
     Rule("threat_coercion", "both", r"\b(?:otherwise|or else|failure to)\b.{0,60}\b(?:fail|terminated|deleted|crash|penalty|consequences)"),
     Rule("cross_tool_directive", "description", r"\b(?:before|after|instead of) (?:using|calling) (?:any|all|the|every) (?:other )?tools?"),
     Rule("prerequisite_call", "description", r"\b(?:required|necessary|mandatory) (?:to call|step|first) (?:before|for) "),
     Rule("concealment", "description", r"\b(?:do not|don't|never) (?:tell|mention|reveal|show|inform|notify)\b.{0,40}\b(?:user|human|anyone)"),
-    Rule("sensitive_target", "description", r"(?:~/|/)\.ssh\b|\bid_rsa\b|\.env\b|\bcredentials?\b.{0,20}\bfile|\bapi[ _-]?keys?\b", True),
+    Rule("sensitive_target", "description", r"(?:~/|/)\.ssh\b|\bid_rsa\b|\.env\b|\bcredentials?\b.{0,20}\bfile|\bapi[ _-]?keys?\b"),
     Rule("argument_override", "description", r"\b(?:always|must) (?:set|pass|fill|use) (?:the )?[a-z_]+ (?:parameter|argument|field) (?:to|with|as) "),
-    Rule("forced_payload", "description", r"\b(?:include|append|attach|copy) (?:the )?(?:full|entire|whole|complete) (?:conversation|history|contents?|context|system prompt)", True),
+    Rule("forced_payload", "description", r"\b(?:include|append|attach|copy) (?:the )?(?:full|entire|whole|complete) (?:conversation|history|contents?|context|system prompt)"),
     Rule("priority_claim", "description", r"\b(?:this tool|these instructions) (?:takes?|has|have) (?:precedence|priority)"),
     Rule("mandatory_policy", "description", r"\b(?:policy|compliance|protocol) (?:requires|demands|mandates) (?:that )?(?:you|the agent|the assistant)"),
     Rule("cross_tool_data", "description", r"\b(?:output|results?|data) (?:of|from) (?:other|another|all|any) tools?"),
-    Rule("external_send", "description", r"\b(?:send|post|forward|upload|transmit)\b.{0,60}\b(?:https?://|[a-z0-9._-]+@[a-z0-9-]+\.)", True),
+    Rule("external_send", "description", r"\b(?:send|post|forward|upload|transmit)\b.{0,60}\b(?:https?://|[a-z0-9._-]+@[a-z0-9-]+\.)"),
     Rule("hidden_text", "both", "[\U000e0020-\U000e007f]{2,}|[​-‏⁠-⁤]{3,}"),
-    Rule("agent_directive", "output", r"\b(?:ai|assistant|agent|model)s?\b.{0,20}\b(?:must|should|shall|need to) (?:now )?(?:follow|execute|perform|obey|comply)", True),
+    Rule("agent_directive", "output", r"\b(?:ai|assistant|agent|model)s?\b.{0,20}\b(?:must|should|shall|need to) (?:now )?(?:follow|execute|perform|obey|comply)"),
     Rule("new_task", "output", r"\bnew (?:task|instructions?|objective|goal) ?:|\byour (?:new|real|actual) (?:task|goal|job) is\b"),
-    Rule("exfiltration", "output", r"\b(?:send|upload|leak|exfiltrate|forward|post)\b.{0,60}\b(?:passwords?|tokens?|secrets?|credentials?|keys?|private data)", True),
+    Rule("exfiltration", "output", r"\b(?:send|forward|e?mail|upload|post|transfer|leak|exfiltrate)\w*\b.{0,80}?\b(?:passwords?|tokens?|secrets?|credentials?|keys?|private data|bank account|card number)\b", True),
     Rule("user_impersonation", "output", r"\b(?:the user|user has|i am the user)\b.{0,30}\b(?:approved|authori[sz]ed|confirmed|wants you to|asks you to)"),
-    Rule("task_hijack", "output", r"\b(?:stop|abandon|instead of) (?:your|the|what you) (?:current |original )?(?:task|doing|work)\b", True),
-    Rule("instruction_demand", "output", r"\b(?:follow|obey|execute) (?:these|the following|my) (?:instructions?|steps|commands?)", True),
+    Rule("task_hijack", "output", r"\b(?:stop|abandon|instead of) (?:your|the|what you) (?:current |original )?(?:task|doing|work)\b"),
+    Rule("instruction_demand", "output", r"\b(?:follow|obey|execute) (?:these|the following|my) (?:instructions?|steps|commands?)"),
     Rule("role_marker", "output", r"(?:^|\s)(?:system|assistant|developer) ?:|<\|im_start\|>|\[/?inst\]"),
-    Rule("sensitive_request", "output", r"\b(?:give|tell|show|reveal|print) (?:me |us )?(?:your|the) (?:system prompt|instructions|api key|password|secret)", True),
+    Rule("sensitive_request", "output", r"\b(?:give|tell|show|reveal|print) (?:me |us )?(?:your|the) (?:system prompt|instructions|api key|password|secret)|\b(?:read|cat|send|upload|include|attach|provide|retrieve|fetch|paste|share|access|submit)\w*\b.{0,60}?(?:~/\.ssh|\bid_(?:rsa|ed25519|ecdsa|dsa)\b|/etc/(?:passwd|shadow)|\.aws/credentials|\.kube/config|\.netrc\b|\bprintenv\b)", True),
     Rule("agent_address", "output", r"\b(?:dear|hello|attention|note to|hey) (?:ai|assistant|agent|llm|model|chatbot)\b"),
     Rule("reviewer_address", "output", r"\b(?:reviewers?|graders?|judges?|evaluators?)\b.{0,40}\b(?:must|should|give|rate|score)\b"),
     Rule("user_proxy", "output", r"\bon behalf of the user\b|\bas the user(?:'s)? (?:requested|instructed|asked)"),
@@ -60,7 +62,32 @@ TRANSLATED = (
     ("tr", r".nceki (?:t.m )?talimatlar. (?:yok say|g.rmezden gel)"), ("ru", r"игнорируй(?:те)? (?:все )?предыдущие инструкции"), ("zh", r"忽略(?:所有)?(?:之前|以前|先前)的(?:所有)?指[令示]"), ("ja", r"以前の(?:すべての)?(?:指示|命令)を無視"),
 )
 STEMS = r"instruc|instruk|instruz|anweisung|instructie|talimat"
-NEGATOR = r"(?:\b(?:not|never|without|cannot)\b|n't\b)"
+# What negates, what may only stress a negation, and the words that carry a verb along from a negation to it.
+NEGATIONS = ("do not", "don'?t", "never", "must not", "mustn'?t", "should not", "shouldn'?t", "cannot", "can'?t", "not", "no need to", "avoid", "without", "under no circumstances")
+STRESSES = ("ever", "under any circumstances", "under no circumstances", "in any case", "in any event", "at any time", "whatsoever", "please")
+CARRIERS = (
+    "ever", "any", "longer", "anymore", "to", "be", "been", "being", "is", "are", "was", "allow", "allows", "allowed", "permit", "permits", "permitted", "let", "lets", "ask", "asks", "asked",
+    "want", "wants", "try", "tries", "attempt", "need", "needs", "needed", "required", "supposed", "read", "copy", "share", "forward", "email", "upload", "post", "transfer", "send", "reveal",
+    "leak", "export", "disclose", "access", "passwords?", "tokens?", "keys?", "secrets?", "credentials?", "data", "api", "private", "them", "anything", "anyone", "information", "info",
+    "documents?", "files?", "contents?", "details", "authori[sz]ed", "forced", "willing", "able", "the", "a", "an", "your", "you", "we", "they", "it", "this", "that", "these", "those", "agent",
+    "agents", "assistant", "assistants", "model", "ai", "tool", "tools", "user", "users", "use", "using",
+)
+LY_VERBS = ("reply", "apply", "supply", "imply", "rely", "comply", "multiply", "reapply", "resupply", "ally", "rally", "bully", "tally", "fly")
+JOINED = (
+    "read", "copy", "share", "forward", "email", "upload", "post", "transfer", "send", "reveal", "leak", "export", "disclose", "access", "passwords?", "tokens?", "keys?", "secrets?",
+    "credentials?", "data", "information", "info", "documents?", "files?", "contents?", "details",
+)
+_ANY = lambda words: "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+#: Up to five carrying words between a negation and the end of what stands before a match; adverbs carry, and verbs joined by "and".
+GOVERNS = (
+    rf"\b{_ANY(NEGATIONS)}\b(?:,?\s*{_ANY(STRESSES)}\s*,?)*"
+    rf"(?:\s+(?:(?!{_ANY(LY_VERBS)}\b)[a-z]{{3,}}ly\b|{_ANY(CARRIERS)}\b|{_ANY(JOINED)}\s+(?:and|or|nor)\b)){{0,5}}\s*\z"
+)
+#: A negation whose "without" is itself part of an order: "never leave without sending".
+TURNED = rf"\b{_ANY(n for n in NEGATIONS if n not in ('avoid', 'without'))}\b.*\bwithout\b"
+BEFORE = 80
+#: Characters around a border of two texts that are read together.
+REACH = 1024
 
 
 def clauses(text: Column) -> Column:
@@ -69,11 +96,49 @@ def clauses(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
 
 
+def candidates(text: Column, pattern: str) -> Column:
+    """array<struct<start,match>>: what the pattern matches from every place where it does, places from 0, in one pass over the text."""
+    form = rf"((?s:.*?))(?:(?=({pattern}))(?s:.)|\z)"
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(form), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(form), F.lit(2)).alias("match"))
+    # Each find takes its gap and one character; the last one finds the end.
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + F.length(x["gap"])
+        found = F.when(x["match"] != "", F.concat(s["found"], F.array(F.struct(at.alias("start"), x["match"].alias("match"))))).otherwise(s["found"])
+        return F.struct((at + 1).alias("at"), found.alias("found"))
+
+    return F.aggregate(both, zero, step, lambda s: s["found"])
+
+
+def governed(text: Column, start: Column) -> Column:
+    """Whether a negation in the clause before `start` forbids what begins there."""
+    low = F.greatest(start - BEFORE, F.lit(0))
+    clause = F.regexp_replace(F.substr(text, low + 1, start - low), r"(?s)\A.*[.!?;:\n\u2014\u2013]", "")
+    held = clause.rlike(GOVERNS)
+    only_without = clause.rlike(GOVERNS.replace(_ANY(NEGATIONS), "without", 1)) & clause.rlike(TURNED)
+    return held & ~only_without
+
+
+def ungoverned(text: Column, pattern: str) -> Column:
+    """Whether some match of a pattern is not forbidden; a match begins where the one before it, or the order that it forbids, ends."""
+    zero = F.struct(F.lit(0).alias("next"), F.lit(False).alias("hit"))
+
+    def step(s: Column, c: Column) -> Column:
+        off = governed(text, c["start"])
+        # The first mark inside the match: behind it another order may begin.
+        kept = F.regexp_extract(c["match"], r"(?s)\A(..*?[,;:\u2014\u2013])", 1)
+        after = c["start"] + F.when(kept != "", F.length(kept)).otherwise(F.length(c["match"]))
+        skip = s["hit"] | (c["start"] < s["next"])
+        return F.struct(F.when(skip, s["next"]).otherwise(after).alias("next"), F.when(skip, s["hit"]).otherwise(~off).alias("hit"))
+
+    return F.aggregate(candidates(text, pattern), zero, step, lambda s: s["hit"])
+
+
 def fires(rule: Rule, pieces: Column) -> Column:
     """Whether a rule holds in one of the pieces."""
     hit = lambda c: c.rlike(rule.pattern)
-    off = lambda c: c.rlike(f"{NEGATOR}.{{0,80}}(?:{rule.pattern})")
-    return F.exists(pieces, (lambda c: hit(c) & ~off(c)) if rule.negatable else hit)
+    return F.exists(pieces, (lambda c: F.when(hit(c), ungoverned(c, rule.pattern)).otherwise(F.lit(False))) if rule.negatable else hit)
 
 
 def scan(text: Column, target: str, trusted: Column | None = None, rules=RULES) -> Column:
@@ -108,26 +173,42 @@ def one_typo(word: Column, target: str) -> Column:
     return (word != target) & ((near == 1) | word.isin(*swaps))
 
 
+def _is_typo(target: str, word: Column) -> Column:
+    return one_typo(word, target)
+
+
 def typo_override(text: Column) -> Column:
-    """Whether three words in a row read "ignore previous instructions" with a typo in just one of them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    near = lambda a, b, c: sum((one_typo(w, t).cast("int") for w, t in ((a, "ignore"), (b, "previous"), (c, "instructions"))), F.lit(0))
-    same = lambda a, b, c: (a == "ignore").cast("int") + (b == "previous").cast("int") + (c == "instructions").cast("int")
-    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c")))
-    few = F.array_contains(words, "ignore").cast("int") + F.array_contains(words, "previous").cast("int") + F.array_contains(words, "instructions").cast("int")
-    return (F.size(words) >= 3) & (few >= 2) & F.exists(triples, lambda x: (same(x["a"], x["b"], x["c"]) == 2) & (near(x["a"], x["b"], x["c"]) == 1))
+    """Whether three words in a row read "ignore previous instructions" with a typo in just one of them.
+
+    The two words that are right find the third, so only words beside them are compared letter by letter.
+    """
+    low, said = F.lower(text), ("ignore", "previous", "instructions")
+    found = F.lit(False)
+    for i, target in enumerate(said):
+        form = "[^a-z]+".join("([a-z]+)" if j == i else w for j, w in enumerate(said))
+        found = found | F.exists(F.regexp_extract_all(low, F.lit(f"(?<![a-z]){form}(?![a-z])"), F.lit(1)), partial(_is_typo, target))
+    return found
 
 
-def joined_only(pieces: DataFrame, group: str, order: str, text: str, target: str = "description", reach: int = 3, rules=RULES) -> DataFrame:
-    """(group, rule): rules that fire on up to `reach` + 1 neighbouring texts of a group put together in order, and on none of the group's texts alone.
+def joined_only(pieces: DataFrame, group: str, order: str, text: str, target: str = "description", reach: int = REACH, rules=RULES) -> DataFrame:
+    """(group, rule): rules that fire on a group's texts put together in order, and on none of them alone, however many texts a match goes over.
 
-    A window of `reach` preceding texts is all that is ever held together, however large a group is.
+    What runs over a border of two texts lies within `reach` characters (more than any pattern matches) around it, so each border is read for
+    itself with so much of the texts before and behind it, and no more is ever held together.  Blanks and line breaks count as one blank.
     """
-    w = Window.partitionBy(group).orderBy(order)
-    together = F.array_join(F.collect_list(text).over(w.rowsBetween(-reach, 0)), " ")
-    scanned = pieces.select(group, scan(F.col(text), target, rules=rules).alias("alone"), scan(together, target, rules=rules).alias("joined"))
-    alone = scanned.select(group, F.explode("alone").alias("rule")).distinct()
-    return scanned.select(group, F.explode("joined").alias("rule")).distinct().join(alone, [group, "rule"], "left_anti")
+    flat = pieces.select(group, order, F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("_text"))
+    # Places where the texts begin and end in the group's whole.
+    run = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = flat.where("_text <> ''").withColumn("_end", F.sum(F.length("_text") + 1).over(run)).withColumn("_start", F.col("_end") - F.length("_text") - 1)
+    before = Window.partitionBy(group).orderBy("_end").rangeBetween(-reach, 0)
+    behind = Window.partitionBy(group).orderBy("_start").rangeBetween(0, reach)
+    # The text that begins at a border stands first behind it; the one that ends there is its neighbour before.
+    sides = placed.withColumn("_left", F.array_join(F.collect_list(F.right("_text", F.lit(reach))).over(before), " ")).withColumn("_right", F.array_join(F.collect_list(F.left("_text", F.lit(reach))).over(behind), " "))
+    left = F.lag("_left").over(Window.partitionBy(group).orderBy("_start"))
+    borders = sides.withColumn("_before", left).where("_before is not null").select(group, F.concat_ws(" ", F.right("_before", F.lit(reach)), F.left("_right", F.lit(reach))).alias("_around"))
+    joined = borders.select(group, F.explode(scan(F.col("_around"), target, rules=rules)).alias("rule")).distinct()
+    alone = pieces.select(group, F.explode(scan(F.col(text), target, rules=rules)).alias("rule")).distinct()
+    return joined.join(alone, [group, "rule"], "left_anti")
 
 
 def explained(text: Column, rule: Rule, around: int = 30) -> Column:
