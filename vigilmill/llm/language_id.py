@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilmill.llm.common import sampled
-
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Labelled rows of each language that a model is fitted on at most (about); all windows of a row are read.
 SAMPLE_ROWS = 800
+#: Values of lang that are learned, the most frequent ones, and rows of all of them together.
+LANGUAGES = 1000
+SAMPLE_TOTAL = 40_000
 EPOCHS = 7
 #: Windows that are convolved at once.
 BATCH = 64
@@ -112,19 +113,21 @@ def crc_part(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def fit(docs: DataFrame, allowed: Column, sample_rows: int = SAMPLE_ROWS) -> Network | None:
+def fit(docs: DataFrame, allowed: Column, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES, sample_total: int = SAMPLE_TOTAL) -> Network | None:
     """A network from text and lang of the allowed rows with both; None if there is none.
 
-    Of each language about `sample_rows` rows are taken by a hash of doc_id (all, if it has no more), so that a language of
-    few rows is learned at every size.  The whole texts of the sampled rows come to the driver, and nothing else but the
-    counts of languages.
+    The `languages` most frequent values of lang are learned (ties by name); rarer ones are never predicted.  Of each about `sample_rows` rows
+    are taken by a hash of doc_id and text (all, if it has no more), fewer where they would be over `sample_total` in all; copies of a text count
+    once.  The whole texts of the sampled rows come to the driver, and nothing else but the counts of those languages.
     """
     labelled = docs.where(allowed).where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for a language
+    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not totals:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == lang, sampled(F.xxhash64("doc_id", F.lit("language")), sample_rows, n)) for lang, n in totals.items()])
-    sample = labelled.where(share).select("lang", "text").toPandas()
+    rate = max(1, min(sample_rows, sample_total // len(totals)))
+    upto = docs.sparkSession.createDataFrame([(r["lang"], max(1, min((1 << 63) - 1, (rate << 63) // r["count"]))) for r in totals], "lang string, _upto bigint")
+    chosen = labelled.join(F.broadcast(upto), "lang")  # a row for each of the languages
+    sample = chosen.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 1) < F.col("_upto")).select("lang", "text").distinct().toPandas()
     rows = [(bytes(w), lang) for lang, text in zip(sample["lang"], sample["text"]) if has_letter(text) for w in cut_windows(text)[0]]
     if not rows:
         return None

@@ -31,6 +31,8 @@ STRIP = 16
 TILE = (64, 16)
 #: Samples of all pages of a file at most.
 MOST_SAMPLES = 1 << 30
+#: Decoded bytes that a task holds before it passes them on, besides those of one file.
+DECODED_BYTES = 64 << 20
 
 
 class TiffError(ValueError):
@@ -350,10 +352,15 @@ def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):  # decoded samples of few files at a time
-                part = b.slice(lo, 512)
-                found = [read(x) for x in part.column(names.index(column)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], [*names, pages_, error_])
+            files, lo, found, size = b.column(names.index(column)), 0, [], 0
+            for i in range(b.num_rows):
+                found.append(read(files[i].as_py()))
+                size += sum(len(p["samples"]) for p in found[-1][0])
+                # Decoded samples are passed on once they are many, so a folder of large files is never held decoded.
+                if size >= DECODED_BYTES or i == b.num_rows - 1:
+                    part = b.slice(lo, i + 1 - lo)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], [*names, pages_, error_])
+                    lo, found, size = i + 1, [], 0
 
     from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
