@@ -172,12 +172,16 @@ def authority_keys(found: Column) -> Column:
 
 def parsed(key: Column) -> Column:
     """struct<kind, host, segments> of a canonical key: url, path, email, host or other."""
-    url, path, email = key.contains("://"), key.contains("/") | key.startswith("~"), key.contains("@")
+    path = key.contains("/") | key.startswith("~")
+    kind = F.when(key.contains("://"), "url").when(path, "path").when(key.contains("@"), "email").when(key.rlike(rf"^(?:{_HOST}|{IPV4})$"), "host").otherwise("other")
     rest = F.regexp_replace(F.regexp_replace(key, "^[^:]+://", ""), r"\?.*$", "")
-    kind = F.when(url, "url").when(path, "path").when(email, "email").when(key.rlike(rf"^(?:{_HOST}|{IPV4})$"), "host").otherwise("other")
-    host = F.when(url, F.split_part(rest, F.lit("/"), F.lit(1))).when(~path & email, F.regexp_extract(key, "@([^@]*)$", 1)).when(kind == "host", key).otherwise("")
-    steps = F.filter(F.when(url, F.slice(F.split(rest, "/"), 2, 1 << 20)).when(path, F.split(key, "/")).otherwise(F.array().cast("array<string>")), lambda s: s != "")
-    return F.struct(kind.alias("kind"), host.alias("host"), steps.alias("segments"))
+
+    def apart(k: Column) -> Column:
+        host = F.when(k["kind"] == "url", F.split_part(k["rest"], F.lit("/"), F.lit(1))).when(k["kind"] == "email", F.regexp_extract(k["key"], "@([^@]*)$", 1)).when(k["kind"] == "host", k["key"]).otherwise("")
+        steps = F.when(k["kind"] == "url", F.slice(F.split(k["rest"], "/"), 2, 1 << 20)).when(k["kind"] == "path", F.split(k["key"], "/")).otherwise(F.array().cast("array<string>"))
+        return F.struct(k["kind"].alias("kind"), host.alias("host"), F.filter(steps, lambda s: s != "").alias("segments"))
+
+    return _let(F.struct(kind.alias("kind"), rest.alias("rest"), key.alias("key")), apart)
 
 
 def host_suffixes(host: Column, first: int = 0) -> Column:
@@ -209,9 +213,12 @@ def exact_forms(value: Column) -> Column:
 
 def domain_of(value: Column) -> Column:
     """The host of a URL, e-mail address or bare host, without www.; null for accounts and paths."""
-    p = parsed(value)
-    host = F.regexp_replace(p["host"], r"^www\.", "")
-    return F.when(p["kind"].isin("url", "email", "host") & host.rlike(rf"^(?:{_HOST}|{IPV4})$"), host)
+
+    def domain(p: Column) -> Column:
+        host = F.regexp_replace(p["host"], r"^www\.", "")
+        return F.when(p["kind"].isin("url", "email", "host") & host.rlike(rf"^(?:{_HOST}|{IPV4})$"), host)
+
+    return _let(parsed(value), domain)
 
 
 def joined_to(cwd: Column, path: Column) -> Column:

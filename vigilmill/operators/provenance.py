@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilmill.functions import values as v
+from vigilmill.functions.nested import held
 
 _NONE = "array<string>"
 
@@ -35,12 +36,17 @@ def _when(condition: Column, *tokens: Column) -> Column:
     return F.when(condition, F.concat(*tokens)).otherwise(F.array().cast(_NONE))
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows with `_p`, the key's kind, host and segments, taken apart once a row and not again in each expression that uses it."""
+    return rows if "_p" in rows.columns else held(rows, rows.columns, _p=v.parsed(F.col("key")))
+
+
 def without_users_own(calls: DataFrame, user: DataFrame) -> DataFrame:
     """Calls' values that the user of the scope neither typed nor named a folder or site of two segments or more around (dot files in it excepted).
 
     calls: scope, key, ...; user: scope, key.
     """
-    p = v.parsed(F.col("key"))
+    p, user = F.col("_p"), cut(user)
     inside = user.where((F.size(p["segments"]) >= 2) & (p["kind"] != "email")).select("scope", F.rtrim(F.col("key"), F.lit("/")).alias("around")).distinct()
     own = user.select("scope", "key").distinct()
     left = calls.join(own, ["scope", "key"], "left_anti")
@@ -64,7 +70,7 @@ def sourced_from(calls: DataFrame, source: DataFrame, user: DataFrame) -> DataFr
     path on its host), or names its host bare or as a mail domain, itself or a parent that one owner runs.  Hosts of shared sites
     count only with their path.
     """
-    p = v.parsed(F.col("key"))
+    p = F.col("_p")
     url, mail, host = p["kind"] == "url", p["kind"] == "email", p["kind"] == "host"
     own_host = ~v.shared_host(p["host"]) & (p["host"] != "")
     full = F.filter(F.array(_longest(p)), lambda x: x.isNotNull())
@@ -80,7 +86,7 @@ def sourced_from(calls: DataFrame, source: DataFrame, user: DataFrame) -> DataFr
         _when(url & (F.size(p["segments"]) == 0), F.array(F.concat(F.lit("site:"), p["host"]))),
         _when(mail | host, F.array(F.concat(F.lit("named:"), p["host"]))),
     )
-    return _earlier(without_users_own(calls, user), call_tokens, source, source_tokens).select("scope", "at", "key").distinct()
+    return _earlier(cut(without_users_own(calls, user)), call_tokens, cut(source), source_tokens).select("scope", "at", "key").distinct()
 
 
 def traced_urls(calls: DataFrame, tainted: DataFrame, user: DataFrame) -> DataFrame:
@@ -88,10 +94,10 @@ def traced_urls(calls: DataFrame, tainted: DataFrame, user: DataFrame) -> DataFr
 
     Tainted values that the user named trace nothing, nor does a bare shared host.
     """
-    p = v.parsed(F.col("key"))
+    p, user = F.col("_p"), cut(user)
     url = (p["kind"] == "url") & F.col("key").startswith("https://")
-    bad = without_users_own(tainted, user)
-    sites = user.where((v.parsed(F.col("key"))["kind"].isin("url", "host"))).select("scope", v.parsed(F.col("key"))["host"].alias("site")).distinct()
+    bad = cut(without_users_own(tainted, user))
+    sites = user.where(p["kind"].isin("url", "host")).select("scope", p["host"].alias("site")).distinct()
     whole = (p["kind"] == "host") | (url & (F.size(p["segments"]) == 0))
     spared = bad.where(whole).select("scope", "at", "key", p["host"].alias("site")).join(sites, ["scope", "site"], "left_semi").select("scope", "at", "key")
     bad = bad.join(spared, ["scope", "at", "key"], "left_anti")
@@ -101,13 +107,13 @@ def traced_urls(calls: DataFrame, tainted: DataFrame, user: DataFrame) -> DataFr
         _when(url & (F.size(p["segments"]) == 0), F.array(F.concat(F.lit("host:"), p["host"])), F.array(F.concat(F.lit("under:"), p["host"]))),
         _when((p["kind"] == "host") & ~v.shared_host(p["host"]), F.array(F.concat(F.lit("host:"), p["host"])), F.array(F.concat(F.lit("under:"), p["host"]))),
     )
-    hits = _earlier(calls, call_tokens, bad, bad_tokens)
+    hits = _earlier(cut(calls), call_tokens, bad, bad_tokens)
     return hits.groupBy("scope", "at", "key").agg(F.when(F.bool_or(F.col("token").startswith("path:")), "path").otherwise("host").alias("traced"))
 
 
 def on_tainted_hosts(calls: DataFrame, tainted: DataFrame, user: DataFrame) -> DataFrame:
     """Distinct (scope, at, key): addresses on the host of an earlier tainted one, a subdomain of it or a parent of one owner; shared sites and the user's hosts never count."""
-    p = v.parsed(F.col("key"))
+    p, calls, tainted, user = F.col("_p"), cut(calls), cut(tainted), cut(user)
     with_host = p["kind"].isin("url", "host") & (p["host"] != "") & ~v.shared_host(p["host"])
     sites = user.where(p["kind"].isin("url", "host")).select("scope", p["host"].alias("site")).distinct()
     named = lambda rows: rows.where(with_host).withColumn("site", p["host"]).join(sites, ["scope", "site"], "left_anti")
@@ -125,8 +131,8 @@ def indicator_matches(calls: DataFrame, indicators: DataFrame, allowed: DataFram
     (an exact value or a domain that covers what lies under it); trusted_hosts: scope, host.  Keys are derived on the
     calls' side: exact forms of a value, and the suffixes of its host, those not under a host the user named.
     """
-    host = v.domain_of(F.col("key"))
-    rows = calls.withColumn("host", host).withColumn("covers", F.concat(F.array("key"), F.coalesce(v.host_suffixes(F.col("host")), F.array().cast(_NONE))))
+    rows = held(calls, ["call_id", "scope", "key"], host=v.domain_of(F.col("key")))
+    rows = held(rows, rows.columns, covers=F.concat(F.array("key"), F.coalesce(v.host_suffixes(F.col("host")), F.array().cast(_NONE))))
     free = _not_covered(rows, allowed)
     exact = free.select("call_id", "key", F.lit("exact").alias("kind"), F.explode(F.array_distinct(F.concat(v.exact_forms(F.col("key")), F.filter(F.array("host"), lambda h: h.isNotNull())))).alias("value"))
     names = free.where("host is not null").select("call_id", "scope", "key", F.explode(v.host_suffixes(F.col("host"))).alias("value"))
