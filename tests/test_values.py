@@ -22,6 +22,15 @@ CASES = [
     ("http://0xcb007107/x", {("url", "https://203.0.113.7/x")}),
     ("order ABC-12345 shipped", {("id", "abc-12345")}),
     ("read/write/execute", set()),
+    ("go to http://[2001:0db8:0:0::1]:8080/x?y=1, now", {("url", "https://[2001:db8::1]/x?y=1")}),
+    ("at 2001:DB8::0001 and [fe80::1]:443", {("host", "[2001:db8::1]"), ("host", "[fe80::1]")}),
+    ("time 12:30:45 and std::vector, a::b", set()),
+    ("call +49 170 1234567 or 030-1234-5678", {("number", "491701234567"), ("number", "03012345678")}),
+    ("key sk_live_abc123XYZ here", {("id", "sk_live_abc123xyz")}),
+    ("see b\u00fccher.example/a and m\u00fcller.example.com", {("url", "https://b\u00fccher.example/a"), ("host", "m\u00fcller.example.com")}),
+    ("write to bob (at) evil dot com", {("email", "bob@evil.com")}),
+    ("collect.example.pro and relay.example.icu", {("host", "collect.example.pro"), ("host", "relay.example.icu")}),
+    ("res.data, chalk.red, self.id, README.md, main.py", set()),
     ("", set()),
 ]
 
@@ -34,6 +43,13 @@ def test_values(spark):
     assert got[99] == set()
 
 
+def test_ipv6(spark):
+    cases = {"2001:0db8:0000:0000:0000:0000:0000:0001": "2001:db8::1", "::": "::", "::1": "::1", "fe80::": "fe80::", "1:0:0:2:0:0:0:3": "1:0:0:2::3", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8", "1:0:3:4:5:6:7:8": "1:0:3:4:5:6:7:8",
+             "1::2::3": None, "1:2:3": None, ":::": None, "12345::": None, "1:2:3:4:5:6:7::8": None, "0:0:1::": "0:0:1::"}
+    got = dict(spark.createDataFrame([(k,) for k in cases], "k string").select("k", v.ipv6_key(F.col("k"))).collect())
+    assert got == cases
+
+
 def test_parsed_and_suffixes(spark):
     keys = ["https://a.b.example/x/y?q", "~/a/b", "me@x.example", "h.example.com", "de8937", "https://h.example", "203.0.113.7"]
     got = {r["k"]: r for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", v.parsed(F.col("k")).alias("p"), v.host_suffixes(v.parsed(F.col("k"))["host"]).alias("s"), v.domain_of(F.col("k")).alias("d")).collect()}
@@ -52,6 +68,8 @@ SOURCED = [
     ("https://x.example/c", ["https://x.example/a"], [], False),  # another path
     ("https://x.example/c", ["https://x.example"], [], True),  # a site without a path
     ("https://github.com/c", ["https://github.com"], [], False),  # a shared site
+    ("https://docs.google.com/c", ["docs.google.com"], [], False),  # under a first party
+    ("https://evil.github.io/c", ["evil.github.io"], [], True),  # a tenant's own name
     ("x.example", ["https://x.example/a"], [], True),  # the host of a URL
     ("a.co.uk", ["co.uk"], [], False),  # a registry's label
     ("~/p/q/f.txt", ["~/p/q"], [], False),  # a path only as itself

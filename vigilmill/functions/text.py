@@ -102,32 +102,3 @@ def char_windows(text: Column, size: int = 1000, most_overlap: int = 16) -> Colu
 
     cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(_let(cuts, joined))
-
-
-def host_suffixes(host: Column) -> Column:
-    """The host and every parent of two labels or more."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(n < 2, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
-
-
-def url_key(url: Column) -> Column:
-    """Canonical form: https, lower-case host without port and user, path without trailing slash, query kept."""
-    low = F.lower(F.trim(url))
-    rest = F.regexp_replace(low, "^(https?|wss?)://", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, "#.*$", ""), "^[^/?@]*@", "")
-    rest = F.regexp_replace(rest, "^([^/?:]+):[0-9]+", "$1")
-    return F.concat(F.lit("https://"), F.regexp_replace(rest, "/+$", ""))
-
-
-def url_host(url: Column) -> Column:
-    return F.regexp_extract(url_key(url), "^https://([^/?]+)", 1)
-
-
-def iban_valid(iban: Column) -> Column:
-    """Checksum modulo 97 over the compact upper-case form."""
-    compact = F.upper(F.regexp_replace(iban, "[^A-Za-z0-9]", ""))
-    turned = F.concat(F.substr(compact, F.lit(5)), F.left(compact, F.lit(4)))
-    codes = F.transform(F.split(turned, ""), lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
-    rest = F.aggregate(codes, F.lit(0), lambda a, d: F.when(d < 10, (a * 10 + d) % 97).otherwise((a * 100 + d) % 97).cast("int"))
-    return compact.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$") & (rest == 1)

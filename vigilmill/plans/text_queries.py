@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilmill.functions import text as tx
+from vigilmill.functions import values as va
 from vigilmill.operators import similarity as sim
 from vigilmill.plans.registry import query
 
@@ -88,7 +89,7 @@ def masked_excerpt(t):
 
 @query("select page_id, 'https://' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^(https?|wss?)://', ''), '#.*$', ''), '^[^/?@]*@', ''), '^([^/?:]+):[0-9]+', '\\1'), '/+$', '') as key from pages where url is not null")
 def url_canonical(t):
-    return t.pages.where("url is not null").select("page_id", tx.url_key(F.col("url")).alias("key"))
+    return t.pages.where("url is not null").select("page_id", va.url_key(F.col("url")).alias("key"))
 
 
 @query("""with h as (select page_id, regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) as host from pages where url is not null),
@@ -97,7 +98,7 @@ def url_canonical(t):
 def host_suffix_pages(t):
     """Pages under each host and parent domain."""
     host = F.regexp_extract(F.lower("url"), "^https?://([^/?#:]+)", 1)
-    return t.pages.where("url is not null").select(F.explode(tx.host_suffixes(host)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("pages"))
+    return t.pages.where("url is not null").select(F.explode(va.host_suffixes(host)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("pages"))
 
 
 @query("select page_id, length(regexp_replace(regexp_replace(html, '<!--[^>]*-->', '', 'g'), '<[^>]*>', ' ', 'g'))::bigint as n from pages where html is not null")
