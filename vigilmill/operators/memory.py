@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmill.functions.values import domain_of, host_suffixes
+from vigilmill.operators import fold as folds
 
 # Days an observed item lives, caps, escalation limits.
 TTL_DAYS, CAP, SOURCE_CAP = 30, 5_000, 200
@@ -128,13 +129,28 @@ def approvals(made: DataFrame, log: DataFrame) -> DataFrame:
     return made.join(first, "k", "left").join(used, "k", "left").select("k", state.alias("state"), "used")
 
 
-def idempotency(requests: DataFrame) -> DataFrame:
-    """requests (key, request_hash, status of the reservation, at, tie) with the answer: the first reserves; a later one conflicts if it asks otherwise,
-    replays a completed one, and is in doubt or in progress as the first is."""
-    w = Window.partitionBy("key").orderBy("at", "tie")
-    first = lambda c: F.first(c).over(w)
-    return requests.withColumn(
-        "answer",
-        F.when(F.row_number().over(w) == 1, "RESERVED").when(F.col("request_hash") != first("request_hash"), "CONFLICT").when(first("status") == "COMPLETED", "REPLAY")
-        .when(first("status") == "IN_DOUBT", "IN_DOUBT").otherwise("IN_PROGRESS"),
-    )
+def idempotency(log: DataFrame) -> DataFrame:
+    """log (key, request_hash, act, at, tie, ...) with `answer`, each request answered by what stood under its key at that time.
+
+    act: request, complete, doubt or release.  The first request reserves its key (RESERVED); until it ends, the same request is IN_PROGRESS and
+    another CONFLICT.  Completed, the same request gets REPLAY; in doubt, IN_DOUBT, for good; released, the next request reserves anew.  Only the
+    request that holds the reservation ends it: the answer of the other acts is DONE, or IGNORED where they come too late or from another request.
+    Requests without a key are always RESERVED.
+    """
+    names = log.columns
+    key, hash_, act = (names.index(c) for c in ("key", "request_hash", "act"))
+    ended = {"complete": "COMPLETED", "doubt": "IN_DOUBT", "release": None}
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        held, status = state
+        if row[act] == "request":
+            if row[key] is None or status is None:
+                return ((row[hash_], "RESERVED") if row[key] is not None else state), ("RESERVED",)
+            if row[hash_] != held:
+                return state, ("CONFLICT",)
+            return state, ({"COMPLETED": "REPLAY", "IN_DOUBT": "IN_DOUBT", "RESERVED": "IN_PROGRESS"}[status],)
+        if status != "RESERVED" or row[hash_] != held or row[act] not in ended:
+            return state, ("IGNORED",)
+        return (held, ended[row[act]]), ("DONE",)
+
+    return folds.fold(log, "key", ["at", "tie"], (None, None), step, "answer string")

@@ -41,13 +41,19 @@ def approval_states(t):
     return memory.approvals(made, log).select("k", "state", "used")
 
 
-@query("""with r as (select o_orderkey, o_custkey, o_orderpriority as h, o_orderstatus as st, row_number() over w as n, first_value(o_orderpriority) over w as h0, first_value(o_orderstatus) over w as st0 from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
- select o_orderkey, case when n = 1 then 'RESERVED' when h <> h0 then 'CONFLICT' when st0 = 'F' then 'REPLAY' when st0 = 'P' then 'IN_DOUBT' else 'IN_PROGRESS' end as answer from r""")
+@query("""with recursive l as (select event_id, user_id as key, 'h' || (event_id % 2) as h, case event_type when 'signup' then 'complete' when 'error' then case when event_id % 3 = 0 then 'doubt' else 'release' end else 'request' end as act, row_number() over (partition by user_id order by ts, event_id) as n from events),
+ f as (select event_id, key, n, case when act = 'request' then h end as held, case when act = 'request' then 'RESERVED' end as status, case when act = 'request' then 'RESERVED' else 'IGNORED' end as answer from l where n = 1
+  union all select l.event_id, l.key, l.n, case when l.act = 'request' and f.status is null then l.h when l.act = 'release' and f.status = 'RESERVED' and l.h = f.held then null else f.held end,
+   case when l.act = 'request' then coalesce(f.status, 'RESERVED') when f.status = 'RESERVED' and l.h = f.held then case l.act when 'complete' then 'COMPLETED' when 'doubt' then 'IN_DOUBT' end else f.status end,
+   case when l.act = 'request' then case when f.status is null then 'RESERVED' when l.h <> f.held then 'CONFLICT' when f.status = 'COMPLETED' then 'REPLAY' when f.status = 'IN_DOUBT' then 'IN_DOUBT' else 'IN_PROGRESS' end when f.status = 'RESERVED' and l.h = f.held then 'DONE' else 'IGNORED' end
+  from f join l on l.key = f.key and l.n = f.n + 1)
+ select event_id, answer from f""")
 def idempotency_replies(t):
-    """The answer to every request under an idempotency key: reserved, then replay, conflict, in doubt or in progress."""
-    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "IN_DOUBT").otherwise("RESERVED")
-    r = t.orders.select("o_orderkey", F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("request_hash"), status.alias("status"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("tie"))
-    return memory.idempotency(r).select("o_orderkey", "answer")
+    """The answer to every request and ending under an idempotency key, by what stood at its time."""
+    e = F.col("event_type")
+    act = F.when(e == "signup", "complete").when(e == "error", F.when(F.col("event_id") % 3 == 0, "doubt").otherwise("release")).otherwise("request")
+    log = t.events.select("event_id", F.col("user_id").alias("key"), F.concat(F.lit("h"), F.col("event_id") % 2).alias("request_hash"), act.alias("act"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
+    return memory.idempotency(log).select("event_id", "answer")
 
 
 _SEEN = f"e as (select event_id, {_HOST} as value, user_id as run, 'srv' || (event_id % 5) || ':t' || (event_id % 3) as source, ts, case event_type when 'purchase' then 'confirmed' when 'error' then 'revoked' end as decided from events)"
