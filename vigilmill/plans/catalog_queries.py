@@ -95,16 +95,6 @@ def explicit_negation(t):
     return t.conversations.select("conv_id", "turn", F.col("text").rlike("(?i)(?:^|[^a-z])(?:not|never|without)[^a-z][^.]{0,80}(?:send|share|delete|use|read)").alias("negated"))
 
 
-@query(r"""with g as (select conv_id, string_agg(text, ' ' order by turn) as joined, bool_or(regexp_matches(text, 'the.{0,40}? and .{0,40}? of the')) as alone from conversations group by 1)
- select conv_id from g where regexp_matches(joined, 'the.{0,40}? and .{0,40}? of the') and not alone""")
-def split_instruction(t):
-    """Conversations where the rule fires on the turns joined in order, and on none of them alone."""
-    rule = "the.{0,40}? and .{0,40}? of the"
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    g = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("joined"), F.bool_or(F.col("text").rlike(rule)).alias("alone"))
-    return g.where(F.col("joined").rlike(rule) & ~F.col("alone")).select("conv_id")
-
-
 @query(f"""with {_HOST}, k as (select distinct host, path from h where page_id % 10 = 0), j as (select h.page_id, case when k.path not in ('', '/') and (h.path = k.path or starts_with(h.path, rtrim(k.path, '/') || '/')) then 1 else 2 end as p from h join k using (host))
  select page_id, case when min(p) = 1 then 'path' else 'host' end as traced from j group by 1""")
 def traced_urls(t):

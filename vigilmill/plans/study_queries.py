@@ -298,13 +298,3 @@ def pin_compare(t):
     o = t.customer.select(F.col("c_custkey").alias("tool"), F.col("c_mktsegment").alias("hash"))
     p = t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("tool"), F.when(F.col("c_custkey") % 9 == 0, "other").otherwise(F.col("c_mktsegment")).alias("pin_hash"))
     return o.join(p, "tool", "left").select("tool", F.when(F.col("pin_hash").isNull(), "pinned").when(F.col("pin_hash") != F.col("hash"), "changed").otherwise("same").alias("pin"))
-
-
-@query("""with a as (select unnest(['mail', 'files', 'calendar']) as domain), v as (select unnest(['read', 'send', 'delete']) as verb), l as (select unnest(['attack', 'benign']) as label)
- select label || ':' || domain || ':' || verb as id, label, verb <> 'read' as mutation, left(sha256(label || ':' || domain || ':' || verb), 16) as hash from a cross join v cross join l""")
-def evaluation_cases(t):
-    """Cases as every combination of small lists, with a hash of each."""
-    one = t.spark.range(1).select(F.explode(F.array(*map(F.lit, ("mail", "files", "calendar")))).alias("domain"))
-    c = one.withColumn("verb", F.explode(F.array(*map(F.lit, ("read", "send", "delete"))))).withColumn("label", F.explode(F.array(F.lit("attack"), F.lit("benign"))))
-    key = F.concat_ws(":", "label", "domain", "verb")
-    return c.select(key.alias("id"), "label", (F.col("verb") != "read").alias("mutation"), F.left(F.sha2(key, 256), F.lit(16)).alias("hash"))
