@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilmill.functions import rules as ru
 from vigilmill.functions import text as tx
+from vigilmill.operators import learning
 from vigilmill.operators import similarity as sim
 from vigilmill.plans.registry import query
 from vigilmill.plans.text_queries import TOKENS
@@ -143,3 +144,20 @@ def nearest_values(t):
     hits = lines.where(F.lower("line").contains("license")).select("doc_id", F.col("i").alias("hit"))
     values = F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z]{9,}"), F.lit(0)))
     return sim.nearest_to_match(lines.select("doc_id", "i", values.alias("values")), hits, 1, 20)
+
+
+@query(f"""with {_PRINTS}, zd as (select id, count(*) as n from g where side = 'd' group by 1)
+ select distinct h.print_id as item_id from h join z on z.id = h.print_id join zd on zd.id = h.text_id where h.n * 1.0::double / z.n >= 0.6 or h.n * 1.0::double / zd.n >= 0.6""")
+def benign_revocations(t):
+    """Fingerprints that texts told to be benign revoke: either holds the other to 0.6."""
+    words = lambda d, i, n: d.where("text is not null").select(F.col(i).alias(n), tx.content_tokens(F.col("text")).alias("words"))
+    found = learning.revoked_by_benign(words(t.benchmark, "item_id", "print_id"), words(t.documents, "doc_id", "text_id"))
+    return found.select(F.col("print_id").alias("item_id"))
+
+
+@query(f"""with {_SAID} select doc_id, regexp_extract(trim(regexp_replace(lower(said), '\\s+', ' ', 'g')), '.{{0,30}}on behalf of the user.{{0,30}}', 0) as quote from d where said_no = 10""")
+def rule_quotes(t):
+    """What stands around the match of a rule, of the texts where it fires."""
+    rule = next(r for r in ru.RULES if r.name == "user_proxy")
+    found = _said(t).select("doc_id", ru.explained(F.col("said"), rule).alias("quote"))
+    return found.where("quote <> ''")
