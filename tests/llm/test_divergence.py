@@ -130,5 +130,11 @@ def test_many_sources_meet_in_several_tasks(spark, rows, monkeypatch):
     assert {tuple(r) for r in divergence.divergences(docs).collect()} == by_hand(rows[:200])
 
 
+def test_corner_rows(spark, corner_dir, corner_rows, empty_dir):
+    found = queries.op12_source_divergence(spark, corner_dir).collect()
+    assert {tuple(r) for r in found} == by_hand([(t, lang, source) for _, t, lang, source, *_ in corner_rows]) and found
+    assert queries.op12_source_divergence(spark, empty_dir).collect() == []
+
+
 def test_empty(spark):
     assert divergence.divergences(spark.createDataFrame([], SCHEMA)).collect() == []
