@@ -99,9 +99,12 @@ def leaves(docs: DataFrame, json: str, *by: str, depth: int = DEPTH) -> DataFram
 
     path: array<struct<key,pos>> from the top, key null in lists.  kind: string, number, boolean, null, object, array (both empty) or deep.
     text: what a string says, else as in JSON.  json: the leaf as JSON.
+
+    Documents are dealt by their keys first: a table of many small ones is one file that one task would unfold, and what groups the leaves by
+    these keys again needs no further exchange.
     """
     spark = docs.sparkSession
-    rows = docs.select(*by, parsed(F.col(json)).alias("_v0")).where("_v0 is not null")
+    rows = docs.repartition(*map(F.col, by)).select(*by, parsed(F.col(json)).alias("_v0")).where("_v0 is not null")
     for i in range(1, depth + 1):
         rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col(f"_v{i - 1}").outer()).toDF(f"_p{i}", f"_k{i}", f"_v{i}"))
     every = F.array(*[F.struct(F.col(f"_k{i}").alias("key"), F.col(f"_p{i}").alias("pos")) for i in range(1, depth + 1)])

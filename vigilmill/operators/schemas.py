@@ -7,7 +7,7 @@ cutting them to the last step that stays, and written again from what is left, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmill.functions import nested
@@ -87,14 +87,14 @@ def public(leaves: DataFrame, *by: str, annotations: bool = False) -> DataFrame:
     return _cut(read, good, upto, *by)
 
 
-def _cut(leaves: DataFrame, good: Column, upto: Column, *by: str) -> DataFrame:
+def _cut(leaves: DataFrame, good: Column, upto: Column, *by: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Good leaves as they are, others as an empty container at the first `upto` steps of their path."""
-    judged = nested.held(leaves, [*by, *LEAF], _good=good, _upto=upto)
+    judged = nested.held(leaves, [*by, *keep, *LEAF], _good=good, _upto=upto)
     object_ = F.get("path", F.col("_upto"))["key"].isNotNull()
     put = lambda c, other: F.when(F.col("_good"), F.col(c)).otherwise(other)
     container = F.when(object_, "{}").otherwise("[]")
     return nested.held(
-        judged, list(by), path=put("path", F.slice("path", F.lit(1), F.col("_upto"))), kind=put("kind", F.when(object_, "object").otherwise("array")), text=put("text", container), json=put("json", container)
+        judged, [*by, *keep], path=put("path", F.slice("path", F.lit(1), F.col("_upto"))), kind=put("kind", F.when(object_, "object").otherwise("array")), text=put("text", container), json=put("json", container)
     )
 
 
@@ -131,15 +131,20 @@ def skeleton(leaves: DataFrame, *by: str) -> DataFrame:
     upto = F.when((state == OUT) & takes, F.greatest(F.lit(0), F.col("_r.good") - 1)).otherwise(upto)
     trimmed = _cut(read, F.coalesce(good, F.lit(False)), upto, *by)
     trimmed = trimmed.withColumn("json", F.when(F.size("path") == 0, "{}").otherwise(F.col("json")))
-    # Required names without their property go.
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.coalesce(F.get("path", i - 1)["key"] == "properties", F.lit(False)))
-    kept = trimmed.select(*by, F.explode(F.transform(at, lambda i: F.struct(F.slice("path", F.lit(1), i - 1).alias("_of"), F.get("path", i)["key"].alias("_name")))).alias("_x")).select(*by, "_x.*").where("_name is not null").distinct()
+    # Required names without their property go; the list stays when all of its names do.  Each leaf is put beside the names of properties that its path
+    # has, so one sort of a document's rows tells which names are there.
     asks = (F.size("path") > 1) & F.coalesce(F.get("path", F.size("path") - 2)["key"] == "required", F.lit(False)) & (F.col("kind") == "string")
-    marked = nested.held(trimmed, [*by, *LEAF], _of=F.when(asks, F.slice("path", F.lit(1), F.size("path") - 2)), _name=F.when(asks, F.col("text")))
-    found = marked.where("_of is null").drop("_of", "_name").unionByName(marked.where("_of is not null").join(kept, [*by, "_of", "_name"], "left_semi").select(*by, "path", "kind", "text", "json"))
-    # The list stays when all of its names go.
-    emptied = marked.where("_of is not null").select(*by, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit("array").alias("kind"), F.lit("[]").alias("text"), F.lit("[]").alias("json"))
-    return found.unionByName(emptied)
+    marked = nested.held(trimmed, [*by, *LEAF], _asks=asks)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.coalesce(F.get("path", i - 1)["key"] == "properties", F.lit(False)) & F.get("path", i)["key"].isNotNull())
+    of = "array<struct<key:string,pos:int>>"
+    row = lambda part, leaf, of_, name: F.struct(F.lit(part).alias("_part"), leaf.alias("_leaf"), of_.cast(of).alias("_of"), name.cast("string").alias("_name"))
+    leaf, none = F.struct(*LEAF), F.lit(None)
+    empty = F.struct(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit("array").alias("kind"), F.lit("[]").alias("text"), F.lit("[]").alias("json"))
+    mine = F.when(F.col("_asks"), F.array(row("asks", leaf, F.slice("path", F.lit(1), F.size("path") - 2), F.col("text")), row("leaf", empty, none, none))).otherwise(F.array(row("leaf", leaf, none, none)))
+    names = F.transform(at, lambda i: row("name", F.when(F.lit(False), leaf), F.slice("path", F.lit(1), i - 1), F.get("path", i)["key"]))
+    rows = marked.select(*by, F.inline(F.concat(mine, names)))
+    there = rows.withColumn("_there", F.bool_or(F.col("_part") == "name").over(Window.partitionBy(*by, "_of", "_name")))
+    return there.where("_part = 'leaf' or _part = 'asks' and _there").select(*by, "_leaf.*")
 
 
 def without_patterns(leaves: DataFrame, *by: str) -> DataFrame:
@@ -161,18 +166,24 @@ def without_patterns(leaves: DataFrame, *by: str) -> DataFrame:
 
     read = nested.held(leaves, [*by, *LEAF], _r=F.aggregate("path", zero, step))
     refers = F.exists("path", lambda x: F.coalesce(x["key"].isin("$ref", "$dynamicRef"), F.lit(False)))
-    whole = read.groupBy(*by).agg((F.bool_or(refers) & F.bool_or("_r.inner")).alias("_strip"))
-    read = read.join(whole, list(by))
+    whole = Window.partitionBy(*by)
+    read = read.withColumn("_strip", F.bool_or(refers).over(whole) & F.bool_or("_r.inner").over(whole))
     bad = (F.col("_r.bad") >= 0) & (~F.col("_r.data") | F.col("_strip"))
-    # The schema whose patternProperties go loses what depends on them.
-    holders = read.where(bad & (F.get("path", F.col("_r.bad"))["key"] == "patternProperties")).select(*by, F.slice("path", F.lit(1), F.col("_r.bad")).alias("_of")).distinct()
-    cut = _cut(read, ~bad, F.when(bad, F.col("_r.bad")).otherwise(F.size("path")), *by)
+    # The schema whose patternProperties go loses what depends on them: each leaf is put beside the schemas that hold such keywords of its own path, and
+    # those that lose theirs say so in rows of the same kind.
+    lost = F.when(bad & (F.get("path", F.col("_r.bad"))["key"] == "patternProperties"), F.slice("path", F.lit(1), F.col("_r.bad")))
+    read = nested.held(read, [*by, *LEAF], _bad=bad, _at=F.when(bad, F.col("_r.bad")).otherwise(F.size("path")), _lost=lost)
+    cut = _cut(read, ~F.col("_bad"), F.col("_at"), *by, keep=("_lost",))
     steps = F.filter(F.sequence(F.lit(0), F.greatest(F.size("path") - 1, F.lit(0))), lambda i: F.coalesce(F.get("path", i)["key"].isin("additionalProperties", "unevaluatedProperties"), F.lit(False)))
-    some = cut.withColumn("_id", F.monotonically_increasing_id())
-    depends = some.select(*by, "path", F.explode(F.transform(steps, lambda i: F.slice("path", F.lit(1), i))).alias("_of")).join(holders, [*by, "_of"], "left_semi").select(*by, "path", F.size("_of").alias("_at"))
-    least = depends.groupBy(*by, "path").agg(F.min("_at").alias("_at"))
-    joined = some.drop("_id").join(least, [*by, "path"], "left")
-    return _cut(joined, F.col("_at").isNull(), F.coalesce("_at", F.size("path")), *by)
+    row = lambda part, leaf, of: F.struct(F.lit(part).alias("_part"), leaf.alias("_leaf"), of.alias("_of"))
+    leaf, path = F.struct(*LEAF), F.struct("path", *[F.lit(None).cast("string").alias(c) for c in LEAF[1:]])
+    depends = F.transform(steps, lambda i: row("depends", path, F.slice("path", F.lit(1), i)))
+    losers = F.when(F.col("_lost").isNotNull(), F.array(row("lost", path, F.col("_lost")))).otherwise(F.slice(depends, 1, 0))
+    rows = cut.select(*by, F.inline(F.concat(F.array(row("leaf", leaf, F.when(F.lit(False), F.col("path")))), depends, losers)))
+    rows = rows.withColumn("_gone", F.bool_or(F.col("_part") == "lost").over(Window.partitionBy(*by, "_of"))).where("_part <> 'lost'")
+    least = F.min(F.when((F.col("_part") == "depends") & F.col("_gone"), F.size("_of"))).over(Window.partitionBy(*by, "_leaf.path"))
+    joined = rows.withColumn("_least", least).where("_part = 'leaf'").select(*by, "_leaf.*", "_least")
+    return _cut(joined, F.col("_least").isNull(), F.coalesce("_least", F.size("path")), *by)
 
 
 def asks_by_name(name: Column) -> Column:
@@ -212,19 +223,23 @@ def disclosure_parameters(leaves: DataFrame, *by: str, hops: int = 4) -> DataFra
     named = F.exists(F.aggregate("path", zero, step, lambda s: s["found"]), asks_by_name)
     last = F.try_element_at("path", F.lit(-1))["key"]
     told = F.coalesce(last.isin("title", "description"), F.lit(False)) & (F.col("kind") == "string") & F.col("text").rlike(SELF_TEXT)
-    asks = nested.held(leaves, [*by, *LEAF], _asks=named | told, _top=top)
-    direct = asks.where("_asks and _top is not null").select(*by, F.col("_top").alias("parameter"))
+    asks = nested.held(leaves, [*by, *LEAF], _asks=named | told, _top=top, _ref=(last == "$ref") & (F.col("kind") == "string") & F.col("text").startswith("#/"))
     # Places that ask, by every prefix of their path, for references that lead there.
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.array_join(F.transform(F.slice("path", F.lit(1), i), lambda s: F.coalesce(F.replace(s["key"], F.lit("/"), F.lit("\x03")), s["pos"].cast("string"))), "/"))
     place = lambda c: F.replace(F.replace(F.url_decode(F.regexp_replace(F.substring(c, 3, 1 << 20), r"\+", "%2B")), F.lit("~1"), F.lit("\x03")), F.lit("~0"), F.lit("~"))
-    refs = asks.where((last == "$ref") & (F.col("kind") == "string") & F.col("text").startswith("#/")).select(*by, "_top", prefixes.alias("_inside"), place(F.col("text")).alias("_to"))
-    hot = asks.where("_asks").select(*by, F.explode(prefixes).alias("_to")).distinct()
-    found = direct
+    # A document's leaves that ask or refer are taken together once, and references are followed within them.
+    some = asks.where("_asks or _ref").select(*by, "_asks", "_top", prefixes.alias("_inside"), F.when(F.col("_ref"), place(F.col("text"))).alias("_to"))
+    whole = some.groupBy(*by).agg(
+        F.collect_set(F.when(F.col("_asks"), F.col("_top"))).alias("_found"), F.collect_list(F.when(F.col("_asks"), F.col("_inside"))).alias("_hot"),
+        F.collect_list(F.when(F.col("_to").isNotNull(), F.struct("_top", "_inside", "_to"))).alias("_refs"),
+    )
+    whole = whole.withColumn("_hot", F.when(F.size("_refs") > 0, F.array_distinct(F.flatten("_hot"))).otherwise(F.array().cast("array<string>")))
     for _ in range(hops):
-        reached = refs.join(hot, [*by, "_to"], "left_semi")
-        found = found.unionByName(reached.where("_top is not null").select(*by, F.col("_top").alias("parameter")))
-        hot = reached.select(*by, F.explode("_inside").alias("_to")).distinct()
-    return found.distinct()
+        led = nested.held(whole, [*by, "_found", "_refs"], _led=F.array_intersect(F.transform("_refs", lambda r: r["_to"]), F.col("_hot")))
+        reached = nested.held(led, [*by, "_found", "_refs"], _reached=F.filter("_refs", lambda r: F.array_contains("_led", r["_to"])))
+        tops = F.array_compact(F.transform("_reached", lambda r: r["_top"]))
+        whole = nested.held(reached, [*by, "_refs"], _found=F.array_union("_found", tops), _hot=F.array_distinct(F.flatten(F.transform("_reached", lambda r: r["_inside"]))))
+    return whole.select(*by, F.explode("_found").alias("parameter"))
 
 
 def redacted(docs: DataFrame, json: str, *by: str, depth: int = nested.DEPTH) -> DataFrame:
