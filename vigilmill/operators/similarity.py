@@ -10,38 +10,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmill.functions import text as tx
+from vigilmill.functions.nested import held
+
+
+def _grams(rows: DataFrame, key: str, n: int, words: str = "words") -> DataFrame:
+    """(key, how many grams, gram): a row for each distinct gram of a row's words, made in one pass."""
+    made = held(rows, [key], _g=tx.grams(F.col(words), n))
+    return made.select(key, F.size("_g").alias(f"{key}_n"), F.explode("_g").alias("gram"))
 
 
 def contained(prints: DataFrame, texts: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
     """(print_id, text_id, score): share of a print's grams that a text holds, where it is `least` or more.
 
-    prints: print_id, words; texts: text_id, words (arrays).  An inverted index on grams: both sides are exploded to distinct
-    grams and joined on them; only texts' grams that some print has survive the join.
+    prints: print_id, words; texts: text_id, words (arrays), one row an id.  An inverted index on grams: both sides are exploded to distinct
+    grams once and joined on them; only texts' grams that some print has survive the join.  How many a print has travels with them.
     """
-    p = prints.select("print_id", F.explode(tx.grams(F.col("words"), n)).alias("gram"))
-    size = p.groupBy("print_id").agg(F.count("*").alias("n"))
-    t = texts.select("text_id", F.explode(tx.grams(F.col("words"), n)).alias("gram"))
-    hits = t.join(p, "gram").groupBy("print_id", "text_id").agg(F.count("*").alias("hits"))
-    return hits.join(size, "print_id").withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least).select("print_id", "text_id", "score")
+    hits = _grams(texts, "text_id", n).join(_grams(prints, "print_id", n), "gram").groupBy("print_id", "text_id").agg(F.count("*").alias("hits"), F.first("print_id_n").alias("n"))
+    return hits.withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least).select("print_id", "text_id", "score")
 
 
 def anchored(prints: DataFrame, texts: DataFrame, least: float = 0.6, anchor_least: float = 0.5, n: int = 3) -> DataFrame:
     """`contained`, of prints whose anchor (words of the sentence that was matched) the text holds to `anchor_least` as well.
 
-    prints: print_id, words, anchor; an empty anchor asks nothing.
+    prints: print_id, words, anchor; an empty anchor asks nothing.  Grams of prints and anchors are one index, so a text is read once.
     """
-    hits = contained(prints, texts, least, n)
-    held = contained(prints.where(F.size("anchor") > 0).select("print_id", F.col("anchor").alias("words")), texts, anchor_least, n).select("print_id", "text_id")
-    free = prints.where(F.size("anchor") == 0).select("print_id")
-    return hits.join(held, ["print_id", "text_id"], "left_semi").unionByName(hits.join(free, "print_id", "left_semi"))
+    whole = held(prints, ["print_id"], _g=tx.grams(F.col("words"), n), _a=F.coalesce(tx.grams(F.col("anchor"), n), F.array().cast("array<string>")), _free=F.size("anchor") == 0)
+    every = whole.select("print_id", F.size("_g").alias("n"), F.size("_a").alias("na"), "_free", "_g", "_a", F.explode(F.array_union("_g", "_a")).alias("gram"))
+    index = every.select("print_id", "n", "na", "_free", "gram", F.array_contains("_g", F.col("gram")).cast("int").alias("own"), F.array_contains("_a", F.col("gram")).cast("int").alias("of_anchor"))
+    met = _grams(texts, "text_id", n).join(index, "gram").groupBy("print_id", "text_id").agg(F.sum("own").alias("hits"), F.sum("of_anchor").alias("ha"), *[F.first(c).alias(c) for c in ("n", "na", "_free")])
+    asked = F.col("_free") | ((F.col("ha") > 0) & (F.col("ha") / F.col("na") >= anchor_least))
+    return met.where("hits > 0").withColumn("score", F.col("hits") / F.col("n")).where((F.col("score") >= least) & asked).select("print_id", "text_id", "score")
 
 
 def both_ways(prints: DataFrame, others: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
-    """(print_id, text_id, score): the greater of the shares that each of two texts holds of the other; others: text_id, words."""
-    forth = contained(prints, others, least, n)
-    back = contained(others.select(F.col("text_id").alias("print_id"), "words"), prints.select(F.col("print_id").alias("text_id"), "words"), least, n)
-    every = forth.unionByName(back.select(F.col("text_id").alias("print_id"), F.col("print_id").alias("text_id"), "score"))
-    return every.groupBy("print_id", "text_id").agg(F.max("score").alias("score"))
+    """(print_id, text_id, score): the greater of the shares that each of two texts holds of the other; others: text_id, words.
+
+    The grams that both have are counted once and divided by the lesser number of grams.
+    """
+    met = _grams(others, "text_id", n).join(_grams(prints, "print_id", n), "gram").groupBy("print_id", "text_id").agg(F.count("*").alias("hits"), F.first("print_id_n").alias("n"), F.first("text_id_n").alias("m"))
+    return met.withColumn("score", F.col("hits") / F.least("n", "m")).where(F.col("score") >= least).select("print_id", "text_id", "score")
 
 
 def nearest_to_match(sentences: DataFrame, hits: DataFrame, reach: int, most: int) -> DataFrame:
