@@ -1,8 +1,9 @@
 """Rules learned from attacks as a table of patterns: a gate for proposals, and matching by an index of required letters.
 
 A pattern is read once, by Python's own parser of patterns, which gives what is wrong with it and the runs of letters that every match holds.
-Texts meet patterns by an equi join on the rarest three letters of such a run; only those pairs are matched, with the pattern as a
-column.  So ten thousand patterns cost a text one pass for its letters and few searches.
+Texts meet patterns by an equi join on two words in a row, or one, that such a run holds whole; where a pattern has none, on the rarest three
+letters of a run.  Only those pairs are matched, with the pattern as a column.  So ten thousand patterns cost a text one pass for its
+words and few searches.
 
 Texts are read as rules read them: readable, in lower case, blanks and line breaks as one blank.  Null texts match nothing.
 """
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import pairwise
 from re import _constants as C
 from re import _parser
 
@@ -29,7 +31,7 @@ WIDE = 200
 GRAM = 3
 #: Patterns are broadcast up to this many, else joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
-READ = T.StructType([T.StructField("problem", T.StringType()), T.StructField("letters", T.ArrayType(T.StringType()))])
+READ = T.StructType([T.StructField("problem", T.StringType()), T.StructField("letters", T.ArrayType(T.StringType())), T.StructField("key", T.StringType())])
 
 _SPECIFIC = re.compile(r"@|://|www\\?\.|\\?\.(?:com|org|net|io|dev|example|test)\b|[0-9]")
 _BOUNDS = re.compile(r"\{[0-9]*,?[0-9]*\}")
@@ -122,18 +124,25 @@ def _leads_with_any(items: list) -> bool:
     return False
 
 
-def _runs(items: list) -> Iterator[str]:
-    """Runs of letters that every match holds as they are, in lower case."""
+def _blank(op, value) -> bool:
+    """Whether an item stands for blanks, one at least; in a text as read that is one blank."""
+    if op in _LOOPS:
+        return value[0] > 0 and len(value[2]) == 1 and _blank(*value[2][0])
+    return op is C.LITERAL and value == ord(" ") or op is C.IN and list(value) == [(C.CATEGORY, C.CATEGORY_SPACE)]
+
+
+def _runs(items: list, blanks: bool = False) -> Iterator[str]:
+    """Runs of letters that every match holds as they are, in lower case; with blanks, these are letters too."""
     run: list[str] = []
     for op, value in items:
-        if op is C.LITERAL:
-            run.append(chr(value).lower())
+        if op is C.LITERAL or blanks and _blank(op, value):
+            run.append(" " if blanks and _blank(op, value) else chr(value).lower())
             continue
         yield "".join(run)
         run = []
         if op is C.SUBPATTERN or op in _LOOPS and value[0] > 0:
             for part in _parts(op, value):
-                yield from _runs(part)
+                yield from _runs(part, blanks)
     yield "".join(run)
 
 
@@ -165,10 +174,21 @@ def read_pattern(pattern: str | None) -> tuple[str | None, tuple[str, ...]]:
     return (None, runs) if runs else ("no letters that every match holds", ())
 
 
+@lru_cache(1 << 14)
+def key_of(pattern: str) -> str | None:
+    """The longest two words in a row between blanks that every match holds, else the longest word, else None."""
+    runs = [re.split(r"[^\x00-\x7f]", r) for r in _runs(list(_parser.parse(pattern, re.IGNORECASE)), blanks=True)]
+    # What a run begins and ends with may be part of a longer word.
+    whole = [piece.split(" ")[1:-1] for pieces in runs for piece in pieces]
+    pairs = [f"{a} {b}" for words in whole for a, b in pairwise(words) if a and b]
+    return max(pairs or [w for words in whole for w in words if w], key=len, default=None)
+
+
 @F.pandas_udf(READ)
 def _read(patterns: pd.Series) -> pd.DataFrame:
     rows = [read_pattern(p) for p in patterns]
-    return pd.DataFrame({"problem": [r[0] for r in rows], "letters": [list(r[1]) for r in rows]})
+    keys = [None if r[0] else key_of(p) for r, p in zip(rows, patterns)]
+    return pd.DataFrame({"problem": [r[0] for r in rows], "letters": [list(r[1]) for r in rows], "key": keys})
 
 
 def safety(pattern: Column) -> Column:
@@ -185,19 +205,35 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
+def _words(text: Column, pairs: bool, single: bool) -> Column:
+    """Every two words in a row of a text as read, every word, or both, each once."""
+    words = F.split(text, " ")
+    two = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(words, two) if pairs and single else two if pairs else words)
+
+
 def matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (id, rule_id) of texts (id, text) that rules (rule_id, pattern) match; rules that fail the gate's safety match nothing."""
     good = held(rules.select("rule_id", "pattern"), ["rule_id", "pattern"], _r=_read(F.col("pattern"))).where("_r.problem is null")
-    wanted = good.select("rule_id", "pattern", F.explode("_r.letters").alias("run")).select("rule_id", "pattern", F.explode(_grams(F.col("run"))).alias("gram")).distinct()
-    near = F.broadcast if rules.count() <= BROADCAST_PATTERNS else (lambda df: df)
+    # Which ways to find candidates the patterns call for; a way that none does would read all texts for nothing.
+    some = good.agg(F.count("*").alias("n"), F.count_if(F.col("_r.key").contains(" ")).alias("pairs"), F.count("_r.key").alias("keys")).first()
+    near = F.broadcast if some.n <= BROADCAST_PATTERNS else (lambda df: df)
     read = held(texts.where("text is not null"), ["id"], _text=as_read(F.col("text")))
-    listed = read.select("id", "_text", F.explode(_grams(F.col("_text"))).alias("gram"))
-    # How many texts have each of the patterns' letters: the rarest of a pattern finds its candidates.
-    common = listed.select("gram").join(near(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
-    # Letters that no text has are the rarest of all: such a pattern has no candidate.
-    rare = wanted.join(common, "gram", "left").groupBy("rule_id", "pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("gram"))).alias("_g")).select("rule_id", "pattern", "_g.gram")
-    found = listed.join(near(rare), "gram").where(F.rlike("_text", F.concat(F.lit("(?i)"), "pattern")))
-    return found.select("id", "rule_id").distinct()
+    hit = F.rlike("_text", F.concat(F.lit("(?i)"), "pattern"))
+    ways = []
+    if some["keys"] or not some.n:
+        keyed = good.where("_r.key is not null").select("rule_id", "pattern", F.col("_r.key").alias("key"))
+        listed = held(read, ["id", "_text"], _keys=_words(F.col("_text"), some.pairs > 0, some.pairs < some["keys"])).select("id", "_text", F.explode("_keys").alias("key"))
+        ways.append(listed.join(near(keyed), "key").where(hit))
+    if some.n > some["keys"]:
+        wanted = good.where("_r.key is null").select("rule_id", "pattern", F.explode("_r.letters").alias("run")).select("rule_id", "pattern", F.explode(_grams(F.col("run"))).alias("gram")).distinct()
+        listed = read.select("id", "_text", F.explode(_grams(F.col("_text"))).alias("gram"))
+        # How many texts have each of the patterns' letters: the rarest of a pattern finds its candidates.
+        common = listed.select("gram").join(near(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+        # Letters that no text has are the rarest of all: such a pattern has no candidate.
+        rare = wanted.join(common, "gram", "left").groupBy("rule_id", "pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("gram"))).alias("_g")).select("rule_id", "pattern", "_g.gram")
+        ways.append(listed.join(near(rare), "gram").where(hit))
+    return reduce(DataFrame.unionByName, [w.select("id", "rule_id") for w in ways]).distinct()
 
 
 def gate(proposals: DataFrame, benign: DataFrame) -> DataFrame:
