@@ -52,3 +52,28 @@ def test_bounds_of_the_edit_distance():
         d = line_dedup.edit_distance(texts[a], texts[b], 1000)
         assert least <= d <= line_dedup.word_bound(texts[a].split(), texts[b].split(), 1000)
 
+
+def test_distances_of_many_pairs():
+    """Pairs met at once: the verdict of each is that of its own distance, whatever its length, letters and bound."""
+    r = random.Random(15)
+    pairs, mosts = [], []
+    for k in range(600):
+        letters = "abcd " if k % 3 else "aé漢字𠀀 ß" + "bcdefgh" * (k % 2)
+        a = [r.choice(letters) for _ in range(r.choice([2, 30, 63, 64, 65, 127, 300, 700]) + r.randint(-2, 2))]
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 3 + 1)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = [r.choice(letters)] * r.randint(0, 1)
+        pairs.append(("".join(a), "".join(b))[:: r.choice((1, -1))])
+        mosts.append(int(0.1 * max(len(a), len(b))))
+    wanted = [line_dedup.edit_distance(a, b, most) <= most for (a, b), most in zip(pairs, mosts)]
+    assert line_dedup.within(pairs, mosts).tolist() == wanted and 100 < sum(wanted) < 500
+    assert not len(line_dedup.within([], []))
+
+
+def test_forms_of_many_texts():
+    r = random.Random(16)
+    texts = [None, "", "\n", " \n\n ", "Σ\nΣΑΣ", *("".join(r.choice("aB \n\t.1é×漢ß  ") for _ in range(r.randint(0, 60))) for _ in range(500))]
+    lines, counts = line_dedup.plain_forms(texts)
+    assert lines == [x for t in texts for x in line_dedup.plain_lines(t)]
+    assert counts.tolist() == [len(line_dedup.plain_lines(t)) for t in texts]

@@ -56,14 +56,45 @@ def normal_lines(text: str | None) -> list[bytes]:
 
 def plain_lines(text: str | None) -> list[bytes]:
     """Plain form of each line of a text, which keeps its digits; empty if a line has no word."""
-    if not text:
-        return []
+    return [b" ".join(x.split()) for x in _words_and_breaks(text).split(b"\n")] if text else []
+
+
+def plain_forms(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """`plain_lines` of all texts in one list, and the number of each text's lines; blanks are taken out some megabytes at a time."""
+    lines, counts, held, size = [], np.zeros(len(texts), np.int64), [], 0
+
+    def flush() -> None:
+        if not held:
+            return
+        data = np.frombuffer(b"\n".join(held), np.uint8)
+        apart = (data == 32) | (data == 10)
+        blank = np.concatenate(([True], apart[:-1]))  # after a blank or a break
+        blank &= data == 32
+        data = data[~blank]
+        blank = np.concatenate((data[1:] == 10, [True]))  # before a break
+        blank &= data == 32
+        lines.extend(data[~blank].tobytes().split(b"\n"))
+
+    for k, text in enumerate(texts):
+        if text:
+            held.append(raw := _words_and_breaks(text))
+            counts[k] = raw.count(b"\n") + 1
+            size += len(raw)
+            if size >= 1 << 21:
+                flush()
+                held, size = [], 0
+    flush()
+    return lines, counts
+
+
+def _words_and_breaks(text: str) -> bytes:
+    """The text in lower case with blanks for all but words and line breaks."""
     lower = text.lower()
     raw = lower.encode("utf-8", "replace")
     # Letters of Latin-1 and Latin Extended-A need no search for signs beyond ASCII.
     if not lower.isascii() and (raw.translate(None, _LATIN_BYTES) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw):
         raw = _WIDE.sub(" ", lower).encode("utf-8", "replace")
-    return [b" ".join(x.split()) for x in raw.translate(_KEEP_BREAKS).split(b"\n")]
+    return raw.translate(_KEEP_BREAKS)
 
 
 _LATIN_BYTES = bytes([*range(0xC0), 0xC3, 0xC4, 0xC5])
@@ -75,7 +106,10 @@ def code_lines(lines: list[bytes]) -> list[bytes]:
 
     Such letters have lead bytes of E0 or more in UTF-8.
     """
-    lines = [x.translate(_ZERO) for x in lines]
+    whole = b"\n".join(lines)
+    lines = whole.translate(_ZERO).split(b"\n") if lines else []
+    if not whole.translate(None, _LOW_BYTES):
+        return lines
     return [_UNSPACED.sub(r" \1 ", x.decode("utf-8", "replace")).encode() if x.translate(None, _LOW_BYTES) else x for x in lines]
 
 
@@ -250,6 +284,130 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+#: Of `within`: the fewest pairs that are met at once, their longest line (in letters, common ends removed) and the most words of its tables.
+_LEAST_PAIRS, _LONGEST, _TABLE = 24, 1 << 13, 1 << 21
+
+
+def within(pairs: list[tuple[str, str]], mosts: list[int]) -> np.ndarray:
+    """bool[pairs]: whether the edit distance of each pair is at most its bound; pairs of like length are met at once."""
+    out = np.zeros(len(pairs), bool)
+    classes: dict[int, list] = {}
+    for k, ((a, b), most) in enumerate(zip(pairs, mosts)):
+        n = min(len(a), len(b))
+        if max(len(a), len(b)) - n > most:
+            continue
+        head = _common(a, b, n)
+        a, b = a[head:], b[head:]
+        tail = _common(a[::-1], b[::-1], n - head)
+        if tail:
+            a, b = a[:-tail], b[:-tail]
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) <= most:
+            out[k] = True
+        elif a:
+            classes.setdefault(len(b).bit_length() if len(b) <= _LONGEST else 0, []).append((k, a, b, most))
+    for size, some in classes.items():
+        some.sort(key=lambda x: -len(x[1]))
+        found = _distances([x[1] for x in some], [x[2] for x in some], max(x[3] for x in some)) if size and len(some) >= _LEAST_PAIRS else None
+        for at, (k, a, b, most) in enumerate(some):
+            out[k] = (edit_distance(a, b, most) if found is None else found[at]) <= most
+    return out
+
+
+def _letters(texts: list[str], width: int) -> np.ndarray:
+    """uint32[texts, width]: code points plus one, then zeros."""
+    out = np.zeros((len(texts), width), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+    return out
+
+
+def _distances(a: list[str], b: list[str], most: int) -> np.ndarray | None:
+    """int[pairs]: Levenshtein distance where it is at most `most`, else some larger number; None if the tables would be too large.
+
+    No a is longer than its b, nor than the a before it.  Myers' bit vectors in words of 64 rows: at each step the word w of a pair is at
+    column step - w, so that all words of all pairs take one step at once, and only words within `most` of the diagonal are met.  A common
+    end fills the a of a pair to whole words, which changes no distance.
+    """
+    n, sizes = len(a), np.fromiter(map(len, a), np.int64, len(a))
+    words = -(-sizes // 64)
+    high, beyond = 64 * int(words[0]), np.fromiter(map(len, b), np.int64, n) - sizes
+    rows, columns = _letters(a, high), _letters(b, high + most + 1)
+    kinds = np.zeros(int(max(rows.max(), columns.max())) + 1, np.int32)
+    kinds[rows] = 1
+    kinds[0] = 1
+    kinds[np.flatnonzero(kinds)] = np.arange(1, (size := int(kinds.sum()) + 1))  # 0: a letter of no row
+    if int(words.sum()) * size > _TABLE:
+        half = n // 2
+        if half < _LEAST_PAIRS:
+            return None
+        parts = [_distances(a[lo:hi], b[lo:hi], most) for lo, hi in ((0, half), (half, n))]
+        return None if any(x is None for x in parts) else np.concatenate(parts)
+    rows, columns = kinds[rows].T.copy(), kinds[columns].T.ravel()
+    having = [int((words > w).sum()) for w in range(high // 64)]  # pairs that have a word w: the first ones
+    off = np.concatenate(([0], np.cumsum(having)))
+    pair = np.concatenate([np.arange(k) for k in having])
+    word = np.repeat(np.arange(len(having)), having)
+    above = np.concatenate((np.zeros(having[0], np.int64), off[word[having[0] :] - 1] + pair[having[0] :]))
+    row_of, column_of = np.arange(len(pair)) * size, pair - word * n
+    equal = np.zeros(len(pair) * size, np.uint64)
+    for r in range(high):
+        w = r >> 6
+        equal[row_of[off[w] : off[w + 1]] + rows[r, : having[w]]] |= np.uint64(1 << (r & 63))
+
+    one, top = np.uint64(1), np.uint64(63)
+    plus, minus = np.full(len(pair), _NONE), np.zeros(len(pair), np.uint64)
+    up, down = np.ones(len(pair), np.uint64), np.zeros(len(pair), np.uint64)  # the last step of a word's last row, as +1 and -1
+    score = np.full(len(pair), 64, np.int64)  # of a word's last row
+    ends = 64 * words + beyond + words - 2  # the step after which a pair's score is found
+    order = np.argsort(ends, kind="stable")
+    times, lane, at = ends[order], (off[words - 1] + np.arange(n))[order], 0
+    found = np.zeros(n, np.int64)
+    first = stop = 0
+    for t in range(int(times[-1]) + 1):
+        while stop < len(having) and t - stop >= max(0, 64 * stop - most):
+            stop += 1
+            if stop > 1:
+                lo, hi = off[stop - 1], off[stop]
+                score[lo:hi] = score[above[lo:hi]] + down[above[lo:hi]].view(np.int64) - up[above[lo:hi]].view(np.int64) + 64
+        while t - first > 64 * first + 63 + most:
+            up[off[first] : off[first + 1]], down[off[first] : off[first + 1]] = 1, 0
+            first += 1
+        lo, hi = off[first], off[stop]
+        in_up, in_down = up[above[lo:hi]], down[above[lo:hi]]
+        if not first:
+            in_up[: having[0]], in_down[: having[0]] = 1, 0
+        p, m = plus[lo:hi], minus[lo:hi]
+        eq = equal[row_of[lo:hi] + columns[column_of[lo:hi] + t * n]]
+        xv = eq | m
+        eq |= in_down
+        xh = eq & p
+        xh += p
+        xh ^= p
+        xh |= eq
+        ph = xh | p
+        np.invert(ph, out=ph)
+        ph |= m
+        xh &= p  # now the steps of -1
+        np.right_shift(ph, top, out=up[lo:hi])
+        np.right_shift(xh, top, out=down[lo:hi])
+        score[lo:hi] += up[lo:hi].view(np.int64)
+        score[lo:hi] -= down[lo:hi].view(np.int64)
+        ph <<= one
+        ph |= in_up
+        xh <<= one
+        xh |= in_down
+        np.bitwise_and(ph, xv, out=m)
+        xv |= ph
+        np.invert(xv, out=xv)
+        np.bitwise_or(xh, xv, out=p)
+        while at < n and times[at] == t:
+            found[order[at]] = score[lane[at]]
+            at += 1
+    return found
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """One row per line with a word: doc_id, text_key, line_no (from 0), h1, h2 (128-bit hash of the plain form), code, size (bytes), blocks.
 
@@ -259,12 +417,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            per_doc = [plain_lines(t) for t in b.column("text").to_pylist()]
-            counts = np.fromiter(map(len, per_doc), np.int64, len(per_doc))
-            lines = [x for p in per_doc for x in p]
+            lines, counts = plain_forms(b.column("text").to_pylist())
             size = np.fromiter(map(len, lines), np.int32, len(lines))
             full = size > 0
-            doc = np.repeat(np.arange(len(per_doc)), counts)[full]
+            doc = np.repeat(np.arange(len(counts)), counts)[full]
             number = (np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts))[full]
             lines = [x for x in lines if x]
             digests = list(map(xxhash.xxh3_128_digest, lines))
@@ -319,18 +475,28 @@ def flagged_codes(lines: DataFrame, expected: int, radius: int = RADIUS, similar
     return found.groupBy("code").agg(F.collect_set("bucket").alias("active"))
 
 
-def _least_distance(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """int[texts, 32]: letters of each of 32 classes."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(31)
+    counts = np.bincount(np.repeat(np.arange(len(texts)) * 32, sizes) + points, minlength=32 * len(texts)).reshape(-1, 32)
+    return counts.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int64)
+
+
+def _letters_apart(counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A lower bound of each pair's edit distance: letters, in 32 classes, that one line has more of than the other."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
-    counts = np.bincount(row * 32 + (np.concatenate(points) & 31 if len(row) else row), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
-    out = np.empty(len(i), np.int32)
-    for lo in range(0, len(i), 1 << 16):
-        more = counts[i[lo : lo + (1 << 16)]] - counts[j[lo : lo + (1 << 16)]]
-        out[lo : lo + (1 << 16)] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    sizes, out = counts.sum(axis=1, dtype=np.int64), np.empty(len(i), np.int64)
+    for lo in range(0, len(i), 1 << 11):
+        some, other = i[lo : lo + (1 << 11)], j[lo : lo + (1 << 11)]
+        # What one has more and what the other has more: their sum is that of all differences, their difference that of the sizes.
+        out[lo : lo + (1 << 11)] = (np.abs(counts[some] - counts[other]).sum(axis=1, dtype=np.int64) + np.abs(sizes[some] - sizes[other])) // 2
     return out
 
 
+def _least_distance(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return _letters_apart(_letter_counts(texts), i, j)
+
+
 def word_bound(a: list[str], b: list[str], most: int) -> int:
     """An upper bound of the edit distance of two lines, from their words: changed, left out or put in one at a time; over `most`, it stops."""
     cost = i = j = 0
@@ -374,19 +540,33 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
     i, j = np.concatenate(first_i), np.concatenate(first_j)
     if not len(i):
         return np.empty((0, 2), np.int64)
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
     mosts = ((1 - least) * np.maximum(sizes[i], sizes[j]) + 1e-9).astype(np.int64)
-    some = _least_distance(texts, i, j) <= mosts
-    i, j, mosts = i[some], j[some], mosts[some]
-    order = np.lexsort((j, i))
     links = Links(len(texts))
     words = lru_cache(4096)(lambda k: texts[k].split())
-
-    def near(a: int, b: int, most: int) -> bool:
-        return word_bound(words(a), words(b), most) <= most or edit_distance(texts[a], texts[b], most) <= most
-
-    for a, b, most in zip(i[order].tolist(), j[order].tolist(), mosts[order].tolist()):
-        if links.root(a) != links.root(b) and near(a, b, most):
-            links.join(a, b)
+    counts, turns = _letter_counts(texts), 1
+    while len(i):
+        # The next partners of each line, twice as many each time: a group becomes a star in the first round.
+        firsts = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])))
+        mine = np.arange(len(j)) - np.repeat(firsts, np.diff(np.concatenate((firsts, [len(j)])))) < turns
+        a, b, most = i[mine], j[mine], mosts[mine]
+        some = _letters_apart(counts, a, b) <= most
+        open_ = []
+        for x, y, d in zip(a[some].tolist(), b[some].tolist(), most[some].tolist()):
+            if links.root(x) != links.root(y):
+                if word_bound(words(x), words(y), d) <= d:
+                    links.join(x, y)
+                else:
+                    open_.append((x, y, d))
+        for lo in range(0, len(open_), 1 << 12):
+            part = [x for x in open_[lo : lo + (1 << 12)] if links.root(x[0]) != links.root(x[1])]
+            for (x, y, _), is_near in zip(part, within([(texts[x], texts[y]) for x, y, _ in part], [d for _, _, d in part])):
+                if is_near:
+                    links.join(x, y)
+        roots = np.fromiter(map(links.root, range(len(texts))), np.int64, len(texts))
+        mine = ~mine & (roots[i] != roots[j])
+        i, j, mosts, turns = i[mine], j[mine], mosts[mine], 2 * turns
     roots = np.fromiter(map(links.root, range(len(texts))), np.int64, len(texts))
     moved = np.flatnonzero(roots != np.arange(len(roots)))
     return np.stack((moved, roots[moved]), axis=1)
@@ -422,10 +602,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             texts, active = [], []
             for text, held in zip(b.column("text").to_pylist(), b.column("held").to_pylist()):
-                lines = plain_lines(text)
+                lines = text.split("\n")
                 for x in held:
                     texts.append(lines[x["line_no"]])
                     active.append(x["active"])
+            texts = plain_forms(texts)[0]
             wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), ">i8").reshape(-1, 2).astype(np.int64)
             codes, blocks = codes_and_blocks(code_lines(texts))
             keys = []
@@ -443,26 +624,26 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in plain form or through links."""
-    lines = cut(line_rows(docs))
+    lines = cut(line_rows(docs), release=True)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
-    distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first"), F.count("*").alias("times")))
+    distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first"), F.count("*").alias("times")), release=True)
     # Forms of one code (they differ in digits at most, or in the order of words) are proposed in all of their blocks.
     same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1").select("code", F.lit(None).cast("array<bigint>").alias("active"))
     found = flagged_codes(lines.select("code", "size", "blocks"), distinct.count() * BLOCKS, radius, similarity, cell).unionByName(same)
     flagged = found.groupBy("code").agg(F.bool_or(F.col("active").isNull()).alias("every"), F.max("active").alias("some"))
     flagged = flagged.select("code", F.when(~F.col("every"), F.col("some")).alias("active"))
     wanted = distinct.join(flagged, "code").select("first.doc_id", "first.text_key", "first.line_no", "active")
-    edges = line_links(cut(_texts_of(docs, wanted)), radius, similarity, cell)
+    edges = cut(line_links(cut(_texts_of(docs, wanted), release=True), radius, similarity, cell), release=True)
     # Nodes are first halves of the hashes: two flagged forms that share one by chance would count as linked (for a
     # billion flagged forms, one such pair is expected in forty runs).
     roots = cut(components(edges, "a1", "b1").select(F.col("node").alias("h1"), "root"))
     # Written, so that the next joins deal both sides anew and may split a large group or a very common line.
-    grouped = cut(distinct.join(beside(roots), "h1").select("h1", "h2", "root", "first"))
+    grouped = cut(distinct.join(beside(roots), "h1").select("h1", "h2", "root", "first"), release=True)
     best = cut(grouped.groupBy("root").agg(F.min("first").alias("best")))
-    moved = cut(grouped.join(beside(best), "root").select("h1", "h2", "best"))
+    moved = cut(grouped.join(beside(best), "root").select("h1", "h2", "best"), release=True)
     # Only forms that occur again or have moved can lose an occurrence.
     kept = distinct.select("h1", "h2", "first", "times").join(beside(moved), ["h1", "h2"], "left").where("times > 1 or best is not null")
-    kept = cut(kept.select("h1", "h2", F.coalesce("best", "first").alias("best")))
+    kept = cut(kept.select("h1", "h2", F.coalesce("best", "first").alias("best")), release=True)
     return lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(beside(kept), ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
 
 
@@ -492,8 +673,9 @@ def dedup_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "_
     gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), gone_)
     tagged = docs.withColumn(mine_, F.xxhash64("text"))
     same = (F.col(mine_) == F.col(key_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
-    out = tagged.join(gone, same, "left")
-    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    # Few numbers a text: held in a table, so that no text is sorted.
+    out = tagged.join(gone.hint("shuffle_hash"), same, "left")
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     out = out.withColumn(n_lines, F.coalesce(breaks + 1, F.lit(0)).cast("bigint"))
     out = out.withColumn(n_removed, F.coalesce(F.size(gone_), F.lit(0)).cast("bigint"))
     out = out.withColumn("text", F.when(F.col(gone_).isNotNull(), without_lines(F.col("text"), F.col(gone_))).otherwise(F.col("text")))
