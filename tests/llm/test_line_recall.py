@@ -77,3 +77,16 @@ def test_forms_of_many_texts():
     lines, counts = line_dedup.plain_forms(texts)
     assert lines == [x for t in texts for x in line_dedup.plain_lines(t)]
     assert counts.tolist() == [len(line_dedup.plain_lines(t)) for t in texts]
+
+
+def test_tables_go(spark):
+    """Tables of a run leave the shared folder with it; the session's settings are as before."""
+    from pathlib import Path
+
+    from vigilmill.llm.common import shared_folder
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    docs = spark.createDataFrame([(1, "a line of seven words is here now\nz"), (2, "a line of seven words is here now")], "doc_id bigint, text string")
+    assert [tuple(x) for x in line_dedup.repeated_arrays(docs).select("doc_id", "gone").collect()] == [(2, [0])]
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("tables-*/*")) and spark.conf.get(name, "false") == was

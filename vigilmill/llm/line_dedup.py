@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilmill.llm.blocks import Links, beside, dealt, near_pairs, whole_runs
-from vigilmill.llm.common import cut, free_names
+from vigilmill.llm.common import cut, free_names, scratch_tables
 from vigilmill.llm.components import components
 
 RADIUS = 12
@@ -291,7 +291,7 @@ _LEAST_PAIRS, _LONGEST, _TABLE = 24, 1 << 13, 1 << 21
 def within(pairs: list[tuple[str, str]], mosts: list[int]) -> np.ndarray:
     """bool[pairs]: whether the edit distance of each pair is at most its bound; pairs of like length are met at once."""
     out = np.zeros(len(pairs), bool)
-    classes: dict[int, list] = {}
+    classes: dict[tuple, list] = {}
     for k, ((a, b), most) in enumerate(zip(pairs, mosts)):
         n = min(len(a), len(b))
         if max(len(a), len(b)) - n > most:
@@ -306,10 +306,10 @@ def within(pairs: list[tuple[str, str]], mosts: list[int]) -> np.ndarray:
         if len(b) <= most:
             out[k] = True
         elif a:
-            classes.setdefault(len(b).bit_length() if len(b) <= _LONGEST else 0, []).append((k, a, b, most))
-    for size, some in classes.items():
+            classes.setdefault((len(b) <= _LONGEST, len(b).bit_length(), most.bit_length()), []).append((k, a, b, most))
+    for (fits, *_), some in classes.items():
         some.sort(key=lambda x: -len(x[1]))
-        found = _distances([x[1] for x in some], [x[2] for x in some], max(x[3] for x in some)) if size and len(some) >= _LEAST_PAIRS else None
+        found = _distances([x[1] for x in some], [x[2] for x in some], max(x[3] for x in some)) if fits and len(some) >= _LEAST_PAIRS else None
         for at, (k, a, b, most) in enumerate(some):
             out[k] = (edit_distance(a, b, most) if found is None else found[at]) <= most
     return out
@@ -572,12 +572,25 @@ def verified_links(cell: np.ndarray, codes: np.ndarray, bucket: np.ndarray, bloc
     return np.stack((moved, roots[moved]), axis=1)
 
 
+def _gathered(frames: Iterator[pd.DataFrame], rows: int = 40_000, letters: int = 1 << 24) -> Iterator[pd.DataFrame]:
+    """Frames put together up to about so many rows and letters: the more pairs are met at once, the cheaper."""
+    held, n, size = [], 0, 0
+    for f in frames:
+        held.append(f)
+        n, size = n + len(f), size + int(f["line"].str.len().sum())
+        if n >= rows or size >= letters:
+            yield pd.concat(held, ignore_index=True)
+            held, n, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def line_links(lines: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(a1, a2, b1, b2): links between distinct plain forms; lines: h1, h2, code, line, blocks (those in which the line has a neighbour)."""
     keyed = lines.select("h1", "h2", "code", "line", "blocks", F.explode("blocks").alias("bucket"), F.octet_length("line").alias("size"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in whole_runs(frames):
+        for f in _gathered(whole_runs(frames)):
             h1, h2 = f["h1"].to_numpy(), f["h2"].to_numpy()
             blocks = np.zeros((len(f), BLOCKS), np.uint64)
             for k, x in enumerate(f["blocks"]):
@@ -618,21 +631,32 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "active")).alias("held"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "held")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    held = rows.join(per_doc, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    held = rows.join(per_doc.hint("shuffle_hash"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return held.select("text", "held").mapInArrow(run, "h1 bigint, h2 bigint, code bigint, line string, blocks array<bigint>").dropDuplicates(["h1", "h2"])
 
 
 def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(doc_id, text_key, line_no) of every line that repeats an earlier one, exactly in plain form or through links."""
-    lines = cut(line_rows(docs), release=True)
+    return repeated_arrays(docs, radius, similarity, cell).select("doc_id", "text_key", F.explode("gone").alias("line_no"))
+
+
+def repeated_arrays(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """`repeated_lines` with one row for each text that has any: doc_id, text_key, gone (ascending)."""
+    with scratch_tables(docs.sparkSession) as put:
+        return cut(_repeated(docs, put, radius, similarity, cell), release=True)
+
+
+def _repeated(docs: DataFrame, put: Callable[[DataFrame], DataFrame], radius: int, similarity: float, cell: int) -> DataFrame:
+    """(doc_id, text_key, gone) of `repeated_arrays`; put: writes a table that is read several times."""
+    lines = put(line_rows(docs))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
-    distinct = cut(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first"), F.count("*").alias("times")), release=True)
+    distinct = put(lines.groupBy("h1", "h2").agg(F.first("code").alias("code"), F.min(place).alias("first"), F.count("*").alias("times")))
     # Forms of one code (they differ in digits at most, or in the order of words) are proposed in all of their blocks.
-    same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1").select("code", F.lit(None).cast("array<bigint>").alias("active"))
-    found = flagged_codes(lines.select("code", "size", "blocks"), distinct.count() * BLOCKS, radius, similarity, cell).unionByName(same)
-    flagged = found.groupBy("code").agg(F.bool_or(F.col("active").isNull()).alias("every"), F.max("active").alias("some"))
-    flagged = flagged.select("code", F.when(~F.col("every"), F.col("some")).alias("active"))
-    wanted = distinct.join(flagged, "code").select("first.doc_id", "first.text_key", "first.line_no", "active")
+    same = distinct.groupBy("code").agg(F.count("*").alias("forms")).where("forms > 1")
+    found = flagged_codes(lines.select("code", "size", "blocks"), distinct.count() * BLOCKS, radius, similarity, cell)
+    # Written, so that shuffles of blocks are gone before those of texts.
+    flagged = cut(found.join(same, "code", "full_outer").select("code", F.when(F.col("forms").isNull(), F.col("active")).alias("active")), release=True)
+    wanted = cut(distinct.select("code", "first").join(beside(flagged), "code").select("first.doc_id", "first.text_key", "first.line_no", "active"), release=True)
     edges = cut(line_links(cut(_texts_of(docs, wanted), release=True), radius, similarity, cell), release=True)
     # Nodes are first halves of the hashes: two flagged forms that share one by chance would count as linked (for a
     # billion flagged forms, one such pair is expected in forty runs).
@@ -644,7 +668,8 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SI
     # Only forms that occur again or have moved can lose an occurrence.
     kept = distinct.select("h1", "h2", "first", "times").join(beside(moved), ["h1", "h2"], "left").where("times > 1 or best is not null")
     kept = cut(kept.select("h1", "h2", F.coalesce("best", "first").alias("best")), release=True)
-    return lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(beside(kept), ["h1", "h2"]).where(place != F.col("best")).select("doc_id", "text_key", "line_no")
+    gone = lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(beside(kept), ["h1", "h2"]).where(place != F.col("best"))
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def without_lines(text, gone):
@@ -669,8 +694,7 @@ def dedup_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "_
     and text are one document and keep the same lines.  Other columns pass through, whatever their names.
     """
     n_lines, n_removed, gone_, id_, key_, mine_ = free_names(docs.columns, n_lines, n_removed, "gone", "id", "key", "mine")
-    gone = repeated_lines(docs, **options).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias(gone_))
-    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), gone_)
+    gone = repeated_arrays(docs, **options).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("gone").alias(gone_))
     tagged = docs.withColumn(mine_, F.xxhash64("text"))
     same = (F.col(mine_) == F.col(key_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
     # Few numbers a text: held in a table, so that no text is sorted.
