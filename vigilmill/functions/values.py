@@ -27,7 +27,8 @@ FILE_ENDINGS = ("py", "sh", "rs", "md", "pl", "ps", "so", "cc", "app", "zip", "m
 SCHEMES = ("http", "https", "ws", "wss")
 
 LABEL = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_-]{0,61}[\p{L}\p{N}_])?"
-_HOST = rf"(?:{LABEL}\.)+\p{{L}}[\p{{L}}\p{{N}}-]{{1,62}}"
+#: Repeated groups give nothing back (`++`): none could, and Java goes a call deeper with each round of one that might, which ends the executor on a long token.
+_HOST = rf"(?:{LABEL}\.)++\p{{L}}[\p{{L}}\p{{N}}-]{{1,62}}"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))"
 _CUT = r"[\s\"'`<>()\[\]{}|,;]+"
@@ -41,9 +42,9 @@ FORMS = (
     ("number", r"^\+?[0-9](?:[0-9.-]*[0-9])?$"),
     ("host", rf"^(?:www\.)?{_HOST}(?::[0-9]{{2,5}})?$"),
     ("url", rf"^(?:{_HOST})(?::[0-9]{{2,5}})?/[^\s]*$"),
-    ("path", r"^(?:~|\$home|\.{1,2}|[a-z]:|file:/*)?(?:[/\\][^/\\\s]+)+[/\\]?$"),
-    ("path", r"^[\w.-]+(?:[/\\][\w.-]+)+[/\\]?$"),
-    ("id", r"^[a-z0-9]+(?:[-_]+[a-z0-9]+)*$"),
+    ("path", r"^(?:~|\$home|\.{1,2}|[a-z]:|file:/*)?(?:[/\\][^/\\\s]++)++[/\\]?$"),
+    ("path", r"^[\w.-]+(?:[/\\][\w.-]++)++[/\\]?$"),
+    ("id", r"^[a-z0-9]+(?:[-_]++[a-z0-9]++)*+$"),
 )
 VALUE = "struct<kind:string,key:string>"
 
@@ -186,7 +187,7 @@ def low_id(raw: Column) -> Column:
 
 
 # A number, card or phone in groups; an IPv6 address, bare or in brackets; a URL to one.
-_GROUPED = r"(?<![\w.\-/+])\+?[0-9](?:[0-9]|[ -](?=[0-9])){7,}(?![\w/]|-[0-9a-zA-Z])"
+_GROUPED = r"(?<![\w.\-/+])\+?[0-9](?:(?=[ -]?[0-9])[0-9 -]){7,}(?![\w/]|-[0-9a-zA-Z])"
 _SIX = r"\[[0-9a-fA-F:.]{2,45}\]"
 _SIX_URL = rf"[a-zA-Z][a-zA-Z0-9+.-]{{1,15}}://{_SIX}(?::[0-9]{{1,5}})?[^\s\"'<>)]*"
 _SIX_BARE = r"(?<![\w:.\-/%@\[])(?=[0-9a-fA-F.]*:[0-9a-fA-F.]*:)[0-9a-fA-F:.]{5,45}(?![\w:.\-/%\]])"

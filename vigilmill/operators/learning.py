@@ -37,16 +37,22 @@ def taught(attacks: DataFrame, allowed: DataFrame) -> DataFrame:
     attacks: attack_id, text, trusted (what the user typed); allowed: value, a value or a host that covers what lies under it.  What the user
     named, what is allowed, and shared sites teach nothing.
     """
-    parts = attacks.select("attack_id", F.posexplode(_sentences(F.coalesce("text", F.lit("")))).alias("i", "said"))
-    read = held(parts, ["attack_id", "i"], values=v.authority_keys(v.values(F.col("said"))), fires=F.size(ru.scan(F.col("said"), "output")) > 0)
-    near = similarity.nearest_to_match(read.select(F.col("attack_id").alias("doc_id"), "i", "values"), read.where("fires").select(F.col("attack_id").alias("doc_id"), F.col("i").alias("hit")), 1, MOST_VALUES)
-    found = near.select(F.col("doc_id").alias("attack_id"), "value")
-    own = held(attacks.where("trusted is not null"), ["attack_id"], keys=v.keys_of(v.values(F.col("trusted")))).select("attack_id", F.explode("keys").alias("value")).distinct()
-    found = held(found.join(own, ["attack_id", "value"], "left_anti"), ["attack_id", "value"], host=v.domain_of(F.col("value")))
+    # A text is scanned once, row by row, and only sentences beside an order are read for values: nothing else of it is shuffled.
+    texts = held(attacks.where("attack_id is not null"), ["attack_id", "trusted"], sentences=_sentences(F.coalesce("text", F.lit(""))))
+    scanned = held(texts, ["attack_id", "trusted", "sentences"], fires=F.transform("sentences", lambda s: ru.any_fires(s, "output"))).where(F.col("trusted").isNotNull() | F.array_contains("fires", True))
+    # What the user typed goes along without a distance.
+    own = F.filter(F.array(F.struct(F.lit(None).cast("int").alias("d"), F.col("trusted").alias("said"))), lambda p: p["said"].isNotNull())
+    parts = held(scanned, ["attack_id"], parts=F.concat(similarity.around_hits(F.col("sentences"), F.col("fires"), 1), own)).select("attack_id", F.inline("parts"))
+    read = held(parts, ["attack_id", "d"], values=v.values(F.col("said")))
+    keys = F.when(F.col("d").isNull(), v.keys_of(F.col("values"))).otherwise(v.authority_keys(F.col("values")))
+    every = held(read, ["attack_id", "d"], keys=keys).select(F.col("attack_id").alias("doc_id"), "d", F.explode("keys").alias("value"))
+    found = similarity.nearest_to_match(every, MOST_VALUES).where("not apart").select(F.col("doc_id").alias("attack_id"), "value")
+    found = held(found, ["attack_id", "value"], host=v.domain_of(F.col("value")))
     found = found.where(F.col("host").isNull() | ~v.shared_host(F.col("host")))
     covers = held(found, ["attack_id", "value"], names=F.array_distinct(F.concat(F.array("value"), F.coalesce(v.host_suffixes(F.col("host")), F.array().cast("array<string>")))))
-    spared = covers.select("attack_id", "value", F.explode("names").alias("name")).join(allowed.select(F.col("value").alias("name")).distinct(), "name", "left_semi").select("attack_id", "value").distinct()
-    return found.select("attack_id", "value").join(spared, ["attack_id", "value"], "left_anti").distinct()
+    listed = allowed.select(F.col("value").alias("name"), F.lit(True).alias("spared")).distinct()
+    named = covers.select("attack_id", "value", F.explode("names").alias("name")).join(listed, "name", "left")
+    return named.groupBy("attack_id", "value").agg(F.count("spared").alias("n")).where("n = 0").select("attack_id", "value")
 
 
 def fingerprints(attacks: DataFrame, benign: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmill.functions import text as tx
@@ -51,16 +51,28 @@ def both_ways(prints: DataFrame, others: DataFrame, least: float = 0.6, n: int =
     return met.withColumn("score", F.col("hits") / F.least("n", "m")).where(F.col("score") >= least).select("print_id", "text_id", "score")
 
 
-def nearest_to_match(sentences: DataFrame, hits: DataFrame, reach: int, most: int) -> DataFrame:
-    """(doc_id, value, d): values of sentences within `reach` of a hit with their least distance, the `most` nearest of a text (ties: by value).
+def around_hits(sentences: Column, hits: Column, reach: int) -> Column:
+    """array<struct<d, said>>: a text's sentences within `reach` of one that is a hit, with the least distance; hits: array<boolean>, one a sentence.
 
-    sentences: doc_id, i, values (array); hits: doc_id, hit.  Each hit is put on the sentences around it, so this is an equi join.
+    Both are looked into for each sentence, so they are to be columns that stand, not expressions.
     """
-    around = hits.select("doc_id", "hit", F.explode(F.sequence(F.col("hit") - reach, F.col("hit") + reach)).alias("i"))
-    near = around.groupBy("doc_id", "i").agg(F.min(F.abs(F.col("i") - F.col("hit"))).alias("d"))
-    v = sentences.join(near, ["doc_id", "i"]).select("doc_id", "d", F.explode("values").alias("value")).groupBy("doc_id", "value").agg(F.min("d").alias("d"))
+
+    def placed(said: Column, i: Column) -> Column:
+        at = lambda j: F.coalesce(F.get(hits, j), F.lit(False))
+        return F.struct(F.coalesce(*[F.when(at(i - k) | at(i + k), F.lit(k)) for k in range(reach + 1)]).alias("d"), said.alias("said"))
+
+    return F.filter(F.transform(sentences, placed), lambda p: p["d"].isNotNull())
+
+
+def nearest_to_match(near: DataFrame, most: int) -> DataFrame:
+    """(doc_id, value, d, apart): the values beside hits with their least distance, the `most` nearest of a text (ties: by value).
+
+    near: doc_id, d, value, as the sentences of `around_hits` have them: what lies further off is never read nor shuffled.  Rows without d are
+    values of elsewhere; apart says whether a value is among these.
+    """
+    v = near.groupBy("doc_id", "value").agg(F.min("d").alias("d"), F.bool_or(F.col("d").isNull()).alias("apart")).where("d is not null")
     w = Window.partitionBy("doc_id").orderBy("d", "value")
-    return v.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("doc_id", "value", "d")
+    return v.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("doc_id", "value", "d", "apart")
 
 
 def dot(a, b):
